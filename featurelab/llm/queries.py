@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> (module, function, name of its DuckDB SQL or None).
 OPERATORS = {
+    "op1_media_chunks": ("media", "op1", None),
+    "op2_packing": ("pack", "op2", None),
     "op8_chat_formatting": ("chat", "op8", "OP8_SQL"),
     "op9_mixing": ("mix", "op9", "OP9_SQL"),
 }
