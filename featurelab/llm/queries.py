@@ -12,6 +12,7 @@ OPERATORS = {
     "op1_media_chunks": ("media", "op1", None),
     "op2_packing": ("pack", "op2", None),
     "op4_simhash_near_dedup": ("simhash", "op4", None),
+    "op10_fingerprints": ("fingerprint", "op10", None),
     "op8_chat_formatting": ("chat", "op8", "OP8_SQL"),
     "op9_mixing": ("mix", "op9", "OP9_SQL"),
 }
