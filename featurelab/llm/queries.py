@@ -13,6 +13,8 @@ OPERATORS = {
     "op2_packing": ("pack", "op2", None),
     "op4_simhash_near_dedup": ("simhash", "op4", None),
     "op10_fingerprints": ("fingerprint", "op10", None),
+    "op3_toxicity": ("toxicity", "op3", None),
+    "op5_quality": ("quality", "op5", None),
     "op6_id_files": ("idfile", "op6", None),
     "op8_chat_formatting": ("chat", "op8", "OP8_SQL"),
     "op9_mixing": ("mix", "op9", "OP9_SQL"),
