@@ -16,6 +16,7 @@ OPERATORS = {
     "op3_toxicity": ("toxicity", "op3", None),
     "op5_quality": ("quality", "op5", None),
     "op6_id_files": ("idfile", "op6", None),
+    "op7_edited_token_counts": ("edits", "op7", None),
     "op8_chat_formatting": ("chat", "op8", "OP8_SQL"),
     "op9_mixing": ("mix", "op9", "OP9_SQL"),
 }
