@@ -65,7 +65,7 @@ def family(description: Column) -> Column:
 
 def named_columns(description: Column) -> Column:
     """The columns in the "col=" part, as an array."""
-    return F.filter(F.transform(F.split(F.coalesce(part(description, "col"), F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(part(description, "col"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def semantic_tags(brief: DataFrame, columns: DataFrame) -> DataFrame:

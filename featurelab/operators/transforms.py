@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.expr import finite, ratio
 
@@ -193,8 +194,10 @@ def target_encoding_oof(df: DataFrame, c: str, target: str, fold: str, name: str
     name = name or f"oof_{c}"
     overall = df.agg(F.avg(target)).first()[0]
     parts = df.groupBy(c, fold).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
-    whole = parts.groupBy(c).agg(F.sum("_s").alias("_sum"), F.sum("_n").alias("_count"))
-    table = parts.join(whole, parts[c].eqNullSafe(whole[c])).select(parts[c].alias("_c"), parts[fold].alias("_f"), F.when(F.col("_count") > F.col("_n"), (F.col("_sum") - F.coalesce("_s", F.lit(0))) / F.when(F.col("_count") > F.col("_n"), F.col("_count") - F.col("_n"))).alias(name))
+    parts = parts.withColumnsRenamed({c: "_c", fold: "_f"})
+    w = Window.partitionBy("_c")  # one row for each category and fold
+    others, rest = F.col("_count") - F.col("_n"), F.col("_sum") - F.coalesce("_s", F.lit(0))
+    table = parts.withColumns({"_sum": F.sum("_s").over(w), "_count": F.sum("_n").over(w)}).select("_c", "_f", F.when(others > 0, rest / F.when(others > 0, others)).alias(name))
     got = df.join(table, df[c].eqNullSafe(table["_c"]) & (df[fold] == table["_f"]), "left").drop("_c", "_f")
     return got.withColumn(name, F.coalesce(name, F.lit(overall).cast("double")))
 

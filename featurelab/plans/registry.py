@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that hold QUERIES (name -> query) and SQL (name -> DuckDB SQL).
-MODULES = ["statistics", "preparation", "discovery"]
+MODULES = ["statistics", "preparation", "discovery", "ledger", "models"]
 
 
 def queries() -> dict[str, Query]:
