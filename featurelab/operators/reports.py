@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from ..functions.text import FAMILY_KEYWORDS, family, named_columns, readable
 
 Tables = Mapping[str, DataFrame]
-_ALL = Window.partitionBy()
+def _all():
+    return Window.partitionBy()  # a ledger has as many rows as experiments
 
 
 def history(L: Tables, n: int = 10) -> DataFrame:
@@ -94,7 +95,7 @@ def shap_consensus(L: Tables) -> DataFrame:
 def diminishing(L: Tables, min_delta: float = 0.001, higher: bool = True, window: int = 10) -> DataFrame:
     """One row: stagnation between 0 and 1, from the newest experiments."""
     newest = L["experiment"].orderBy(F.desc("exp_id")).limit(window).filter("not (delta = 0 and kept)")
-    n = newest.withColumn("place", F.row_number().over(_ALL.orderBy(F.desc("exp_id"))))
+    n = newest.withColumn("place", F.row_number().over(_all().orderBy(F.desc("exp_id"))))
     got = n.agg(F.count("*").alias("n"), F.avg(F.when(F.col("place") <= 5, F.abs("delta"))).alias("m"))
     got = got.crossJoin(best(L, higher).agg(F.max("composite_score").alias("best")))
     scale = F.lit(35.0) / 3 * min_delta * F.abs("best")
@@ -144,7 +145,7 @@ def compressed_history(L: Tables, recent: int = 5) -> DataFrame:
     """The newest experiments in detail (with what each improved on and its lineage), older ones as counts."""
     from .ledger import improved_over
 
-    e = L["experiment"].withColumn("age", F.row_number().over(_ALL.orderBy(F.desc("exp_id"))))
+    e = L["experiment"].withColumn("age", F.row_number().over(_all().orderBy(F.desc("exp_id"))))
     line = L["used_in"].join(L["derived_from"], "feature").groupBy("exp_id").agg(F.array_join(F.slice(F.sort_array(F.collect_set(F.concat("feature", F.lit("<"), "column"))), 1, 8), ",").alias("lineage"))
     new = e.filter(F.col("age") <= recent).join(improved_over(L["experiment"]), "exp_id", "left").join(line, "exp_id", "left").select(F.concat(F.lit("exp_"), "exp_id").alias("item"), readable(F.col("description")).alias("text"), F.col("previous").alias("number"), "lineage")
     old = e.filter(F.col("age") > recent)

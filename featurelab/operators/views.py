@@ -8,12 +8,14 @@ from pyspark.sql.window import Window
 
 from .reports import Tables, diminishing, load_bearing, shap_ranking
 
-_ALL = Window.partitionBy()
+
+def _all():
+    return Window.partitionBy()  # a ledger has as many rows as experiments
 
 
 def ratchet(L: Tables, higher: bool = True) -> DataFrame:
     """exp_id, best_so_far over kept experiments, delta to the first experiment, better (in the metric's direction)."""
-    w = _ALL.orderBy("exp_id")
+    w = _all().orderBy("exp_id")
     top = F.max if higher else F.min
     base = F.first("cv_score").over(w.rowsBetween(Window.unboundedPreceding, 0))
     gain = F.col("cv_score") - base
@@ -37,7 +39,7 @@ def momentum(L: Tables, min_delta: float = 0.001, higher: bool = True) -> DataFr
 def top_shap(L: Tables, n: int = 10, higher: bool = True) -> DataFrame:
     """feature, value, percent of the largest, load_bearing."""
     top = shap_ranking(L, None, higher).orderBy(F.desc("value"), "feature").limit(n)
-    most = F.max("value").over(_ALL)
+    most = F.max("value").over(_all())
     flag = load_bearing(L).withColumn("load_bearing", F.lit(True))
     return top.withColumn("percent", F.round(F.col("value") / F.when(most != 0, most) * 100, 3)).join(flag, "feature", "left").select("feature", "value", "percent", F.coalesce("load_bearing", F.lit(False)).alias("load_bearing"))
 
