@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, table
+from .common import batch_of, small, table
 
 LEAF, CONTEXT, LOOK = 32, 4, 8
 
@@ -129,7 +129,7 @@ def edited_counts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFra
 
         tok = tokenizer(path, "byte")
         names = [f.split(" ")[0] for f in _COUNTS.split(", ")]
-        for b in batches:
+        for b in small(batches):
             doc_ids, texts, edits = b.column(0), [t or "" for t in b.column(1).to_pylist()], b.column(2)
             out = {n: [] for n in names}
             for first, k, joined, bounds in tok.blocks(texts):

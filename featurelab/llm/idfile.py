@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch_of, before, partitions, removed, table, written
+from .common import batch_of, before, partitions, removed, small, table, written
 
 END_ID, VOCABULARY = 2, 49408
 MAX_BITS, CHECKPOINT, BLOCK_IDS = 18, 128, 1 << 17
@@ -39,7 +39,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
         from .tokens import tokenizer
 
         tok = tokenizer(tokenizer_path, "word")
-        for b in batches:
+        for b in small(batches):
             doc_ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for first, ids, off in tok.encode(texts):
                 own = [np.append(ids[a:z], np.uint32(end_id)).astype("<u2").tobytes() for a, z in zip(off, off[1:], strict=False)]

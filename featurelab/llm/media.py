@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, table, written
+from .common import batch_of, small, table, written
 
 UNIT = 64
 MIN_CHUNK, CUT_BITS, MAX_CHUNK = 256, 10, 4096
@@ -101,7 +101,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     """The ordered chunk list of every document, without bytes."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             rows = {"doc_id": b.column(0)} | {n: [] for n in ("n_bytes", "p_hi", "p_lo", "hi", "lo")}
             for text in b.column(1):
                 t = text.as_py()
@@ -144,7 +144,7 @@ def packs(docs: DataFrame, words) -> DataFrame:
 
     def run(batches):
         bloom, names = words.value, ("p_hi", "p_lo", "hi", "lo", "size", "shared", "body")
-        for b in batches:
+        for b in small(batches):
             rows = {n: [] for n in names}
             for text in b.column(0):
                 data = payload_of(text.as_py())
@@ -163,7 +163,7 @@ def shared_chunks(docs: DataFrame, words) -> DataFrame:
 
     def run(batches):
         bloom = words.value
-        for b in batches:
+        for b in small(batches):
             found = {}
             for text in b.column(0):
                 for hi, lo, c in split(payload_of(text.as_py())):
@@ -192,7 +192,7 @@ def read_back(pack: DataFrame, chunks: DataFrame) -> DataFrame:
 
     def run(batches):
         names = ("p_hi", "p_lo", "payload", "media")
-        for b in batches:
+        for b in small(batches):
             out = {n: [] for n in names}
             for r in zip(*[b.column(n) for n in ("p_hi", "p_lo", "hi", "lo", "size", "shared", "body", "got")], strict=True):
                 p_hi, p_lo, hi, lo, size, shared, body, fetched = [x.as_py() for x in r]
@@ -220,7 +220,7 @@ _DIGESTS = "p_hi bigint, p_lo bigint, payload_bytes bigint, payload_sha256 strin
 def media_digests(media: DataFrame) -> DataFrame:
     def run(batches):
         names = [f.split(" ")[0] for f in _DIGESTS.split(", ")]
-        for b in batches:
+        for b in small(batches):
             out = {n: [] for n in names}
             for p_hi, p_lo, p, m in zip(*[b.column(i) for i in range(4)], strict=True):
                 data, form = p.as_py(), m.as_py()
