@@ -49,7 +49,8 @@ def _residual(s, d):
 def _stream(make, name):
     def query(s, d):
         schema = read(s, d, "events").schema
-        return streams.drained(make(streams.event_stream(s, f"{d}/events.parquet*", schema)), f"{name}_{uuid.uuid4().hex[:8]}")
+        got = streams.drained(make(streams.event_stream(s, f"{d}/events.parquet*", schema)), f"{name}_{uuid.uuid4().hex[:8]}")
+        return got.withColumn("begin", F.col("begin").cast("timestamp_ntz"))  # as the table has it
 
     return query
 
