@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import parts, with_before
+
 MIN_GROUP, INVARIANT_CV, TOP = 10, 0.1, 5
 
 
@@ -24,10 +26,10 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Ranks from 1 with ties at their mean. Counts of distinct values are ranked, not rows, so only those go to one task."""
+    """Ranks from 1 with ties at their mean. Counts of distinct values are ranked, in ranges of the order."""
     counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy().orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(F.col(column).alias("_v"), (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
+    line = with_before(parts(counts, [column]), F.col("_n"), "_earlier")
+    ranks = line.select(F.col(column).alias("_v"), (F.col("_earlier") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, df[column] == ranks["_v"]).drop("_v")
 
 

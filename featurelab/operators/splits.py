@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.order import ranked
+
 SEED = 42
 
 
@@ -14,24 +16,6 @@ def draw(row_id: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat(row_id.cast("string"), F.lit(f"|{seed}")))
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
-    """df with each row's place (from 1) in the order, without sorting everything in one task: ranges of the order are sorted
-    each for itself, and places continue from the sizes of the ranges before. Both passes see the same rows in the same
-    ranges because the sorted table is checkpointed."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.monotonically_increasing_id()
-    line = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", at)
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        line = line.checkpoint()
-    else:
-        line = line.persist()
-    line = line.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = line.groupBy("_part").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
-    return line.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_row") + 1).drop("_at", "_part", "_row", "_start")
-
-
 def temporal_split(df: DataFrame, order: list[Column], n_folds: int = 5, test_share: float = 0.2) -> DataFrame:
     """split ("train" or "test": the last part), chunk (1 .. n_folds + 1, NULL for test and for rows that no chunk takes).
 
