@@ -129,8 +129,9 @@ def _types(s, d):
 
 def _betweenness(s, d):
     L = tables(s, d)
-    edges = views.elements(L)[1].filter("rel <> 'USED_IN'")
-    return rounded(graph.betweenness(edges.select("src", "dst")), 9)
+    edges = views.elements(L)[1].select("src", "dst")
+    replaced = L["supersedes"].select(F.concat(F.lit("hyp_"), "hyp_id").alias("src"), F.concat(F.lit("hyp_"), "old_hyp_id").alias("dst"))
+    return rounded(graph.betweenness(edges.unionByName(replaced)), 9)
 
 
 def _tags(s, d):
