@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,16 +16,21 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
-def closure(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_ROUNDS) -> DataFrame:
-    """start, node, depth: what can be reached from each start (column node) along edges (src, dst), with the least depth."""
+def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """start, node, depth: what can be reached from each start (column node) along edges (src, dst), with the least depth.
+
+    Goes on until nothing new is found; more than max_depth rounds, if given, are an error.
+    """
     e = edges.select("src", "dst").distinct()
     found = _cut(starts.select(F.col("node").alias("start"), F.col("node"), F.lit(0).alias("depth")).distinct())
     new = found
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = new.join(e, new["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
         new = _cut(step.join(found, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if not new.head(1):
             break
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError("the closure is deeper than max_depth")
         found = _cut(found.unionByName(new))
     return found.filter("depth > 0")
 

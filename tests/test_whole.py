@@ -10,3 +10,9 @@ def test_betweenness_covers_every_kind_of_edge(spark, sf, monkeypatch):
     ends = {(r["src"].split("_")[0], r["dst"].split("_")[0]) for r in seen[0].collect()}
     assert ends == {("feat", "col"), ("feat", "exp"), ("exp", "exp"), ("hyp", "exp"), ("hyp", "hyp")}
     assert any(k.startswith("feat_") for k in got) and max(got.values()) > 0
+
+
+def test_closure_goes_on_beyond_fifty_rounds(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(53)], "src int, dst int").coalesce(1)
+    got = graph.closure(chain, spark.createDataFrame([(0,)], "node int")).collect()
+    assert sorted((r["node"], r["depth"]) for r in got) == [(i, i) for i in range(1, 54)]
