@@ -10,39 +10,38 @@ from ..operators import discover, model, splits
 from ..streaming import streams
 from .common import read, rounded
 
-#: Trees of these queries; experiments use model.TREES.
-TREES = 10
+FOLDS = 5
 
 
 def _part(s, d):
     p = read(s, d, "part").select("p_partkey", "p_size", "p_brand", "p_type", "p_retailprice")
     li = read(s, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_extendedprice").alias("mean_price"), F.count("*").alias("n_sold"))
-    return splits.stratified_split(splits.strata(p.join(li, "p_partkey", "left"), "p_retailprice"), "p_partkey", "stratum", 3)
+    return splits.stratified_split(splits.strata(p.join(li, "p_partkey", "left"), "p_retailprice"), "p_partkey", "stratum", FOLDS)
 
 
 _FEATURES = ["p_size", "p_brand", "p_type", "mean_price", "n_sold"]
 
 
 def _cv(s, d):
-    r = model.cross_validate(_part(s, d), _FEATURES, "p_retailprice", "rmse", "p_partkey", 3, TREES)
+    r = model.cross_validate(_part(s, d), _FEATURES, "p_retailprice", "rmse", "p_partkey", FOLDS)
     return s.createDataFrame([(k, v) for k, v in enumerate(r["scores"])], "fold int, rmse double")
 
 
 def _multiclass(s, d):
     o = read(s, d, "orders").withColumns({"month": F.month("o_orderdate"), "dow": F.weekday("o_orderdate")})
-    df = splits.stratified_split(o, "o_orderkey", "o_orderstatus", 2)
-    r = model.cross_validate(df, ["o_totalprice", "month", "dow"], "o_orderstatus", "f1", "o_orderkey", 2, 3)
+    df = splits.stratified_split(o, "o_orderkey", "o_orderstatus", FOLDS)
+    r = model.cross_validate(df, ["o_totalprice", "month", "dow"], "o_orderstatus", "f1", "o_orderkey", FOLDS)
     return s.createDataFrame([(k, v) for k, v in enumerate(r["scores"])], "fold int, f1 double")
 
 
 def _shap(s, d):
-    r = model.cross_validate(_part(s, d), _FEATURES, "p_retailprice", "rmse", "p_partkey", 2, TREES, shap=True)
+    r = model.cross_validate(_part(s, d), _FEATURES, "p_retailprice", "rmse", "p_partkey", FOLDS, shap=True)
     return s.createDataFrame([(f, v, r["shap_std"][f]) for f, v in r["shap"].items()], "feature string, value double, std double")
 
 
 def _residual(s, d):
     df = read(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    got = model.residuals(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", trees=TREES)
+    got = model.residuals(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
     return rounded(discover.residual_icc(got, F.col("residual"), [["l_partkey"], ["l_suppkey"]]), 4)
 
 
