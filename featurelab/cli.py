@@ -34,8 +34,8 @@ def prepared(spark, c: cfg.Config) -> DataFrame:
     return splits.stratified_split(splits.strata(df, c.target), "row_id", "stratum", c.n_folds, seed=c.random_seed)
 
 
-def show(df: DataFrame, n: int = 50) -> None:
-    for r in df.limit(n).collect():
+def show(df: DataFrame) -> None:
+    for r in df.toLocalIterator():
         print(json.dumps(r.asDict(recursive=True), default=str))
 
 
@@ -94,7 +94,9 @@ def main(argv: list[str] | None = None) -> int:
         keys = [r["columns"] for r in discover.entity_keys(rows, list(c.categorical_columns)).collect()]
         texts = [r["expr"] for r in made.collect()]
         compiled = {x: compile_expression(x, rows) for x in texts}
-        show(discover.invariants(rows, keys, {x: m.column for x, m in compiled.items()}, {x: set(m.references) for x, m in compiled.items()}).orderBy("median_cv", "key", "expr"))
+        alone = discover.raw(rows)
+        made = {x: m.column for x, m in compiled.items()} | {x: F.col(f"`{x}`").cast("double") for x in alone}
+        show(discover.invariants(rows, keys, made, {x: set(m.references) for x, m in compiled.items()} | {x: {x} for x in alone}).orderBy("median_cv", "key", "expr"))
         numbers = profile.numeric_columns(rows)
         if c.metric in ("rmse", "mae") and numbers and keys:
             full = impute(query.scope(df), medians(rows, numbers), 0.0)

@@ -51,6 +51,12 @@ def derived(df: DataFrame, tags: dict[str, list[str]] | None = None, most: int =
     return variances(df, made).orderBy(F.desc("variance"), "expr").limit(most)
 
 
+def raw(df: DataFrame, most: int = MAX_RAW) -> list[str]:
+    """The numeric columns of largest variance."""
+    number = {c: F.col(c).cast("double") for c in numeric_columns(df)}
+    return [r["expr"] for r in variances(df, number).orderBy(F.desc("variance"), "expr").limit(most).collect()] if number else []
+
+
 def entity_keys(df: DataFrame, categorical: list[str] | None = None, low: int = 50, high: int = 100_000) -> DataFrame:
     """columns (array), cardinality of single and paired keys, largest first."""
     spark = df.sparkSession
