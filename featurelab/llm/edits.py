@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, small, table
 
-LEAF, CONTEXT, LOOK = 32, 4, 8
+LEAF, CONTEXT, LOOK = 32, 4, 16
 
 
 class SegmentTree:
@@ -132,8 +132,8 @@ def edited_counts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFra
         for b in small(batches):
             doc_ids, texts, edits = b.column(0), [t or "" for t in b.column(1).to_pylist()], b.column(2)
             out = {n: [] for n in names}
-            for first, k, joined, bounds in tok.blocks(texts):
-                _, ends, entry = tok.pieces(joined, bounds)
+            for first, k, joined, bounds, spans in tok.blocks(texts):
+                _, ends, entry = tok.pieces(joined, bounds, spans)
                 lens = tok.table.len[entry]
                 cut = np.searchsorted(ends, np.append(bounds, len(joined)), side="right")
                 for i in range(k):

@@ -22,9 +22,7 @@ BYTE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.
 
 
 def lib(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def table(df):
@@ -34,10 +32,11 @@ def table(df):
 # --- tokens ------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("path, kind", [(BYTE, "byte"), (WORD_BPE, "word")])
-def test_ids_equal_the_library(path, kind, texts):
-    rnd, letters = random.Random(1), "ab'stmdrelvLL  \n\t  é1٣²漢!?#'’́İΣσß🙂\u0085​"
-    every = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(3000)] + ["", "<|endoftext|> hi", "'s", "''s", " 's"] + list(texts.values())
+@pytest.mark.parametrize("path, kind, block", [(BYTE, "byte", 1 << 18), (WORD_BPE, "word", 1 << 18), (BYTE, "byte", 40), (WORD_BPE, "word", 40)])
+def test_ids_equal_the_library(monkeypatch, path, kind, block, texts):
+    monkeypatch.setattr(tokens, "BLOCK_CHARS", block)
+    rnd, letters = random.Random(1), [*"ab'stmdrelvLL  \n\t  é1٣²漢!?#'’́İΣσß🙂\u0085​", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<|", "\u0338", " word", ", two"]
+    every = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(3000)] + ["", "<|endoftext|> hi", "'s", "''s", " 's", "<|endof", "text|>"] + list(texts.values())
     own, t = [None] * len(every), tokens.FastTokenizer(path, kind)
     for first, ids, off in t.encode(every):
         for k in range(len(off) - 1):
@@ -45,6 +44,23 @@ def test_ids_equal_the_library(path, kind, texts):
     assert own == [e.ids for e in lib(path).encode_batch(every, add_special_tokens=False)]
 
 
+def test_pre_tokens_with_one_hash_are_told_apart(monkeypatch, texts):
+    """Every hash is made to collide with others."""
+    class Poor(tokens.PieceTable):
+        def find(self, h):
+            return super().find(h % np.uint64(50) + np.uint64(1))
+
+        def add(self, h, pieces, runs):
+            few, at = np.unique(h % np.uint64(50) + np.uint64(1), return_index=True)
+            new = super().find(few) < 0
+            super().add(few[new], [pieces[i] for i in at[new]], [runs[i] for i in at[new]])
+
+    some = list(texts.values())[:15]
+    t = tokens.FastTokenizer(BYTE, "byte")
+    t.table = Poor()
+    assert [i for _, ids, _ in t.encode(some) for i in ids.tolist()] == [i for e in lib(BYTE).encode_batch(some, add_special_tokens=False) for i in e.ids]
+
+
 def test_a_full_table_of_pieces_starts_anew(monkeypatch, texts):
     monkeypatch.setattr(tokens, "MAX_ENTRIES", 50)
     t, some = tokens.FastTokenizer(BYTE, "byte"), list(texts.values())[:20]
@@ -324,13 +340,14 @@ def test_lengths_are_limited_and_optimal():
 
 
 def test_counts_follow_edits():
-    tok, rnd, letters = tokens.FastTokenizer(BYTE, "byte"), random.Random(5), "ab'stmdrelvLL  \n\t  é1٣漢!?#"
+    tok, rnd = tokens.FastTokenizer(BYTE, "byte"), random.Random(5)
+    letters = [*"ab'stmdrelvLL  \n\t  é1٣漢!?#", "<|endoftext|>", "<|endof", "text|>", "<|", "endoftext", "|>"]
     for _ in range(250):
         text = "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 5, 50, 400, 1500])))
         _, ends, entry = tok.pieces(text, np.zeros(1, np.int64)) if text else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
         tree = edits.SegmentTree(tok, text, ends, tok.table.len[entry])
         for _ in range(6):
-            p, d, new = rnd.randint(0, len(text) + 2), rnd.choice([0, 0, 1, 3, 20, 200]), "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 0, 1, 2, 5, 60])))
+            p, d, new = rnd.randint(0, len(text) + 2), rnd.choice([0, 0, 1, 3, 13, 20, 200]), "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 0, 1, 2, 5, 60])))
             p = min(p, len(text))
             text = text[:p] + new + text[p + d :]
             tree.edit(p, d, new)
