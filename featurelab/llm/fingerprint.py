@@ -6,7 +6,8 @@ occurrence votes on 64 signed bits; a bit of the fingerprint is 1 if over half o
 
 The edited text of a document is its text with the last quarter replaced by the beginning of the next document's. Documents
 are ordered by doc_id (null first), then by a hash of the text; rows with equal doc_id and text are one document there and
-get equal values. After the last document comes the first.
+get a result row each, with equal values. After the last document comes the first. An empty table gives an empty result. A
+text is split in one task, whatever its length. Only doc_id and text are read, so other columns may have any name.
 
 The search cuts 64 bits into BLOCKS blocks. Of two fingerprints within RADIUS bits at least BLOCKS - RADIUS blocks are
 equal, so there is a table for each choice of that many blocks, keyed by them: every table is the same set of fingerprints
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import GAP, before, matched, ordered, table, written
+from .common import GAP, before, matched, ordered, table, with_hot_keys, written
 
 BITS, RADIUS, BLOCKS = 64, 3, 6
 _LANES = (1 << 32) | 1
@@ -57,8 +58,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """doc_id, h, n_chars, nxt (struct of the next document's key), prv, need (code points that the previous document takes)."""
-    ids = written(docs.select("doc_id", "h", "n_chars").distinct(), "fingerprint-ids")
+    """doc_id, h, n_chars, copies (rows that are this document), nxt (struct of the next document's key), prv, need (code points that the previous document takes)."""
+    ids = written(docs.groupBy("doc_id", "h", "n_chars").agg(F.count("*").alias("copies")), "fingerprint-ids")
     line = ordered(ids, [F.col("doc_id").asc_nulls_first(), F.col("h")], "fingerprint-order")
     line = before(line, {"_earlier": F.lit(1)}).withColumn("at", F.col("_earlier") + F.col("_row"))
     key = F.struct("doc_id", "h", "n_chars")
@@ -71,35 +72,36 @@ def neighbours(docs: DataFrame) -> DataFrame:
     edge = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select("_part", F.coalesce(F.lead("first").over(by), F.first("first").over(edge)).alias("after"), F.coalesce(F.lag("last").over(by), F.last("last").over(edge)).alias("ahead"))
     line = line.join(ends, "_part").withColumns({"nxt": F.coalesce("nxt", "after"), "prv": F.coalesce("prv", "ahead")})
-    return line.select("doc_id", "h", "n_chars", "nxt", "prv", F.floor(F.col("prv.n_chars") / 4).cast("int").alias("need"))
+    return line.select("doc_id", "h", "n_chars", "copies", "nxt", "prv", F.floor(F.col("prv.n_chars") / 4).cast("int").alias("need"))
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, h, n_chars, nxt, text, edited. Texts are exchanged once; what a next document lends travels beside them."""
+    """doc_id, h, n_chars, nxt, copies, text, edited. Texts are exchanged once; what a next document lends travels beside them."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"h": F.xxhash64("text"), "n_chars": F.char_length("text").cast("bigint")})
     near = written(neighbours(base), "fingerprint-neighbours")
-    both = matched(base, near.select("doc_id", "h", "n_chars", F.struct("nxt", "prv", "need").alias("near")), ["doc_id", "h", "n_chars"])
+    both = matched(base, near.select("doc_id", "h", "n_chars", F.struct("nxt", "prv", "need", "copies").alias("near")), ["doc_id", "h", "n_chars"])
     lent = both.select("near.prv.*", F.substring(F.col("text"), F.lit(1), F.col("near.need")).alias("lent")).groupBy("doc_id", "h", "n_chars").agg(F.max("lent").alias("lent"))
     got = matched(both, lent, ["doc_id", "h", "n_chars"])
     kept = F.col("n_chars") - F.floor(F.col("n_chars") / 4)
-    return got.select("doc_id", "h", "n_chars", F.col("near.nxt").alias("nxt"), "text", F.concat(F.substring(F.col("text"), F.lit(1), kept.cast("int")), "lent").alias("edited"))
+    return got.select("doc_id", "h", "n_chars", F.col("near.nxt").alias("nxt"), F.col("near.copies").alias("copies"), "text", F.concat(F.substring(F.col("text"), F.lit(1), kept.cast("int")), "lent").alias("edited"))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, h, n_chars, edited_sha256, fp, edited_fp, next_fp: one row for each distinct (doc_id, text)."""
+    """doc_id, h, n_chars, edited_sha256, fp, edited_fp, next_fp of every row."""
     rows = with_edits(docs)
-    keys = ["doc_id", "h", "n_chars", "nxt", "which"]
+    keys = ["doc_id", "h", "n_chars", "nxt", "copies", "which"]
     long = rows.select(
-        "doc_id", "h", "n_chars", "nxt",
+        "doc_id", "h", "n_chars", "nxt", "copies",
         F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"), F.sha2("edited", 256).alias("sha")))).alias("x"),
-    ).select("doc_id", "h", "n_chars", "nxt", "x.*")
+    ).select("doc_id", "h", "n_chars", "nxt", "copies", "x.*")
     fps = simhash(long, [*keys, "sha"])
     # rows that repeat a document vote several times each; the majority is the same
-    one = written(fps.groupBy("doc_id", "h", "n_chars", "nxt").agg(F.max("sha").alias("edited_sha256"), F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("edited_fp")), "fingerprints")
+    one = written(fps.groupBy("doc_id", "h", "n_chars", "nxt", "copies").agg(F.max("sha").alias("edited_sha256"), F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("edited_fp")), "fingerprints")
     nxt = one.select(F.struct("doc_id", "h", "n_chars").alias("nxt"), F.col("fp").alias("next_fp"))
     mine = one.select("*", F.col("nxt.doc_id").alias("n_id"), F.col("nxt.h").alias("n_h"), F.col("nxt.n_chars").alias("n_n"))
     other = nxt.select(F.col("nxt.doc_id").alias("n_id"), F.col("nxt.h").alias("n_h"), F.col("nxt.n_chars").alias("n_n"), "next_fp")
-    return matched(mine, other, ["n_id", "n_h", "n_n"]).drop("n_id", "n_h", "n_n")
+    out = matched(mine, other, ["n_id", "n_h", "n_n"]).drop("n_id", "n_h", "n_n")
+    return out.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("nth", "copies")
 
 
 def _block(fp: Column, i: int, blocks: int) -> Column:
@@ -140,9 +142,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = written(fingerprint(docs), "fingerprint-rows")
     asked = got.filter(F.col("doc_id") % 100 == 0).select(F.col("fp").alias("q")).distinct()
-    near = within(asked, got.select("fp").distinct()).filter("q <> fp").groupBy("q").agg(F.count("*").alias("near"))
+    counts = written(got.groupBy("fp").agg(F.count("*").alias("copies")), "fingerprint-distinct")
+    near = within(asked, counts.select("fp")).filter("q <> fp").groupBy("q").agg(F.count("*").alias("near"))
+    named = written(counts.join(near.withColumnRenamed("q", "fp"), "fp", "left").select("fp", "near", "copies"), "fingerprint-near")
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    searched = matched(got, near.withColumnRenamed("q", "fp"), ["fp"], "left")
+    searched = with_hot_keys(got, named, ["fp"], "copies")
     out = searched.select(
         "doc_id", "h", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),

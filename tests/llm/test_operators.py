@@ -211,6 +211,8 @@ def test_training_rows_are_never_held_out(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
     texts_, y = labelled.sample(docs, labels, "toxic", 1000)
     assert len(texts_) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200)) and not any(zlib.crc32(t.split()[1].encode()) % 5 == 0 for t in texts_)
+    more = labels.unionByName(spark.createDataFrame([(i, i % 2) for i in range(1000, 9000)], "doc_id bigint, toxic int"))  # labels without documents take nothing away
+    assert labelled.sample(docs, more, "toxic", 40) == labelled.sample(docs, labels, "toxic", 40) and len(labelled.sample(docs, more, "toxic", 40)[0]) == 80
     assert len(labelled.sample(docs, labels, "toxic", 10)[0]) == 20 and sorted(set(y)) == [0, 1]
 
 
@@ -420,8 +422,25 @@ def test_mixing(spark, sf, edge):
     assert Counter((r["doc_id"], r["size"]) for r in a) == words
     assert all(r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"] for r in a)
     assert mix.mix(edge.limit(0)).count() == 0
-    out = mix.mixed_documents(edge)
-    assert out.columns == edge.columns and out.count() == sum(r["copies"] for r in a)
+    for docs in (edge, edge.withColumnsRenamed({"h": "_size", "fp": "_n", "size": "q", "key": "_r_source", "n": "extra"})):
+        out = mix.mixed_documents(docs)
+        assert out.columns == docs.columns
+        have = Counter((r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in out.collect())
+        want = Counter()
+        for r in a:
+            want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+        assert have == +want
+
+
+def test_rows_that_tie_at_the_cut_are_taken_in_part(spark):
+    """One source, every document of one id and size: the sample of the other source's share ends among equals."""
+    docs = spark.createDataFrame([(1, f"w{i} b c", "a") for i in range(10)] + [(i, "x y z", "b") for i in range(2, 40)], "doc_id bigint, text string, source string")
+    out, want = mix.mixed_documents(docs), mix.mix(docs)
+    for s in "ab":
+        assert out.filter(F.col("source") == s).count() == want.filter(F.col("source") == s).agg(F.sum("copies")).first()[0]
+    each = Counter(r["text"] for r in out.filter("source = 'a'").collect())
+    assert len(each) == 10 and max(each.values()) - min(each.values()) == 1
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mix.mixed_documents(docs.repartition(5)).collect()))
 
 
 def test_targets_stop_at_three_times_the_source(spark):
@@ -470,7 +489,7 @@ def test_fingerprints(spark, sf, texts):
 
 def test_fingerprint_edges(spark, edge):
     got = table(fingerprint.fingerprint(edge))
-    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter((i, len(t)) for i, t in {(r[0], r[1] or "") for r in rows()})
+    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter((r[0], len(r[1] or "")) for r in rows())
     one = spark.createDataFrame([(1, "abcd efgh")], "doc_id bigint, text string")
     row = fingerprint.fingerprint(one).first()
     assert row["edited_sha256"] == hashlib.sha256(b"abcd efab").hexdigest() and row["fp"] == row["next_fp"]
