@@ -8,7 +8,9 @@ is without memory, so everything after that place keeps its counts. The region a
 are refilled, and the sums above them are updated.
 
 Positions beyond the text are at its end. Edits apply one after another, by seq, each to the text that the ones before it
-left. Null text is empty; null inserted text is empty; null position or deleted count is 0.
+left. Null text is empty; null inserted text is empty; null position or deleted count is 0. Edits with equal seq go by position.
+Every row of a repeated doc_id gets all edits of that doc_id. A text's tree is held in one task. An empty table gives an empty
+result. Only doc_id, text and edits are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, small, table
+from .common import batch_of, small, table, tidy
 
 LEAF, CONTEXT, LOOK = 32, 4, 16
 
@@ -147,7 +149,7 @@ def edited_counts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFra
                         out[n].append(v)
             yield batch_of(_COUNTS, out)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text", "edits").mapInArrow(run, _COUNTS)
+    return docs.select(F.col("doc_id").cast("bigint"), "text", "edits").mapInArrow(tidy(run), _COUNTS)
 
 
 def with_edit_log(docs: DataFrame, log: DataFrame) -> DataFrame:

@@ -4,13 +4,15 @@ Ids are counted over the whole corpus; the counts of at most one vocabulary come
 code lengths of at most MAX_BITS. The codes are canonical, so the lengths alone are the code book. Documents are put in
 ascending doc_id order (null first) and written in blocks of whole documents. A block's payload is
 
-    magic, number of ids, number of checkpoints, bits; one 32-bit bit offset for every CHECKPOINT ids; 64-bit words of codes
+    magic, number of ids, number of checkpoints, bits; one 64-bit bit offset for every CHECKPOINT ids; 64-bit words of codes
 
 and can be decoded without any other block. Decoding looks up MAX_BITS bits at a time in one table; all checkpoints of a
 block advance side by side. The container is Parquet: doc_ids and id counts of a block beside its payload, with the place
 of the block in the order (`_part`, `_block`).
 
-Null text is empty: a document of the end id alone. Rows that repeat a doc_id follow each other in the order of their ids.
+Null text is empty: a document of the end id alone. Rows that repeat a doc_id follow each other in the order of their ids. A
+block holds whole documents, so a very long one is a block of its own. An empty table gives no blocks. Only doc_id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch_of, before, partitions, removed, small, table, written
+from .common import batch_of, before, partitions, removed, small, table, tidy, written
 
 END_ID, VOCABULARY = 2, 49408
 MAX_BITS, CHECKPOINT, BLOCK_IDS = 18, 128, 1 << 17
-MAGIC, _HEAD = b"FLHC", struct.Struct("<4sIII")
+MAGIC, _HEAD = b"FLHC", struct.Struct("<4sIIQ")
 
 _IDS = "doc_id bigint, n bigint, ids binary"
 
@@ -45,7 +47,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
                 own = [np.append(ids[a:z], np.uint32(end_id)).astype("<u2").tobytes() for a, z in zip(off, off[1:], strict=False)]
                 yield batch_of(_IDS, {"doc_id": doc_ids[first : first + len(own)], "n": [len(x) // 2 for x in own], "ids": own})
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _IDS)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), _IDS)
 
 
 def counted(ids: DataFrame, vocabulary: int = VOCABULARY) -> np.ndarray:
@@ -120,7 +122,7 @@ def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
         words[word[first]] = np.bitwise_or.reduceat(part, first)
         over = np.flatnonzero(room < 0)
         words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-    marks = at[::CHECKPOINT].astype("<u4")
+    marks = at[::CHECKPOINT].astype("<u8")
     return _HEAD.pack(MAGIC, len(ids), len(marks), bits) + marks.tobytes() + words.astype("<u8").tobytes()
 
 
@@ -139,8 +141,8 @@ def decode(payload: bytes, lookup: tuple[np.ndarray, np.ndarray], most: int = MA
     magic, n, marks, _ = _HEAD.unpack_from(payload)
     if magic != MAGIC:
         raise ValueError("not a block of ids")
-    at = np.frombuffer(payload, "<u4", marks, _HEAD.size).astype(np.int64)
-    words = np.frombuffer(payload, "<u8", -1, _HEAD.size + 4 * marks).astype(np.uint64)
+    at = np.frombuffer(payload, "<u8", marks, _HEAD.size).astype(np.int64)
+    words = np.frombuffer(payload, "<u8", -1, _HEAD.size + 8 * marks).astype(np.uint64)
     ids, sizes = lookup
     out = np.zeros((CHECKPOINT, max(marks, 1)), np.int32)
     for step in range(min(CHECKPOINT, n)):
@@ -186,7 +188,7 @@ def write(ids: DataFrame, lengths: np.ndarray, block_ids: int = BLOCK_IDS) -> Da
         if held:
             yield flush()
 
-    return written(line.mapInArrow(run, _BLOCK), "ids-blocks")
+    return written(line.mapInArrow(tidy(run), _BLOCK), "ids-blocks")
 
 
 _DOC = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
@@ -213,7 +215,7 @@ def read(container: DataFrame, lengths: np.ndarray, keep_ids: bool = True) -> Da
                     at += n
                 yield batch_of(_DOC, out)
 
-    return rows.mapInArrow(run, _DOC)
+    return rows.mapInArrow(tidy(run), _DOC)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str | None = None) -> tuple[DataFrame, DataFrame]:

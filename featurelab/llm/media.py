@@ -8,10 +8,13 @@ false positive only moves a chunk to the shared table, so results do not depend
 all chunks go that way. Reading back joins the ordered chunk list of each distinct payload to the shared chunks, puts the
 payload together, and checks every chunk digest.
 
-The stored form of a media item is a header (magic, number of chunks), the ordered list (size, digest of each chunk), then
-the chunks' bytes: 8-bit samples in order.
+The stored form of a media item is its recipe, a header (magic, number of chunks) and the ordered list (size, digest of each
+chunk), then the chunks' bytes: 8-bit samples in order. Recipe and chunks are what the store holds; digests are taken of the
+bytes as they are read from it.
 
-Null text is empty; an empty text is a payload of 64 zero bytes. Null or repeated doc_ids keep one result row per input row.
+Null text is empty; an empty text is a payload of 64 zero bytes. Null or repeated doc_ids keep one result row per input row. A
+payload is put together in one row, whatever its length; a worker holds about 4 MB of them besides. An empty table gives an
+empty result. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,12 +22,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, small, table, written
+from .common import batch_of, small, table, tidy, with_hot_keys, written
 
 UNIT = 64
 MIN_CHUNK, CUT_BITS, MAX_CHUNK = 256, 10, 4096
@@ -83,8 +87,18 @@ def split(data: bytes) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def stored_form(chunks: list[tuple[int, int, bytes]]) -> bytes:
-    return b"".join([MAGIC, struct.pack("<I", len(chunks)), *[struct.pack("<Iqq", len(c), hi, lo) for hi, lo, c in chunks], *[c for _, _, c in chunks]])
+_ENTRY = struct.Struct("<Iqq")
+
+
+def recipe_of(chunks: list[tuple[int, int, bytes]]) -> bytes:
+    return b"".join([MAGIC, struct.pack("<I", len(chunks)), *[_ENTRY.pack(len(c), hi, lo) for hi, lo, c in chunks]])
+
+
+def entries(recipe: bytes) -> list[tuple[int, int, int]]:
+    """Size and digest of each chunk."""
+    if recipe[:4] != MAGIC:
+        raise ValueError("not a recipe")
+    return list(_ENTRY.iter_unpack(recipe[8:]))
 
 
 def features(samples: np.ndarray) -> str:
@@ -115,7 +129,7 @@ def manifest(docs: DataFrame) -> DataFrame:
                 rows["lo"].append([c[1] for c in got])
             yield batch_of(_MANIFEST, rows)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _MANIFEST)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), _MANIFEST)
 
 
 def shared_filter(lists: DataFrame) -> np.ndarray:
@@ -135,101 +149,93 @@ def _maybe_shared(words: np.ndarray, hi: int, lo: int) -> bool:
     return bool((int(words[a >> 6]) >> (a & 63)) & (int(words[b >> 6]) >> (b & 63)) & 1)
 
 
-_PACK = "p_hi bigint, p_lo bigint, hi array<bigint>, lo array<bigint>, size array<int>, shared array<boolean>, body binary"
-_CHUNK = "hi bigint, lo bigint, body binary"
+_PACK = "p_hi bigint, p_lo bigint, recipe binary, at array<int>, hi array<bigint>, lo array<bigint>, body binary"
+_CHUNK = "hi bigint, lo bigint, body binary, uses bigint"
 
 
 def packs(docs: DataFrame, words) -> DataFrame:
-    """For every document its ordered chunk list and the bytes of the chunks that nothing else uses."""
+    """For every document its recipe, the bytes of the chunks that nothing else uses, and places and digests of the others."""
 
     def run(batches):
-        bloom, names = words.value, ("p_hi", "p_lo", "hi", "lo", "size", "shared", "body")
+        bloom, names = words.value, ("p_hi", "p_lo", "recipe", "at", "hi", "lo", "body")
         for b in small(batches):
             rows = {n: [] for n in names}
             for text in b.column(0):
                 data = payload_of(text.as_py())
                 got = split(data)
                 flags = [_maybe_shared(bloom, hi, lo) for hi, lo, _ in got]
-                values = (*digest(data), [c[0] for c in got], [c[1] for c in got], [len(c[2]) for c in got], flags, b"".join(c[2] for c, f in zip(got, flags, strict=True) if not f))
+                at = [i for i, f in enumerate(flags) if f]
+                values = (*digest(data), recipe_of(got), at, [got[i][0] for i in at], [got[i][1] for i in at], b"".join(c[2] for c, f in zip(got, flags, strict=True) if not f))
                 for n, v in zip(names, values, strict=True):
                     rows[n].append(v)
             yield batch_of(_PACK, rows)
 
-    return docs.select("text").mapInArrow(run, _PACK)
+    return docs.select("text").mapInArrow(tidy(run), _PACK)
 
 
 def shared_chunks(docs: DataFrame, words) -> DataFrame:
-    """Every chunk that may be shared, once."""
+    """Every chunk that may be shared, once, and how often it occurs."""
 
     def run(batches):
         bloom = words.value
         for b in small(batches):
-            found = {}
+            found, uses = {}, Counter()
             for text in b.column(0):
                 for hi, lo, c in split(payload_of(text.as_py())):
-                    if (hi, lo) not in found and _maybe_shared(bloom, hi, lo):
+                    if _maybe_shared(bloom, hi, lo):
                         found[hi, lo] = c
-            yield batch_of(_CHUNK, {"hi": [k[0] for k in found], "lo": [k[1] for k in found], "body": list(found.values())})
+                        uses[hi, lo] += 1
+            yield batch_of(_CHUNK, {"hi": [k[0] for k in found], "lo": [k[1] for k in found], "body": list(found.values()), "uses": [uses[k] for k in found]})
 
-    return docs.select("text").mapInArrow(run, _CHUNK).groupBy("hi", "lo").agg(F.first("body").alias("body"))
+    return docs.select("text").mapInArrow(tidy(run), _CHUNK).groupBy("hi", "lo").agg(F.first("body").alias("body"), F.sum("uses").alias("uses"))
 
 
 _MEDIA = "p_hi bigint, p_lo bigint, payload binary, media binary"
+_DIGESTS = "p_hi bigint, p_lo bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def read_back(pack: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every distinct payload with its stored form, put together from the stored chunks and verified."""
+def _digests(p_hi: int, p_lo: int, data: bytes, form: bytes) -> tuple:
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return p_hi, p_lo, len(data), sha(data), zlib.crc32(data[-UNIT:]), len(form), sha(form), features(np.frombuffer(data, np.uint8))
+
+
+def read_back(pack: DataFrame, chunks: DataFrame, digests: bool = False) -> DataFrame:
+    """Every distinct payload with its stored form, put together from the stored chunks and verified; or the digests of both."""
     own = pack.filter(F.length("body") > 0)
     bare = pack.filter(F.length("body") == 0)
     # copies of a payload share all their chunks, so their rows hold no bytes and are cheap to tell apart
-    bare = bare.groupBy("p_hi", "p_lo").agg(*[F.first(c).alias(c) for c in ("hi", "lo", "size", "shared", "body")])
+    bare = bare.groupBy("p_hi", "p_lo").agg(*[F.first(c).alias(c) for c in ("recipe", "at", "hi", "lo", "body")])
     stored = own.unionByName(bare)
-    whole = stored.filter(~F.exists("shared", lambda x: x)).withColumn("got", F.lit(None).cast("array<struct<i:int,body:binary>>"))
-    part = stored.filter(F.exists("shared", lambda x: x))
-    refs = part.select("p_hi", "p_lo", F.posexplode(F.arrays_zip("hi", "lo", "shared")).alias("i", "c")).filter("c.shared").select("p_hi", "p_lo", "i", "c.hi", "c.lo")
-    got = refs.join(chunks, ["hi", "lo"]).groupBy("p_hi", "p_lo").agg(F.collect_list(F.struct("i", "body")).alias("got"))
+    whole = stored.filter(F.size("at") == 0).withColumn("got", F.lit(None).cast("array<struct<i:int,body:binary>>"))
+    part = stored.filter(F.size("at") > 0)
+    refs = part.select("p_hi", "p_lo", F.explode(F.arrays_zip("at", "hi", "lo")).alias("c")).select("p_hi", "p_lo", F.col("c.at").alias("i"), "c.hi", "c.lo")
+    got = with_hot_keys(refs, chunks, ["hi", "lo"], "uses").groupBy("p_hi", "p_lo").agg(F.collect_list(F.struct("i", "body")).alias("got"))
     rows = whole.unionByName(part.join(got, ["p_hi", "p_lo"]))
+    schema = _DIGESTS if digests else _MEDIA
 
     def run(batches):
-        names = ("p_hi", "p_lo", "payload", "media")
-        for b in small(batches):
+        names = [f.split(" ")[0] for f in schema.split(", ")]
+        for b in small(batches, 100):
             out = {n: [] for n in names}
-            for r in zip(*[b.column(n) for n in ("p_hi", "p_lo", "hi", "lo", "size", "shared", "body", "got")], strict=True):
-                p_hi, p_lo, hi, lo, size, shared, body, fetched = [x.as_py() for x in r]
-                by_place = {g["i"]: g["body"] for g in fetched or []}
-                at, chunks_ = 0, []
-                for i, (h, l, s, f) in enumerate(zip(hi, lo, size, shared, strict=True)):
-                    c = by_place[i] if f else body[at : at + s]
-                    at += 0 if f else s
-                    if len(c) != s or digest(c) != (h, l):
+            for r in zip(*b.columns, strict=True):
+                p_hi, p_lo, recipe, body, fetched = [x.as_py() for x in r]
+                by_place, at, chunks_ = {g["i"]: g["body"] for g in fetched or []}, 0, []
+                for i, (size, hi, lo) in enumerate(entries(recipe)):
+                    c = by_place.get(i)
+                    if c is None:
+                        c, at = body[at : at + size], at + size
+                    if len(c) != size or digest(c) != (hi, lo):
                         raise ValueError(f"chunk {i} of payload {p_hi:x}{p_lo:x} does not match its digest")
-                    chunks_.append((h, l, c))
-                data = b"".join(c for _, _, c in chunks_)
+                    chunks_.append(c)
+                data = b"".join(chunks_)
                 if digest(data) != (p_hi, p_lo):
                     raise ValueError(f"payload {p_hi:x}{p_lo:x} does not match its digest")
-                for n, v in zip(names, (p_hi, p_lo, data, stored_form(chunks_)), strict=True):
-                    out[n].append(v)
-            yield batch_of(_MEDIA, out)
-
-    return rows.select("p_hi", "p_lo", "hi", "lo", "size", "shared", "body", "got").mapInArrow(run, _MEDIA)
-
-
-_DIGESTS = "p_hi bigint, p_lo bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-
-
-def media_digests(media: DataFrame) -> DataFrame:
-    def run(batches):
-        names = [f.split(" ")[0] for f in _DIGESTS.split(", ")]
-        for b in small(batches):
-            out = {n: [] for n in names}
-            for p_hi, p_lo, p, m in zip(*[b.column(i) for i in range(4)], strict=True):
-                data, form = p.as_py(), m.as_py()
-                row = (p_hi.as_py(), p_lo.as_py(), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), features(np.frombuffer(data, np.uint8)))
-                for n, v in zip(names, row, strict=True):
+                values = _digests(p_hi, p_lo, data, recipe + data) if digests else (p_hi, p_lo, data, recipe + data)
+                for n, v in zip(names, values, strict=True):
                     out[n].append(v)
-            yield batch_of(_DIGESTS, out)
+            yield batch_of(schema, out)
 
-    return media.mapInArrow(run, _DIGESTS)
+    return rows.select("p_hi", "p_lo", "recipe", "body", "got").mapInArrow(tidy(run), schema)
 
 
 class Store:
@@ -246,8 +252,14 @@ class Store:
         """p_hi, p_lo, payload, media of every distinct payload."""
         return read_back(self.packs, self.chunks)
 
+    def digests(self) -> DataFrame:
+        """What is read back of every document: doc_id, n_bytes, n_chunks, sizes and digests, feature."""
+        key = ["p_hi", "p_lo"]
+        docs = self.documents.select("doc_id", "n_bytes", *key, F.size("hi").cast("bigint").alias("n_chunks"))
+        counts = docs.groupBy(*key).agg(F.count("*").alias("copies"))
+        each = written(read_back(self.packs, self.chunks, digests=True).join(counts, key), "media-digests")
+        return with_hot_keys(docs, each, key, "copies").drop(*key)
+
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = Store(table(spark, sf_dir, "documents"))
-    got = media_digests(store.media())
-    return store.documents.select("doc_id", "n_bytes", "p_hi", "p_lo", F.size("hi").cast("bigint").alias("n_chunks")).join(got, ["p_hi", "p_lo"]).drop("p_hi", "p_lo")
+    return Store(table(spark, sf_dir, "documents")).digests()

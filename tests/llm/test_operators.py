@@ -97,8 +97,7 @@ def check_media(got, docs):
 
 
 def media_rows(docs):
-    store = media.Store(docs)
-    return store.documents.select("doc_id", "n_bytes", "p_hi", "p_lo").join(media.media_digests(store.media()), ["p_hi", "p_lo"])
+    return media.Store(docs).digests()
 
 
 def test_media(spark, sf, texts, edge):
@@ -114,6 +113,9 @@ def test_shared_chunks_are_stored_once_and_damage_is_found(spark):
     assert len(chunks) == len(set(chunks)) > 5
     stored = store.packs.select(F.sum(F.length("body"))).first()[0] + store.chunks.select(F.sum(F.length("body"))).first()[0]
     assert stored < 2.5 * len(body)
+    recipes = {(r["p_hi"], r["p_lo"]): r["recipe"] for r in store.packs.collect()}
+    for r in store.media().collect():
+        assert r["media"] == recipes[r["p_hi"], r["p_lo"]] + r["payload"] and r["payload"].startswith(b"head ")
     with pytest.raises(Exception, match="digest"):
         media.read_back(store.packs, store.chunks.withColumn("body", F.concat(F.lit(b"!"), F.expr("substring(body, 2)")))).collect()
 
@@ -182,6 +184,60 @@ def test_classifiers(spark, name, module, label, least):
     assert np.mean([got[i]["predicted"] == labels[i] for i in held]) > least
 
 
+def slow_toxicity(m, text):
+    """The most toxic window, n-gram by n-gram."""
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", text.lower().encode()) if w]
+    if not words:
+        return 0.0
+    worths = []
+    for w in words:
+        w, own = b" " + w + b" ", []
+        for n in (3, 4, 5):
+            for k in range(len(w) - n + 1):
+                h = w[k]
+                for c in w[k + 1 : k + n]:
+                    h = (h * 16777619 & 0xFFFFFFFF) ^ c
+                h ^= n * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+                own.append(float(m.worth[(h * 0x85EBCA6B & 0xFFFFFFFF) >> 14]))
+        worths.append(own)
+    logits = []
+    for k in range(0, max(len(words) - 8, 0) + 4, 4):
+        if k == 0 or k < len(words) - 8 + 4:
+            bag = [x for own in worths[k : k + 8] for x in own]
+            logits.append(sum(bag) / max(len(bag), 1) + m.bias)
+    return 1 / (1 + np.exp(-max(logits)))
+
+
+def slow_quality(m, text):
+    """Every token's vector in turn, and the network by hand."""
+    vectors, last, n = [], None, 0
+    for raw in text.split():
+        n += 1
+        w = m.reader.words.get(re.sub(r"^\W+|\W+$", "", raw).lower(), 0)
+        vectors += [m.word[w]] * (w > 0) + [m.shape[m.reader.shapes.get(quality.shape_of(raw), 0)]] + [m.repeat] * (raw == last)
+        last = raw
+    x = np.sum(vectors, axis=0, dtype=np.float64) / n if n else np.zeros(quality.DIM)
+    mean, scale, w1, b1, w2, b2 = m.layers
+    z = np.maximum((x - mean) / scale @ w1 + b1, 0) @ w2 + b2
+    return 1 / (1 + np.exp(-(z[1] - z[0]) / m.temperature))
+
+
+@pytest.mark.parametrize("module, label, slow", [(toxicity, "toxic", slow_toxicity), (quality, "quality", slow_quality)])
+def test_scores_equal_a_slow_scorer(spark, monkeypatch, edge, module, label, slow):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = module.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    some = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()] + [r[1] or "" for r in rows()] + ["a " * k for k in range(1, 30)]
+    want = [slow(m, t) for t in some]
+    assert m.scores(some) == pytest.approx(want, abs=1e-4)
+    by_row = [r["score"] for r in labelled.score_table(edge, m, 0.5).orderBy("score").collect()]
+    assert by_row == pytest.approx(sorted(slow(m, r[1] or "") for r in rows()), abs=1e-4)
+    monkeypatch.setattr(module, "BLOCK" if module is toxicity else "PART", 50)  # long texts in parts
+    monkeypatch.setattr(toxicity, "LONG", 3)
+    assert m.scores(some) == pytest.approx(want, abs=1e-4)
+
+
 def test_misspellings_share_vectors():
     rnd = random.Random(4)
     words = ["".join(rnd.choices("abcdeilmnorst", k=rnd.randint(3, 8))) for _ in range(400)]
