@@ -29,8 +29,7 @@ def prepared(spark, c: cfg.Config) -> DataFrame:
         print(f"warning: {w}")
     df = df.withColumn("row_id", F.monotonically_increasing_id()).persist()
     if c.date_col:
-        t = splits.temporal_split(df, [F.col(c.date_col), F.col("row_id")], c.n_folds)
-        return t.withColumn("fold", F.when(F.col("chunk") > 1, (F.col("chunk") - 2).cast("int")))
+        return splits.temporal_split(df, [F.col(c.date_col), F.col("row_id")], c.n_folds).drop("rn")
     return splits.stratified_split(splits.strata(df, c.target), "row_id", "stratum", c.n_folds, seed=c.random_seed)
 
 
@@ -86,7 +85,8 @@ def main(argv: list[str] | None = None) -> int:
     df = prepared(spark, c)
     features = [x for x in df.columns if x not in (c.target, "row_id", "split", "fold", "stratum", "chunk", "rn", c.date_col)]
     if a.command == "prepare":
-        show(df.groupBy("split", "fold").count().orderBy("split", "fold"))
+        part = "chunk" if c.date_col else "fold"
+        show(df.groupBy("split", part).count().orderBy("split", part))
         show(profile.profile(df.select(*features)))
     elif a.command == "discover":
         rows = query.scope(df).select(*features)
@@ -111,7 +111,7 @@ def main(argv: list[str] | None = None) -> int:
         for x in a.features or features:
             made[x] = F.col(f"`{x}`") if x in df.columns else compile_expression(x, df).column
         names = {x: f"x{k}" if x not in df.columns else x for k, x in enumerate(made)}
-        wide = df.select("row_id", "split", "fold", c.target, *[e.alias(names[x]) for x, e in made.items()])
+        wide = df.select("row_id", "split", "chunk" if c.date_col else "fold", c.target, *[e.alias(names[x]) for x, e in made.items()])
         r = model.cross_validate(wide, list(names.values()), c.target, c.metric, "row_id", c.n_folds, a.trees, shap=True)
         done = L.record(r["cv_score"], r["cv_std"], list(made), a.description, c.higher_is_better, c.min_delta, datetime.datetime.now())
         back = {v: k for k, v in names.items()}

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import cut
+
 LOCAL = (1 << 33) - 1
 
 
 def parts(df: DataFrame, order: list[Column | str]) -> DataFrame:
     """df with `_part` (ascending ranges of the order) and `_row` (from 0 within its range).
 
-    The sorted rows are kept (checkpointed where a folder for it is set), so that all later passes see the same ranges.
+    The sorted rows are kept in the shared folder, so that all later passes see the same ranges, also after an executor is lost.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     line = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    line = line.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else line.persist()
-    return line.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit(LOCAL))}).drop("_at")
+    return cut(line).withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit(LOCAL))}).drop("_at")
 
 
 def with_before(line: DataFrame, amount: Column, name: str) -> DataFrame:
@@ -36,3 +39,32 @@ def ranked(df: DataFrame, order: list[Column | str], name: str = "rn") -> DataFr
     w = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
     return line.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_row") + 1).drop("_part", "_row", "_start")
+
+
+def percentiles(df: DataFrame, columns: dict[str, Column], at: list[float]) -> dict[str, list[float | None]]:
+    """Exact percentiles (linear between neighbours) of each column at the given shares; None without values. Missing is left out.
+
+    Values are counted first, all columns in one exchange; the counts are summed up along the order, and the few values at the
+    wanted places are looked up. No task holds the values of a column.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, c in columns.items()])).alias("x")).select("x.*")
+    counts = long.filter("v is not null").groupBy("name", "v").agg(F.count("*").alias("n"))
+    line = with_before(parts(counts, ["name", "v"]), F.col("n"), "before")
+    spans = {r["name"]: (r["first"], r["total"]) for r in line.groupBy("name").agg(F.min("before").alias("first"), F.sum("n").alias("total")).collect()}  # one row for each column
+    places = {(n, p): first + p * (total - 1) for n, (first, total) in spans.items() for p in at}
+    wanted = sorted({(n, int(f(x))) for (n, _), x in places.items() for f in (floor, ceil)})
+    if not wanted:
+        return {n: [None] * len(at) for n in columns}
+    asked = df.sparkSession.createDataFrame(wanted, "name string, place bigint")  # two for each column and share
+    here = (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n"))
+    value = {(r["name"], r["place"]): r["v"] for r in line.join(F.broadcast(asked), "name").filter(here).select("name", "place", "v").collect()}
+
+    def between(n: str, p: float) -> float | None:
+        if n not in spans:
+            return None
+        x = places[n, p]
+        lo, hi = floor(x), ceil(x)
+        a, b = value[n, lo], value[n, hi]
+        return a if lo == hi or a == b else (hi - x) * a + (x - lo) * b
+
+    return {n: [between(n, p) for p in at] for n in columns}

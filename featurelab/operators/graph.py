@@ -8,12 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_ROUNDS = 50
-
+from ..functions.shared import cut as _cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared folder if there is one, so that rounds don't repeat those before."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+MAX_ROUNDS = 50
 
 
 def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -89,12 +86,12 @@ def improvement_chain(improved: DataFrame, start: int | None = None) -> DataFram
     return line.select("place", F.col("node").alias("exp_id"))
 
 
-def simple_paths(edges: DataFrame, source: str, target: str, limit: int = 5, max_depth: int = 20) -> DataFrame:
-    """path (array): up to `limit` paths without repeated nodes, shortest first."""
+def simple_paths(edges: DataFrame, source: str, target: str, limit: int = 5) -> DataFrame:
+    """path (array): up to `limit` paths without repeated nodes, shortest first. Goes on until there are enough or no more."""
     spark = edges.sparkSession
     front = spark.createDataFrame([([source],)], "path array<string>")
     done = spark.createDataFrame([], "path array<string>")
-    for _ in range(max_depth):
+    while True:
         end = F.element_at("path", -1)
         step = front.join(edges, end == edges["src"]).filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
         step = _cut(step)

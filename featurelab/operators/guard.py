@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.expr import finite
+from ..functions.order import percentiles, ranked
 
 
 def infinite_to_missing(df: DataFrame) -> DataFrame:
@@ -19,8 +20,7 @@ def infinite_to_missing(df: DataFrame) -> DataFrame:
 def ordinal_codes(train: DataFrame, column: str, row_id: str) -> DataFrame:
     """value, code: distinct values by first appearance (least row_id), from 0."""
     firsts = train.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(row_id).alias("_first"))
-    w = Window.partitionBy().orderBy("_first", "value")  # distinct values only
-    return firsts.select("value", (F.row_number().over(w) - 1).alias("code"))
+    return ranked(firsts, ["_first", "value"]).select("value", (F.col("rn") - 1).alias("code"))
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame, unseen: float = -1.0) -> DataFrame:
@@ -31,8 +31,7 @@ def encode(df: DataFrame, column: str, codes: DataFrame, unseen: float = -1.0) -
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(columns)}
+    return {c: q[0] for c, q in percentiles(df, {c: F.col(c) for c in columns}, [0.5]).items()} if columns else {}
 
 
 def impute(df: DataFrame, values: dict[str, float | None], empty: float | None = None) -> DataFrame:

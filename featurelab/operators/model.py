@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics
+from ..functions.shared import shared_dir
 from .guard import Guard, label_index
+from .splits import training_rows, validation_rows
 
 TREES, RATE, DEPTH, SEED = 100, 0.05, 6, 42
+MAX_LABELS = 1000
 
 
 def _matrix(df: DataFrame, features: list[str]) -> DataFrame:
@@ -64,16 +67,23 @@ def score(df: DataFrame, metric: str, target: str, n_classes: int) -> float:
 
 
 def cross_validate(df: DataFrame, features: list[str], target: str, metric: str, row_id: str, n_folds: int = 5, trees: int = TREES, shap: bool = False) -> dict:
-    """df has split and fold. Guard and model are fitted per fold on the other folds. Returns scores, mean, std and SHAP."""
+    """df has split and fold, or chunk (temporal_split). Guard and model are fitted per fold on its training rows (with chunks on
+    earlier ones only). Returns scores, mean, std and SHAP. A label that fold 0 does not train on is an error."""
     train_rows = df.filter("split = 'train'")
     n_classes = 0
     if metric not in ("rmse", "mae"):
-        codes = label_index(train_rows.filter("fold <> 0"), target).persist()
-        n_classes = codes.count()
-        train_rows = train_rows.join(F.broadcast(codes), train_rows[target].cast("string") == codes["value"]).drop("value", target).withColumnRenamed("code", target)
+        label = F.col(target).cast("string")
+        codes = {r["value"]: r["code"] for r in label_index(training_rows(train_rows, 0), target).limit(MAX_LABELS + 1).collect()}
+        n_classes = len(codes)
+        if n_classes > MAX_LABELS:
+            raise ValueError(f"more than {MAX_LABELS} labels: each would be a model of its own")
+        unseen = [r[0] for r in train_rows.select(label).filter(label.isNull() | ~label.isin(list(codes))).distinct().limit(10).collect()]
+        if unseen:
+            raise ValueError(f"labels that the first fold does not train on: {unseen}")
+        train_rows = train_rows.withColumn(target, F.element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), label))
     scores, shaps = [], []
     for k in range(n_folds):
-        train, val = train_rows.filter(F.col("fold") != k), train_rows.filter(F.col("fold") == k)
+        train, val = training_rows(train_rows, k), validation_rows(train_rows, k)
         guard = Guard(features, row_id).fit(train)
         a, b = guard.transform(train).persist(), guard.transform(val).persist()
         if metric in ("rmse", "mae"):
@@ -114,8 +124,7 @@ def leaves(model) -> list[list[tuple[float, list[tuple[int, float, float, float]
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/featurelab-models").rstrip("/")
-    path = f"{base}/model-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     rows = spark.read.parquet(f"{path}/data")
     nodes = rows.select("treeID", "nodeData.*").collect()  # as many rows as nodes of all trees

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.order import percentiles
 from ..functions.stats import skewness, top_values
 
 FEW = 20
@@ -35,9 +36,9 @@ def profile(df: DataFrame, exclude: list[str] | None = None) -> DataFrame:
 def quantiles(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, p5, p25, p75, p95 (linear), skewness. Booleans count as 0 and 1."""
     names = columns or numeric_columns(df, boolean=True)
-    at = F.array(*[F.lit(p) for p in (0.05, 0.25, 0.75, 0.95)])
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), at).alias(f"q{i}") for i, c in enumerate(names)], *[skewness(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(names)])
-    item = lambda i, k: F.col(f"q{i}")[k]
+    q = percentiles(df, {c: F.col(c) for c in names}, [0.05, 0.25, 0.75, 0.95]) if names else {}
+    row = df.agg(*[skewness(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(names)])
+    item = lambda i, k: F.lit(q[names[i]][k]).cast("double")
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), item(i, 0).alias("p5"), item(i, 1).alias("p25"), item(i, 2).alias("p75"), item(i, 3).alias("p95"), F.col(f"s{i}").alias("skewness")) for i, c in enumerate(names)])).alias("x")).select("x.*")
 
 

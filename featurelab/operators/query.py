@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr, stats
 from .ledger import Ledger
+from .splits import training_rows
 
 LIMIT = 20
 
@@ -19,7 +20,7 @@ class QueryLimit(RuntimeError):
 
 def scope(df: DataFrame) -> DataFrame:
     """Training rows of the first fold."""
-    return df.filter("split = 'train' and fold <> 0")
+    return training_rows(df, 0)
 
 
 def run_query(df: DataFrame, kind: str, target: str, ledger: Ledger | None = None, **kw) -> DataFrame:

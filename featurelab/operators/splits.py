@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.order import ranked
+from ..functions.order import percentiles, ranked
 
 SEED = 42
 
@@ -19,7 +19,7 @@ def draw(row_id: Column, seed: int = SEED) -> Column:
 def temporal_split(df: DataFrame, order: list[Column], n_folds: int = 5, test_share: float = 0.2) -> DataFrame:
     """split ("train" or "test": the last part), chunk (1 .. n_folds + 1, NULL for test and for rows that no chunk takes).
 
-    Fold i trains on chunks up to i and validates on chunk i + 1.
+    Fold k (from 0) trains on chunks 1 .. k + 1 and validates on chunk k + 2: on the past only.
     """
     n = df.count()
     pool = int(n * (1 - test_share))
@@ -30,14 +30,32 @@ def temporal_split(df: DataFrame, order: list[Column], n_folds: int = 5, test_sh
     return r.withColumns({"split": F.when(test, "test").otherwise("train"), "chunk": F.when(~test & (chunk <= n_folds + 1), chunk)})
 
 
+def training_rows(df: DataFrame, fold: int) -> DataFrame:
+    """What a fold may learn from: with chunks (temporal_split) those before its own, else all other folds."""
+    return df.filter((F.col("split") == "train") & (F.col("chunk") <= fold + 1 if "chunk" in df.columns else F.col("fold") != fold))
+
+
+def validation_rows(df: DataFrame, fold: int) -> DataFrame:
+    return df.filter((F.col("split") == "train") & (F.col("chunk") == fold + 2 if "chunk" in df.columns else F.col("fold") == fold))
+
+
+def fold_roles(df: DataFrame, n_folds: int = 5) -> DataFrame:
+    """The rows of df once for each fold that reads them, with `fold` and `role` ("train" or "validation")."""
+    out = None
+    for k in range(n_folds):
+        for role, rows in (("train", training_rows(df, k)), ("validation", validation_rows(df, k))):
+            part = rows.withColumns({"fold": F.lit(k), "role": F.lit(role)})
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def strata(df: DataFrame, target: str, bins: int = 10, few: int = 20) -> DataFrame:
     """df with `stratum` (text): quantile bins, closed at the right, of a numeric target of more than `few` values; else the target."""
     kind = dict(df.dtypes)[target]
     numeric = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
     if not numeric or df.agg(F.count_distinct(target)).first()[0] <= few:
         return df.withColumn("stratum", F.col(target).cast("string"))
-    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = sorted(set(df.agg(F.percentile(F.col(target).cast("double"), at).alias("q")).first()["q"]))
+    edges = sorted(set(percentiles(df, {target: F.col(target)}, [i / bins for i in range(bins + 1)])[target]))
     inner = [F.when(F.col(target) > e, 1).otherwise(0) for e in edges[1:-1]]
     total = F.lit(0)
     for i in inner:

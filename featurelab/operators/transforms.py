@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import finite, ratio
+from ..functions.order import percentiles
 
 
 @dataclass(frozen=True)
@@ -54,8 +55,8 @@ def absolute(c: str, name: str | None = None) -> Transform:
 
 
 def clip(c: str, low: float = 0.01, high: float = 0.99, name: str | None = None) -> Transform:
-    fit = lambda df: df.agg(F.percentile(_num(c), F.array(F.lit(low), F.lit(high)))).first()[0]
-    return Transform(name or f"clip_{c}", "clip", (c,), lambda q: F.when(_num(c).isNotNull(), F.least(F.greatest(_num(c), F.lit(q[0])), F.lit(q[1]))) if q else _num(c), fit)
+    fit = lambda df: percentiles(df, {c: _num(c)}, [low, high])[c]
+    return Transform(name or f"clip_{c}", "clip", (c,), lambda q: F.when(_num(c).isNotNull(), F.least(F.greatest(_num(c), F.lit(q[0])), F.lit(q[1]))) if q[0] is not None else _num(c), fit)
 
 
 def zscore(c: str, name: str | None = None) -> Transform:
@@ -134,8 +135,8 @@ def _above(c: str, edges: list[float]) -> Column:
 def quantile_bin(c: str, bins: int = 10, name: str | None = None) -> Transform:
     """Bins closed at the right; equal edges fall together."""
     def fit(df: DataFrame) -> list[float]:
-        q = df.agg(F.percentile(_num(c), F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()[0] or []
-        return sorted(set(q))[1:-1]
+        q = percentiles(df, {c: _num(c)}, [i / bins for i in range(bins + 1)])[c]
+        return sorted({x for x in q if x is not None})[1:-1]
 
     return Transform(name or f"qbin_{c}", "quantile_bin", (c,), lambda edges: _above(c, edges), fit)
 

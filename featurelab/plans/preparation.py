@@ -34,6 +34,11 @@ def _temporal(s, d):
     return splits.temporal_split(read(s, d, "orders"), [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", "split", F.col("chunk").cast("bigint"))
 
 
+def _temporal_folds(s, d):
+    parts = splits.temporal_split(read(s, d, "orders"), [F.col("o_orderdate"), F.col("o_orderkey")])
+    return splits.fold_roles(parts).select(F.col("fold").cast("bigint"), "role", "o_orderkey")
+
+
 def _ordinal(s, d):
     df = _folded(s, d).withColumn("status", F.when(F.col("o_orderkey") % 7 != 0, F.concat("o_orderstatus", F.col("o_custkey") % 40)))
     train = df.filter("split = 'train' and o_custkey % 40 <> 3")
@@ -95,6 +100,7 @@ _ROW = ["l_orderkey", "l_linenumber"]
 
 QUERIES = {
     "temporal_split": _temporal,
+    "temporal_folds": _temporal_folds,
     "stratified_folds": lambda s, d: _folded(s, d).select("o_orderkey", "split", F.col("fold").cast("bigint")),
     "quantile_strata": lambda s, d: splits.strata(read(s, d, "part"), "p_retailprice").select("p_partkey", "stratum"),
     "hash_sample": lambda s, d: splits.hash_sample(read(s, d, "orders"), "o_orderkey", 1000).select("o_orderkey"),
@@ -123,6 +129,9 @@ SQL = {
     "temporal_split": """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, CAST(floor(count(*) OVER () * 0.8) AS BIGINT) AS pool FROM orders),
         c AS (SELECT *, (rn - 1) // (pool // 6) + 1 AS chunk FROM r)
         SELECT o_orderkey, CASE WHEN rn > pool THEN 'test' ELSE 'train' END AS split, CASE WHEN rn <= pool AND chunk <= 6 THEN chunk END AS chunk FROM c""",
+    "temporal_folds": """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, CAST(floor(count(*) OVER () * 0.8) AS BIGINT) AS pool FROM orders),
+        f AS (SELECT o_orderkey, rn, pool // 6 AS size, k FROM r, range(5) t(k) WHERE rn <= pool)
+        SELECT k AS fold, CASE WHEN rn <= size * (k + 1) THEN 'train' ELSE 'validation' END AS role, o_orderkey FROM f WHERE rn <= size * (k + 2)""",
     "stratified_folds": _FOLDED + " SELECT o_orderkey, split, fold FROM o",
     "quantile_strata": "WITH e AS (SELECT " + ", ".join(f"quantile_cont(p_retailprice, {i / 10}) AS q{i}" for i in range(1, 10)) + " FROM part) SELECT p_partkey, CAST(" + " + ".join(f"CASE WHEN p_retailprice > q{i} THEN 1 ELSE 0 END" for i in range(1, 10)) + " AS VARCHAR) AS stratum FROM part, e",
     "hash_sample": "SELECT o_orderkey FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|42'), 1, 8) AS BIGINT) % 10 = 0",
