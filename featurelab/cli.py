@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import datetime
 import json
 from pathlib import Path
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.expr import compile_expression
-from .operators import discover, model, profile, query, reports, splits
+from .operators import discover, model, profile, query, reports, splits, views
 from .operators.guard import impute, medians
 from .operators.ledger import Ledger, improved_over, outperforms
 from .session import session
@@ -22,6 +23,12 @@ from .sources import config as cfg
 from .sources import tables
 
 
+REPORTS = [
+    "history", "timeline", "success", "failed", "hypotheses", "calibration", "improvements", "outperforms", "sessions", "shap", "saturated", "load-bearing",
+    "untried", "coverage", "ablation", "edge-types", "lineage", "column", "correlations", "discovery", "invariants",
+]
+
+
 def prepared(spark, c: cfg.Config) -> DataFrame:
     """The data set with row_id, split and fold."""
     df = tables.read(spark, c.data_path, list(c.exclude_columns))
@@ -60,7 +67,8 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--description", default="")
     t.add_argument("--trees", type=int, default=model.TREES)
     i = sub.add_parser("inspect")
-    i.add_argument("report", choices=["history", "timeline", "success", "failed", "hypotheses", "improvements", "outperforms", "sessions"])
+    i.add_argument("report", choices=REPORTS)
+    i.add_argument("--column", help="of the column deep dive")
     a = p.parse_args(argv)
     spark = session()
     if a.command == "init":
@@ -72,8 +80,17 @@ def main(argv: list[str] | None = None) -> int:
     L.register_type("CORRELATED_WITH", "Feature", ["Feature"], "statistical")
     L.register_type("OUTPERFORMS", "Experiment", ["Experiment"], "improvement")
     if a.command == "inspect":
-        e = {"experiment": L.table("experiment"), "used_in": L.table("used_in"), "hypothesis": L.table("hypothesis"), "outcome": L.table("resolution")}
-        made = {"history": lambda: reports.history(e), "timeline": lambda: reports.timeline(e), "success": lambda: reports.success_rates(e), "failed": lambda: reports.failed_patterns(e), "hypotheses": lambda: e["hypothesis"], "improvements": lambda: improved_over(e["experiment"]), "outperforms": lambda: outperforms(e["experiment"], e["used_in"]), "sessions": lambda: reports.sessions(e["experiment"].withColumn("k", F.lit(1)), "k", "ts")}
+        e = L.graph_tables()
+        made = {
+            "history": lambda: reports.history(e), "timeline": lambda: reports.timeline(e), "success": lambda: reports.success_rates(e), "failed": lambda: reports.failed_patterns(e),
+            "hypotheses": lambda: e["hypothesis"], "calibration": lambda: reports.hypotheses(e), "improvements": lambda: improved_over(e["experiment"]),
+            "outperforms": lambda: outperforms(e["experiment"], e["used_in"]), "sessions": lambda: reports.sessions(e["experiment"].withColumn("k", F.lit(1)), "k", "ts"),
+            "shap": lambda: reports.shap_ranking(e), "saturated": lambda: reports.saturated_columns(e), "load-bearing": lambda: reports.load_bearing(e), "untried": lambda: reports.untried_pairs(e),
+            "coverage": lambda: reports.coverage(e), "ablation": lambda: reports.ablation(e), "edge-types": lambda: reports.edge_types(L.types(), views.elements(e)[1]),
+            "lineage": lambda: reports.feature_lineage(e), "column": lambda: reports.column_dive(e, a.column), "correlations": lambda: reports.correlations(L.table("edge")),
+            "discovery": lambda: reports.discovered_keys(L.last_run("entity_key")),
+            "invariants": lambda: reports.discovered_invariants(L.last_run("invariant_within"), L.last_run("derived_column"), L.last_run("entity_key")),
+        }
         show(made[a.report]())
         return 0
     c = cfg.load(a.config)
@@ -87,33 +104,46 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "prepare":
         part = "chunk" if c.date_col else "fold"
         show(df.groupBy("split", part).count().orderBy("split", part))
-        show(profile.profile(df.select(*features)))
+        if L.gate(tables.signature(df.select(*features, c.target), dataclasses.asdict(c)), datetime.datetime.now()):
+            print("warning: other data than before; the old ledger is put aside")
+        made = profile.profile(df.select(*features))
+        L.register_columns(made, dict(df.dtypes))
+        show(made)
     elif a.command == "discover":
         rows = query.scope(df).select(*features)
-        made = discover.derived(rows)
-        keys = [r["columns"] for r in discover.entity_keys(rows, list(c.categorical_columns)).collect()]
+        derived = made = discover.derived(rows).persist()
+        found = discover.entity_keys(rows, list(c.categorical_columns))
+        keys, icc = [r["columns"] for r in found.collect()], {}
         texts = [r["expr"] for r in made.collect()]
         compiled = {x: compile_expression(x, rows) for x in texts}
         alone = discover.raw(rows)
         made = {x: m.column for x, m in compiled.items()} | {x: F.col(f"`{x}`").cast("double") for x in alone}
-        show(discover.invariants(rows, keys, made, {x: set(m.references) for x, m in compiled.items()} | {x: {x} for x in alone}).orderBy("median_cv", "key", "expr"))
+        steady = discover.invariants(rows, keys, made, {x: set(m.references) for x, m in compiled.items()} | {x: {x} for x in alone}).persist()
+        show(steady.orderBy("median_cv", "key", "expr"))
         numbers = profile.numeric_columns(rows)
         if c.metric in ("rmse", "mae") and numbers and keys:
             full = impute(query.scope(df), medians(rows, numbers), 0.0)
-            show(discover.residual_icc(model.residuals(full, numbers, c.target), F.col("residual"), keys))
+            icc = {r["key"]: r["residual_icc"] for r in discover.residual_icc(model.residuals(full, numbers, c.target), F.col("residual"), keys).collect()}
+            for key, value in icc.items():
+                print(json.dumps({"key": key, "residual_icc": value}))
+        alone_too = spark.createDataFrame([(x, None) for x in alone], "expr string, variance double")
+        L.store_discovery(derived.select("expr", "variance").unionByName(alone_too), {x: sorted(m.references) for x, m in compiled.items()} | {x: [x] for x in alone}, found, icc, steady, datetime.datetime.now())
     elif a.command == "query":
         kw = {k: v for k, v in {"expr": a.expr, "groupby": a.groupby, "cols": a.cols, "col": a.col, "col_a": a.col_a, "col_b": a.col_b}.items() if v}
         if a.kind == "conditional_distribution":
             kw |= {"groupby": a.groupby[0], "n_groups": a.n_groups}
         show(query.run_query(df, a.kind, c.target, L, **kw))
     elif a.command == "train":
-        made = {}
+        made, sources = {}, {}
         for x in a.features or features:
-            made[x] = F.col(f"`{x}`") if x in df.columns else compile_expression(x, df).column
+            compiled = None if x in df.columns else compile_expression(x, df)
+            made[x] = F.col(f"`{x}`") if compiled is None else compiled.column
+            sources[x] = [x] if compiled is None else sorted(compiled.references)
         names = {x: f"x{k}" if x not in df.columns else x for k, x in enumerate(made)}
         wide = df.select("row_id", "split", "chunk" if c.date_col else "fold", c.target, *[e.alias(names[x]) for x, e in made.items()])
         r = model.cross_validate(wide, list(names.values()), c.target, c.metric, "row_id", c.n_folds, a.trees, shap=True)
         done = L.record(r["cv_score"], r["cv_std"], list(made), a.description, c.higher_is_better, c.min_delta, datetime.datetime.now())
+        L.register_features(sources)
         back = {v: k for k, v in names.items()}
         L.append("feature_shap", [(done["exp_id"], back[f], v, r["shap_std"][f]) for f, v in r["shap"].items()])
         print(json.dumps(done | {"cv_score": r["cv_score"], "cv_std": r["cv_std"]}))

@@ -32,6 +32,29 @@ def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -
     return found.filter("depth > 0")
 
 
+def with_jumps(chain: DataFrame) -> DataFrame:
+    """Edges (src, dst) of a chain, where a node leads to at most one other, and jumps of 2, 4, 8, ... steps along it: what can be
+    reached stays the same, in as many rounds as the logarithm of the chain's length."""
+    out = jump = _cut(chain.select("src", "dst").distinct())
+    while True:
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = _cut(a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")))
+        if not jump.head(1):
+            return out
+        out = _cut(out.unionByName(jump))
+
+
+def within(edges: DataFrame, start: str, hops: int = 4) -> DataFrame:
+    """node, hop: what is reached from a node along edges (src, dst) in at most that many steps, with the least number."""
+    found = _cut(edges.sparkSession.createDataFrame([(start, 0)], "node string, hop int"))
+    new = found
+    for hop in range(1, hops + 1):
+        step = new.join(edges, new["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        new = _cut(step.join(found, "node", "left_anti").withColumn("hop", F.lit(hop)))
+        found = found.unionByName(new)
+    return found.filter("hop > 0")
+
+
 def longest_path(edges: DataFrame, small: int = 200_000) -> int:
     """Edges of the longest directed path; an error if there is a cycle.
 

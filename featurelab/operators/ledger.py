@@ -22,6 +22,13 @@ SCHEMAS = {
     "edge": "src string, dst string, rel string, seq bigint, delta double, correlation double, overlap bigint, median_cv double, n_groups bigint",
     "relationship_type": "rel_type string, source_type string, target_type array<string>, category string, description string, builtin boolean",
     "query_log": "ts timestamp, query_type string",
+    "column": "column string, dtype string, cardinality bigint, missingness_rate double, mean double, std double, run bigint",
+    "discovery": "run bigint, ts timestamp",
+    "derived_column": "run bigint, id string, expr string, variance double",
+    "derived_from_cols": "run bigint, id string, column string",
+    "entity_key": "run bigint, id string, columns array<string>, cardinality bigint, residual_icc double",
+    "invariant_within": "run bigint, derived_id string, key_id string, median_cv double, n_groups bigint",
+    "signature": "signature string, ts timestamp",
 }
 
 # The relationship types that every ledger has.
@@ -87,6 +94,76 @@ class Ledger:
         self.append("used_in", [(exp_id, f) for f in features])
         return {"exp_id": exp_id, "composite_score": score, "delta": delta, "kept": keep}
 
+    def register_columns(self, profiled: DataFrame, dtypes: dict[str, str]) -> None:
+        """The columns of the data set and their profile (column, cardinality, missingness_rate, mean, std); the last ones count."""
+        run = self.next_id("column", "run")
+        kind = F.create_map(*[F.lit(x) for pair in dtypes.items() for x in pair])
+        self.append("column", profiled.withColumns({"dtype": F.try_element_at(kind, F.col("column")), "run": F.lit(run).cast("bigint")}))
+
+    def columns(self) -> DataFrame:
+        return self.last_run("column")
+
+    def last_run(self, name: str) -> DataFrame:
+        """The rows of the newest run of a table that is written by runs."""
+        t = self.table(name)
+        return t.join(F.broadcast(t.agg(F.max("run").alias("run"))), "run", "left_semi")
+
+    def register_features(self, sources: dict[str, list[str]]) -> int:
+        """Lineage of features: a source is a known column, else another known feature; others are left out. New pairs are counted."""
+        columns = {r["column"] for r in self.columns().select("column").collect()}  # one row for each column
+        known = self.table("derived_from")
+        features = {r["feature"] for r in known.select("feature").distinct().collect()} | set(sources)
+        have = {tuple(r) for r in known.collect()}
+        rows = [(f, c) for f, own in sources.items() for c in dict.fromkeys(own) if (c in columns or (c in features and c != f)) and (f, c) not in have]
+        if rows:
+            self.append("derived_from", rows)
+        return len(rows)
+
+    def store_discovery(self, derived: DataFrame, references: dict[str, list[str]], keys: DataFrame, icc: dict[str, float], invariants: DataFrame, ts) -> int:
+        """What a discovery found, as a run of its own: derived columns (expr, variance), entity keys (columns, cardinality) and
+        near-constant pairs (key, expr, median_cv, n_groups) whose two ends are among them. The newest run is what readers see."""
+        from .discover import entity_id, expression_id
+
+        run = self.next_id("discovery", "run")
+        found = derived.collect()  # at most MAX_DERIVED
+        known = {r["column"] for r in self.columns().select("column").collect()}
+        got = keys.collect()  # at most MAX_KEYS
+        named = {"_".join(r["columns"]): entity_id(list(r["columns"])) for r in got}
+        self.append("derived_column", [(run, expression_id(r["expr"]), r["expr"], r["variance"]) for r in found])
+        self.append("derived_from_cols", [(run, expression_id(r["expr"]), c) for r in found for c in sorted(set(references.get(r["expr"], []))) if c in known])
+        self.append("entity_key", [(run, named["_".join(r["columns"])], list(r["columns"]), r["cardinality"], icc.get("_".join(r["columns"]))) for r in got])
+        ids = {r["expr"]: expression_id(r["expr"]) for r in found}
+        pairs = [(run, ids[r["expr"]], named[r["key"]], r["median_cv"], r["n_groups"]) for r in invariants.collect() if r["expr"] in ids and r["key"] in named]
+        self.append("invariant_within", pairs)
+        self.append("discovery", [(run, ts)])
+        return run
+
+    def queries_asked(self) -> int:
+        """Queries since the last discovery."""
+        last = self.table("discovery").agg(F.max("ts")).first()[0]
+        log = self.table("query_log")
+        return (log if last is None else log.filter(F.col("ts") > F.lit(last))).count()
+
+    def gate(self, signature: str, ts) -> bool:
+        """Whether the data differ from those that the ledger was begun for. Then the old tables are put aside and it begins anew."""
+        have = self.table("signature").select("signature").head()
+        if have and have[0] == signature:
+            return False
+        if have:
+            jvm = self.spark._jvm
+            here = jvm.org.apache.hadoop.fs.Path(self.path)
+            files = here.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            aside = jvm.org.apache.hadoop.fs.Path(f"{self.path}-before-{ts:%Y%m%d%H%M%S%f}")
+            if not files.rename(here, aside):
+                raise OSError(f"{self.path} can't be put aside")
+        self.append("signature", [(signature, ts)])
+        return bool(have)
+
+    def graph_tables(self) -> dict[str, DataFrame]:
+        """The tables as the reports read them."""
+        outcome = resolved(self.table("hypothesis"), self.table("resolution"))
+        return {n: self.table(n) for n in ("experiment", "used_in", "derived_from", "feature_shap", "hypothesis", "supersedes")} | {"column": self.columns(), "outcome": outcome, "tested_by": self.table("resolution").select("hyp_id", "exp_id")}
+
     def add_hypothesis(self, text: str, ts, direction: str = "+", delta: float | None = None) -> int:
         hyp_id = self.next_id("hypothesis", "hyp_id")
         self.append("hypothesis", [(hyp_id, text, direction, delta, ts)])

@@ -196,3 +196,40 @@ def reach(L: Tables) -> DataFrame:
     """column, n_features, n_experiments: two hops back from each column."""
     d = L["derived_from"].distinct()
     return d.join(L["used_in"], "feature", "left").groupBy("column").agg(F.count_distinct("feature").alias("n_features"), F.count_distinct("exp_id").alias("n_experiments"))
+
+
+def feature_lineage(L: Tables) -> DataFrame:
+    """feature, direct, all_columns: what each feature is derived from, and all columns that lead to it (sorted, joined by a comma)."""
+    from .graph import closure
+
+    d = L["derived_from"].distinct()
+    every = closure(d.selectExpr("feature as src", "column as dst"), d.select(F.col("feature").alias("node")).distinct())
+    every = every.join(L["column"].select(F.col("column").alias("node")), "node", "left_semi").groupBy(F.col("start").alias("feature")).agg(F.array_join(F.sort_array(F.collect_set("node")), ",").alias("all_columns"))
+    direct = d.groupBy("feature").agg(F.array_join(F.sort_array(F.collect_set("column")), ",").alias("direct"))
+    return direct.join(every, "feature", "left").select("feature", "direct", F.coalesce("all_columns", F.lit("")).alias("all_columns"))
+
+
+def column_dive(L: Tables, column: str, hops: int = 4) -> DataFrame:
+    """node, hop: features derived from a column, experiments that use them and what they improved on, up to that many steps."""
+    from .graph import within
+    from .views import elements
+
+    edges = elements(L)[1]
+    down = edges.filter("rel = 'DERIVED_FROM'").selectExpr("dst as src", "src as dst").unionByName(edges.filter("rel <> 'DERIVED_FROM'").select("src", "dst"))
+    return within(down, f"col_{column}", hops)
+
+
+def correlations(edge: DataFrame) -> DataFrame:
+    """src, dst, correlation of correlated features, the strongest first."""
+    return edge.filter("rel = 'CORRELATED_WITH'").select("src", "dst", "correlation").orderBy(F.desc(F.abs("correlation")), "src", "dst")
+
+
+def discovered_keys(keys: DataFrame) -> DataFrame:
+    """Entity keys, the largest residual ICC first."""
+    return keys.select("columns", "cardinality", "residual_icc").orderBy(F.desc_nulls_last("residual_icc"), F.desc("cardinality"), F.array_join("columns", "_"))
+
+
+def discovered_invariants(pairs: DataFrame, derived: DataFrame, keys: DataFrame, n: int = 20) -> DataFrame:
+    """expr, columns, median_cv of the n steadiest pairs."""
+    both = pairs.join(derived.select(F.col("id").alias("derived_id"), "expr"), "derived_id").join(keys.select(F.col("id").alias("key_id"), "columns"), "key_id")
+    return both.select("expr", "columns", "median_cv").orderBy("median_cv", "expr", F.array_join("columns", "_")).limit(n)

@@ -60,4 +60,5 @@ def elements(L: Tables) -> tuple[DataFrame, DataFrame]:
     edges = edges.unionByName(edge(L["used_in"], name("feat_", "feature"), name("exp_", "exp_id"), F.lit("USED_IN")))
     edges = edges.unionByName(edge(improved_over(L["experiment"]), name("exp_", "exp_id"), name("exp_", "previous"), F.lit("IMPROVED_OVER")))
     edges = edges.unionByName(edge(L["outcome"].join(L["tested_by"], "hyp_id"), name("hyp_", "hyp_id"), name("exp_", "exp_id"), F.col("rel")))
+    edges = edges.unionByName(edge(L["supersedes"], name("hyp_", "hyp_id"), name("hyp_", "old_hyp_id"), F.lit("SUPERSEDES")))
     return nodes, edges

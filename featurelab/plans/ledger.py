@@ -70,7 +70,10 @@ _EDGES = """nodes AS (SELECT 'col_' || "column" AS id, 'Column' AS type, "column
  UNION ALL SELECT 'exp_' || exp_id, 'Experiment', '#' || exp_id, CASE WHEN kept THEN 'kept' ELSE 'reverted' END FROM experiment
  UNION ALL SELECT 'hyp_' || h.hyp_id, 'Hypothesis', 'H' || h.hyp_id, coalesce(o.rel, 'pending') FROM hypothesis h LEFT JOIN outcome o USING (hyp_id)),
 edges AS (SELECT 'feat_' || feature AS src, 'col_' || "column" AS dst, 'DERIVED_FROM' AS rel FROM derived_from UNION ALL SELECT 'feat_' || feature, 'exp_' || exp_id, 'USED_IN' FROM used_in
- UNION ALL SELECT 'exp_' || exp_id, 'exp_' || previous, 'IMPROVED_OVER' FROM improved UNION ALL SELECT 'hyp_' || hyp_id, 'exp_' || exp_id, rel FROM outcome)"""
+ UNION ALL SELECT 'exp_' || exp_id, 'exp_' || previous, 'IMPROVED_OVER' FROM improved UNION ALL SELECT 'hyp_' || hyp_id, 'exp_' || exp_id, rel FROM outcome
+ UNION ALL SELECT 'hyp_' || hyp_id, 'hyp_' || old_hyp_id, 'SUPERSEDES' FROM supersedes)"""
+_DOWN = """, down AS (SELECT DISTINCT CASE WHEN rel = 'DERIVED_FROM' THEN dst ELSE src END AS src, CASE WHEN rel = 'DERIVED_FROM' THEN src ELSE dst END AS dst FROM edges)"""
+_RECURSIVE = _CTE.replace("WITH e0", "WITH RECURSIVE e0", 1)
 
 
 def _report(f, places=None):
@@ -128,10 +131,24 @@ def _types(s, d):
 
 
 def _betweenness(s, d):
-    L = tables(s, d)
-    edges = views.elements(L)[1].select("src", "dst")
-    replaced = L["supersedes"].select(F.concat(F.lit("hyp_"), "hyp_id").alias("src"), F.concat(F.lit("hyp_"), "old_hyp_id").alias("dst"))
-    return rounded(graph.betweenness(edges.unionByName(replaced)), 9)
+    return rounded(graph.betweenness(views.elements(tables(s, d))[1].select("src", "dst")), 9)
+
+
+def _correlated_edges(s, d):
+    li = read(s, d, "lineitem")
+    pairs = [("l_quantity", "l_extendedprice"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax")]
+    row = li.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    edge = row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"), F.lit("CORRELATED_WITH").alias("rel"), F.col(f"r{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+    return rounded(reports.correlations(edge), 6)
+
+
+def _whole_closure(s, d):
+    """What each hypothesis and column leads to, along every kind of edge (lineage from column to feature)."""
+    nodes, edges = (graph._cut(x) for x in views.elements(tables(s, d)))
+    down = edges.filter("rel not in ('DERIVED_FROM', 'IMPROVED_OVER')").select("src", "dst").unionByName(edges.filter("rel = 'DERIVED_FROM'").selectExpr("dst as src", "src as dst"))
+    down = graph._cut(down).unionByName(graph.with_jumps(edges.filter("rel = 'IMPROVED_OVER'")))
+    starts = nodes.filter("type = 'Column' or (type = 'Hypothesis' and status = 'SUPPORTS')").select(F.col("id").alias("node"))
+    return graph.closure(down, starts).select("start", "node")
 
 
 def _tags(s, d):
@@ -183,6 +200,10 @@ QUERIES = {
     "families": _report(lambda L: L["experiment"].select("exp_id", text.family(F.col("description")).alias("family"), text.readable(F.col("description")).alias("text"), F.array_join(text.named_columns(F.col("description")), "+").alias("columns"))),
     "semantic_tags": _tags,
     "lineage_closure": _closure,
+    "whole_closure": _whole_closure,
+    "feature_lineage": _report(reports.feature_lineage),
+    "column_deep_dive": _report(lambda L: reports.column_dive(L, "c5")),
+    "correlated_edges": _correlated_edges,
     "improvement_chain": _report(lambda L: graph.improvement_chain(led.improved_over(L["experiment"]))),
     "longest_path": lambda s, d: s.createDataFrame([(graph.longest_path(led.improved_over(tables(s, d)["experiment"]).selectExpr("exp_id as src", "previous as dst")),)], "edges int"),
     "ratchet": _report(views.ratchet),
@@ -257,6 +278,11 @@ SQL = {
     "top_shap": _CTE + """, pk AS (SELECT coalesce((SELECT exp_id FROM best WHERE exp_id IN (SELECT exp_id FROM feature_shap)), (SELECT max(exp_id) FROM feature_shap)) AS exp_id), t AS (SELECT feature, round(value, 6) AS value FROM feature_shap JOIN pk USING (exp_id) ORDER BY round(value, 6) DESC, feature LIMIT 10),
         lb AS (SELECT feature FROM used_in JOIN kept_ USING (exp_id) GROUP BY 1 HAVING count(DISTINCT exp_id) = (SELECT count(DISTINCT exp_id) FROM used_in JOIN kept_ USING (exp_id)))
         SELECT feature, value, round(value / max(value) OVER () * 100, 3) AS percent, feature IN (SELECT feature FROM lb) AS load_bearing FROM t""",
+    "whole_closure": _RECURSIVE + f""", {_EDGES}{_DOWN}, reach AS (SELECT n.id AS start, dst AS node FROM nodes n JOIN down ON src = n.id WHERE type = 'Column' OR (type = 'Hypothesis' AND status = 'SUPPORTS')
+        UNION SELECT start, dst FROM reach JOIN down ON src = node) SELECT start, node FROM reach""",
+    "feature_lineage": _CTE + "SELECT feature, string_agg(DISTINCT \"column\", ',' ORDER BY \"column\") AS direct, string_agg(DISTINCT \"column\", ',' ORDER BY \"column\") AS all_columns FROM derived_from GROUP BY 1",
+    "column_deep_dive": _RECURSIVE + f""", {_EDGES}{_DOWN}, reach AS (SELECT 'col_c5' AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM reach JOIN down ON src = node WHERE hop < 4) SELECT node, CAST(min(hop) AS INT) AS hop FROM reach GROUP BY node HAVING min(hop) > 0""",
+    "correlated_edges": "SELECT * FROM (VALUES ('l_quantity', 'l_extendedprice'), ('l_extendedprice', 'l_tax'), ('l_discount', 'l_tax')) t(src, dst), LATERAL (SELECT round(CASE src WHEN 'l_quantity' THEN (SELECT corr(l_quantity, l_extendedprice) FROM lineitem) WHEN 'l_extendedprice' THEN (SELECT corr(l_extendedprice, l_tax) FROM lineitem) ELSE (SELECT corr(l_discount, l_tax) FROM lineitem) END, 6) AS correlation)",
     "graph_nodes": _CTE + f", {_EDGES} SELECT * FROM nodes",
     "graph_edges": _CTE + f", {_EDGES} SELECT * FROM edges",
     "induced_subgraph": _CTE + f", {_EDGES}, v AS (SELECT id FROM nodes WHERE type IN ('Feature', 'Experiment') AND (contains(lower(label), '1') OR contains(lower(id), '1'))) SELECT dst, src, rel FROM edges WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)",
