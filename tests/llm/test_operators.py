@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from featurelab.llm import chat, components, edits, fingerprint, idfile, labelled, media, mix, pack, quality, queries, simhash, tokens, toxicity
+from featurelab.llm import chat, common, components, edits, fingerprint, idfile, labelled, media, mix, pack, quality, queries, simhash, tokens, toxicity
 
 from ..compare import connection, same
 from .conftest import COLUMNS, rows
@@ -438,6 +438,26 @@ def test_edited_counts(spark, sf, texts, edge):
     assert by[3]["edited_tokens"] == n("xone") and by[5]["edited_tokens"] == by[5]["n_tokens"] and by[4]["edited_tokens"] == n(rows()[4][1] + " end")
 
 
+def test_kept_trees_follow_edit_logs(spark, edge):
+    t = lib(BYTE)
+    docs = edge.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    whole = {r["doc_id"]: r["text"] or "" for r in table(docs.select("doc_id", "text"))}
+    trees, rnd = common.written(edits.count_trees(docs), "trees"), random.Random(3)
+    for seq in range(3):
+        log, new = [], dict(whole)
+        for i in sorted(whole):
+            p, d, put = rnd.randint(0, len(whole[i])), rnd.choice([0, 2, 40]), rnd.choice(["", " it's 12", "\n\n é word"])
+            log.append((i, seq, p, d, put))
+            new[i] = whole[i][:p] + put + whole[i][p + d :]
+        whole = new
+        log = spark.createDataFrame(log, "doc_id bigint, seq int, position bigint, deleted bigint, inserted string")
+        trees = common.written(edits.edited_trees(edits.with_edit_log(trees, log)), "trees")
+        got = {r["doc_id"]: r for r in table(trees)}
+        assert {i: (r["text"], r["n_chars"], r["n_tokens"]) for i, r in got.items()} == {i: (x, len(x), len(t.encode(x, add_special_tokens=False).ids)) for i, x in whole.items()}
+        fresh = edits.count_trees(spark.createDataFrame(sorted(whole.items()), "doc_id bigint, text string"))
+        assert got == {r["doc_id"]: r for r in table(fresh)}
+
+
 # --- 8 chat ------------------------------------------------------------------------------------------------------------
 
 
