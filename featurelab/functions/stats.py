@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from .order import parts, with_before
 
 MIN_GROUP, INVARIANT_CV, TOP = 10, 0.1, 5
+#: Buffers of one aggregation at most. Beyond that the generated method is too long for the JVM's compiler and runs interpreted.
+BUFFERS = 48
 
 
 def present(*columns: Column) -> Column:
@@ -45,11 +47,27 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     return first.crossJoin(spearman(df, x, y))  # one row each
 
 
+def one_each(df: DataFrame, wanted: dict[tuple[str, ...], Column], names: list[str], value: str, each: int) -> DataFrame:
+    """names (the parts of the key), value: one row for each aggregate of wanted.
+
+    An aggregate keeps `each` buffers. Those that fit into BUFFERS form one aggregation, which reads its own columns only; the
+    aggregations are branches of one plan and run side by side.
+    """
+    items, size, out = list(wanted.items()), max(1, BUFFERS // each), None
+    for at in range(0, len(items), size):
+        some = items[at : at + size]
+        row = df.agg(*[c.alias(f"v{i}") for i, (_, c) in enumerate(some)])
+        line = [F.struct(*[F.lit(k).alias(n) for n, k in zip(names, key, strict=True)], F.col(f"v{i}").alias(value)) for i, (key, _) in enumerate(some)]
+        part = row.select(F.explode(F.array(*line)).alias("x")).select("x.*")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return df.sparkSession.createDataFrame([], ", ".join(f"{n} string" for n in names) + f", {value} double")
+    return out
+
+
 def correlated_pairs(df: DataFrame, columns: list[str], above: float = 0.8) -> DataFrame:
-    """col_a, col_b, correlation (4 places) of pairs with a larger absolute value. All pairs in one pass."""
-    pairs = list(combinations(columns, 2))
-    row = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    long = row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"p{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+    """col_a, col_b, correlation (4 places) of pairs with a larger absolute value."""
+    long = one_each(df, {(a, b): pearson(F.col(a), F.col(b)) for a, b in combinations(columns, 2)}, ["col_a", "col_b"], "r", 10)
     return long.filter(F.abs("r") > above).select("col_a", "col_b", F.round("r", 4).alias("correlation"))
 
 
@@ -76,9 +94,26 @@ def most_invariant(df: DataFrame, value: Column, keys: list[str], top: int = TOP
 
 
 def cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n_distinct (no nulls), n_missing. All columns in one pass."""
-    row = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)], *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("n_distinct"), F.col(f"m{i}").alias("n_missing")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
+    """column, n_distinct (no nulls), n_missing. A branch for each column: its values are counted where they are, then once over all."""
+    out = None
+    for c in columns:
+        counts = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
+        part = counts.agg(F.count("v").alias("n_distinct"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_missing")).select(F.lit(c).alias("column"), "n_distinct", "n_missing")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return df.sparkSession.createDataFrame([], "column string, n_distinct bigint, n_missing bigint")
+    return out
+
+
+def pair_cardinality(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """col_a, col_b, n_groups: distinct pairs without nulls, a branch for each pair."""
+    out = None
+    for a, b in pairs:
+        part = df.select(a, b).filter(present(F.col(a), F.col(b))).distinct().agg(F.count("*").alias("n_groups")).select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), "n_groups")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, n_groups bigint")
+    return out
 
 
 def combined_cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -134,15 +169,12 @@ def icc(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
 def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
     """col_a, col_b, correlation of null indicators (0 if undefined), distance (1 - r) / 2."""
     flag = {c: F.col(c).isNull().cast("int") for c in columns}
-    pairs = list(combinations(columns, 2))
-    row = df.agg(*[pearson(flag[a], flag[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    r = lambda i: F.coalesce(F.col(f"p{i}"), F.lit(0.0))
-    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r(i).alias("correlation"), ((1 - r(i)) / 2).alias("distance")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+    long = one_each(df, {(a, b): pearson(flag[a], flag[b]) for a, b in combinations(columns, 2)}, ["col_a", "col_b"], "r", 10)
+    r = F.coalesce("r", F.lit(0.0))
+    return long.select("col_a", "col_b", r.alias("correlation"), ((1 - r) / 2).alias("distance"))
 
 
 def variances(df: DataFrame, expressions: dict[str, Column]) -> DataFrame:
-    """expr, variance: finite and positive ones. One pass over all expressions."""
-    names = list(expressions)
-    row = df.agg(*[F.var_samp(expressions[n]).alias(f"v{i}") for i, n in enumerate(names)])
-    long = row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("expr"), F.col(f"v{i}").alias("variance")) for i, n in enumerate(names)])).alias("x")).select("x.*")
+    """expr, variance: finite and positive ones."""
+    long = one_each(df, {(n,): F.var_samp(c) for n, c in expressions.items()}, ["expr"], "variance", 3)
     return long.filter("variance > 0 and variance < double('infinity')")

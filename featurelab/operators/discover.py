@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr
-from ..functions.stats import INVARIANT_CV, MIN_GROUP, icc, variances, with_cv
+from ..functions.stats import INVARIANT_CV, MIN_GROUP, cardinality, icc, pair_cardinality, variances, with_cv
 from .profile import numeric_columns
 
 MAX_DERIVED, MAX_KEYS, MAX_RAW, MAX_BASE = 50, 20, 50, 30
-#: Distinct counts in one job at most: each multiplies the rows of its expansion.
+#: Distinct counts of one plan at most: each is a branch with an exchange of its own.
 PER_JOB = 30
 
 
@@ -66,18 +66,18 @@ def entity_keys(df: DataFrame, categorical: list[str] | None = None, low: int =
             floats.add(f.name)
         if f.name in (categorical or []) or isinstance(f.dataType, T.StringType | T.NumericType):
             names.append(f.name)
-    row = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(names)], *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(names)]).first()
-    count = {c: row[f"d{i}"] for i, c in enumerate(names)}
-    for i, c in enumerate(names):  # whole numbers with gaps are floats to the reference
-        if isinstance(df.schema[c].dataType, T.IntegralType) and row[f"m{i}"]:
+    rows = [r for s in range(0, len(names), PER_JOB) for r in cardinality(df, names[s : s + PER_JOB]).collect()]  # one for each column
+    count, missing = {r["column"]: r["n_distinct"] for r in rows}, {r["column"]: r["n_missing"] for r in rows}
+    for c in names:  # whole numbers with gaps are floats to the reference
+        if isinstance(df.schema[c].dataType, T.IntegralType) and missing[c]:
             floats.add(c)
     single = [c for c in names if low <= count[c] <= high and (c in (categorical or []) or isinstance(df.schema[c].dataType, T.StringType) or count[c] < (1_000 if c in floats else 100_000))]
-    pairs = [p for p in combinations(single, 2) if all(count[c] <= 50_000 for c in p)]
+    # no pair has more values than the product of its columns'
+    pairs = [p for p in combinations(single, 2) if all(count[c] <= 50_000 for c in p) and count[p[0]] * count[p[1]] >= 500]
     found = [([c], count[c]) for c in single]
     for s in range(0, len(pairs), PER_JOB):
-        part = pairs[s : s + PER_JOB]
-        row = df.agg(*[F.count_distinct(*p).alias(f"p{i}") for i, p in enumerate(part)]).first()
-        found += [(list(p), row[f"p{i}"]) for i, p in enumerate(part) if 500 <= row[f"p{i}"] <= 500_000]
+        part = pair_cardinality(df, pairs[s : s + PER_JOB]).collect()  # one row for each pair
+        found += [([r["col_a"], r["col_b"]], r["n_groups"]) for r in part if 500 <= r["n_groups"] <= 500_000]
     found.sort(key=lambda x: (-x[1], x[0]))
     return spark.createDataFrame(found[:MAX_KEYS], "columns array<string>, cardinality bigint")
 
