@@ -191,20 +191,22 @@ def shared_chunks(docs: DataFrame, words) -> DataFrame:
 
 
 _MEDIA = "p_hi bigint, p_lo bigint, payload binary, media binary"
-_DIGESTS = "p_hi bigint, p_lo bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+_DIGESTS = "p_hi bigint, p_lo bigint, copies bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def _digests(p_hi: int, p_lo: int, data: bytes, form: bytes) -> tuple:
+def _digests(p_hi: int, p_lo: int, copies: int, data: bytes, form: bytes) -> tuple:
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    return p_hi, p_lo, len(data), sha(data), zlib.crc32(data[-UNIT:]), len(form), sha(form), features(np.frombuffer(data, np.uint8))
+    return p_hi, p_lo, copies, len(data), sha(data), zlib.crc32(data[-UNIT:]), len(form), sha(form), features(np.frombuffer(data, np.uint8))
 
 
 def read_back(pack: DataFrame, chunks: DataFrame, digests: bool = False) -> DataFrame:
-    """Every distinct payload with its stored form, put together from the stored chunks and verified; or the digests of both."""
-    own = pack.filter(F.length("body") > 0)
+    """Every distinct payload with its stored form, put together from the stored chunks and verified; or the digests of both and
+    the number of its copies."""
+    # bytes beside a recipe are of chunks that nothing else uses, so these payloads have no copies
+    own = pack.filter(F.length("body") > 0).withColumn("copies", F.lit(1).cast("bigint"))
     bare = pack.filter(F.length("body") == 0)
     # copies of a payload share all their chunks, so their rows hold no bytes and are cheap to tell apart
-    bare = bare.groupBy("p_hi", "p_lo").agg(*[F.first(c).alias(c) for c in ("recipe", "at", "hi", "lo", "body")])
+    bare = bare.groupBy("p_hi", "p_lo").agg(*[F.first(c).alias(c) for c in ("recipe", "at", "hi", "lo", "body")], F.count("*").alias("copies"))
     stored = own.unionByName(bare)
     whole = stored.filter(F.size("at") == 0).withColumn("got", F.lit(None).cast("array<struct<i:int,body:binary>>"))
     part = stored.filter(F.size("at") > 0)
@@ -218,7 +220,7 @@ def read_back(pack: DataFrame, chunks: DataFrame, digests: bool = False) -> Data
         for b in small(batches, 100):
             out = {n: [] for n in names}
             for r in zip(*b.columns, strict=True):
-                p_hi, p_lo, recipe, body, fetched = [x.as_py() for x in r]
+                p_hi, p_lo, copies, recipe, body, fetched = [x.as_py() for x in r]
                 by_place, at, chunks_ = {g["i"]: g["body"] for g in fetched or []}, 0, []
                 for i, (size, hi, lo) in enumerate(entries(recipe)):
                     c = by_place.get(i)
@@ -230,12 +232,12 @@ def read_back(pack: DataFrame, chunks: DataFrame, digests: bool = False) -> Data
                 data = b"".join(chunks_)
                 if digest(data) != (p_hi, p_lo):
                     raise ValueError(f"payload {p_hi:x}{p_lo:x} does not match its digest")
-                values = _digests(p_hi, p_lo, data, recipe + data) if digests else (p_hi, p_lo, data, recipe + data)
+                values = _digests(p_hi, p_lo, copies, data, recipe + data) if digests else (p_hi, p_lo, data, recipe + data)
                 for n, v in zip(names, values, strict=True):
                     out[n].append(v)
             yield batch_of(schema, out)
 
-    return rows.select("p_hi", "p_lo", "recipe", "body", "got").mapInArrow(tidy(run), schema)
+    return rows.select("p_hi", "p_lo", "copies", "recipe", "body", "got").mapInArrow(tidy(run), schema)
 
 
 class Store:
@@ -256,8 +258,7 @@ class Store:
         """What is read back of every document: doc_id, n_bytes, n_chunks, sizes and digests, feature."""
         key = ["p_hi", "p_lo"]
         docs = self.documents.select("doc_id", "n_bytes", *key, F.size("hi").cast("bigint").alias("n_chunks"))
-        counts = docs.groupBy(*key).agg(F.count("*").alias("copies"))
-        each = written(read_back(self.packs, self.chunks, digests=True).join(counts, key), "media-digests")
+        each = written(read_back(self.packs, self.chunks, digests=True), "media-digests")
         return with_hot_keys(docs, each, key, "copies").drop(*key)
 
 
