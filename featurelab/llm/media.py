@@ -191,11 +191,11 @@ def shared_chunks(docs: DataFrame, words) -> DataFrame:
 
 
 _MEDIA = "p_hi bigint, p_lo bigint, payload binary, media binary"
-_DIGESTS = "p_hi bigint, p_lo bigint, copies bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+_DIGESTS = "p_hi bigint, p_lo bigint, copies bigint, payload_bytes bigint, payload_sha256 binary, tail_crc32 bigint, media_bytes bigint, media_sha256 binary, feature string"
 
 
 def _digests(p_hi: int, p_lo: int, copies: int, data: bytes, form: bytes) -> tuple:
-    sha = lambda x: hashlib.sha256(x).hexdigest()
+    sha = lambda x: hashlib.sha256(x).digest()
     return p_hi, p_lo, copies, len(data), sha(data), zlib.crc32(data[-UNIT:]), len(form), sha(form), features(np.frombuffer(data, np.uint8))
 
 
@@ -259,7 +259,8 @@ class Store:
         key = ["p_hi", "p_lo"]
         docs = self.documents.select("doc_id", "n_bytes", *key, F.size("hi").cast("bigint").alias("n_chunks"))
         each = written(read_back(self.packs, self.chunks, digests=True), "media-digests")
-        return with_hot_keys(docs, each, key, "copies").drop(*key)
+        got = with_hot_keys(docs, each, key, "copies").drop(*key)
+        return got.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
