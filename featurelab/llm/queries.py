@@ -19,6 +19,9 @@ OPERATORS = {
     "op7_edited_token_counts": ("edits", "op7", None),
     "op8_chat_formatting": ("chat", "op8", "OP8_SQL"),
     "op9_mixing": ("mix", "op9", "OP9_SQL"),
+    "op11_vector_codes": ("codes", "op11", "OP11_SQL"),
+    "op12_filter_audit": ("audit", "op12", "OP12_SQL"),
+    "op13_line_dedup": ("lines", "op13", "OP13_SQL"),
 }
 
 
