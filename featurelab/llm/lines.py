@@ -193,7 +193,8 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
             yield batch_of(schema, {"doc_id": b.column(0), "text": texts, "h": [text_hash(t.encode("utf-8", "surrogatepass")) for t in texts]})
 
     hashed = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), schema)
-    return matched(hashed, bitmaps.select("doc_id", "h", "bitmap"), ["doc_id", "h"], "left").select("doc_id", "text", "bitmap")
+    # one plan at all sizes: texts are exchanged once, frequent keys' partitions can be split
+    return matched(hashed, bitmaps.select("doc_id", "h", "bitmap").hint("merge"), ["doc_id", "h"], "left").select("doc_id", "text", "bitmap")
 
 
 def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
