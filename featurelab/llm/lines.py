@@ -148,7 +148,8 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
     top = F.min_by(F.struct("first_doc"), "part").alias("top")
     common = runs.withColumn("twice", twice).groupBy("digest").agg((F.sum("docs") - F.sum("twice")).alias("docs"), top).filter(F.col("docs") >= min_docs)
     open_rows = got.filter("digest is not null and places is not null").select("digest", "doc_id", "h", "places")
-    late = open_rows.join(common.select("digest", "top"), "digest").filter(~F.col("doc_id").eqNullSafe(F.col("top.first_doc")))
+    # written, so that its true size decides whether the open rows stay where they are
+    late = open_rows.join(written(common.select("digest", "top"), "lines-common"), "digest").filter(~F.col("doc_id").eqNullSafe(F.col("top.first_doc")))
     return got.filter("digest is null").select("doc_id", "h", "places").unionByName(late.select("doc_id", "h", "places"))
 
 
