@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.expr import compile_expression
+from .functions.shared import stored
 from .operators import discover, model, profile, query, reports, splits, views
+from .operators.fitted import KINDS, FoldFeature
 from .operators.guard import impute, medians
 from .operators.ledger import Ledger, improved_over, outperforms
 from .session import session
@@ -34,10 +36,12 @@ def prepared(spark, c: cfg.Config) -> DataFrame:
     df = tables.read(spark, c.data_path, list(c.exclude_columns))
     for w in tables.validate(df, c.target, c.date_col, list(c.categorical_columns)):
         print(f"warning: {w}")
-    df = df.withColumn("row_id", F.monotonically_increasing_id()).persist()
+    # row_id is the order of the rows, kept in a table; folds are drawn by what the rows hold, so they don't depend on files or tasks
+    key = F.md5(F.to_json(F.struct(*[F.col(f"`{x}`").cast("string").alias(f"c{i}") for i, x in enumerate(df.columns)]), {"ignoreNullFields": "false"}))
+    df = stored(df.withColumns({"row_id": F.monotonically_increasing_id(), "row_key": key}), "prepared")
     if c.date_col:
-        return splits.temporal_split(df, [F.col(c.date_col), F.col("row_id")], c.n_folds).drop("rn")
-    return splits.stratified_split(splits.strata(df, c.target), "row_id", "stratum", c.n_folds, seed=c.random_seed)
+        return splits.temporal_split(df, [F.col(c.date_col), F.col("row_key"), F.col("row_id")], c.n_folds).drop("rn", "row_key")
+    return splits.stratified_split(splits.strata(df, c.target), "row_id", "stratum", c.n_folds, seed=c.random_seed, draw_by="row_key").drop("row_key")
 
 
 def show(df: DataFrame) -> None:
@@ -63,7 +67,7 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("--cols", nargs="+")
     q.add_argument("--n-groups", type=int, default=5)
     t = sub.add_parser("train")
-    t.add_argument("--features", nargs="+", help="expressions or columns")
+    t.add_argument("--features", nargs="+", help=f"columns, expressions, or kind:argument:... with a kind of {', '.join(KINDS)}")
     t.add_argument("--description", default="")
     t.add_argument("--trees", type=int, default=model.TREES)
     i = sub.add_parser("inspect")
@@ -80,12 +84,12 @@ def main(argv: list[str] | None = None) -> int:
     L.register_type("CORRELATED_WITH", "Feature", ["Feature"], "statistical")
     L.register_type("OUTPERFORMS", "Experiment", ["Experiment"], "improvement")
     if a.command == "inspect":
-        e = L.graph_tables()
+        e, higher = L.graph_tables(), cfg.load(a.config).higher_is_better
         made = {
             "history": lambda: reports.history(e), "timeline": lambda: reports.timeline(e), "success": lambda: reports.success_rates(e), "failed": lambda: reports.failed_patterns(e),
             "hypotheses": lambda: e["hypothesis"], "calibration": lambda: reports.hypotheses(e), "improvements": lambda: improved_over(e["experiment"]),
-            "outperforms": lambda: outperforms(e["experiment"], e["used_in"]), "sessions": lambda: reports.sessions(e["experiment"].withColumn("k", F.lit(1)), "k", "ts"),
-            "shap": lambda: reports.shap_ranking(e), "saturated": lambda: reports.saturated_columns(e), "load-bearing": lambda: reports.load_bearing(e), "untried": lambda: reports.untried_pairs(e),
+            "outperforms": lambda: outperforms(e["experiment"], e["used_in"], higher), "sessions": lambda: reports.sessions(e["experiment"].withColumn("k", F.lit(1)), "k", "ts"),
+            "shap": lambda: reports.shap_ranking(e, higher), "saturated": lambda: reports.saturated_columns(e), "load-bearing": lambda: reports.load_bearing(e), "untried": lambda: reports.untried_pairs(e),
             "coverage": lambda: reports.coverage(e), "ablation": lambda: reports.ablation(e), "edge-types": lambda: reports.edge_types(L.types(), views.elements(e)[1]),
             "lineage": lambda: reports.feature_lineage(e), "column": lambda: reports.column_dive(e, a.column), "correlations": lambda: reports.correlations(L.table("edge")),
             "discovery": lambda: reports.discovered_keys(L.last_run("entity_key")),
@@ -104,7 +108,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "prepare":
         part = "chunk" if c.date_col else "fold"
         show(df.groupBy("split", part).count().orderBy("split", part))
-        if L.gate(tables.signature(df.select(*features, c.target), dataclasses.asdict(c)), datetime.datetime.now()):
+        if L.gate(tables.signature(df.select(*features, c.target), dataclasses.asdict(c), tables.files(spark, c.data_path)), datetime.datetime.now()):
             print("warning: other data than before; the old ledger is put aside")
         made = profile.profile(df.select(*features))
         L.register_columns(made, dict(df.dtypes))
@@ -134,18 +138,30 @@ def main(argv: list[str] | None = None) -> int:
             kw |= {"groupby": a.groupby[0], "n_groups": a.n_groups}
         show(query.run_query(df, a.kind, c.target, L, **kw))
     elif a.command == "train":
-        made, sources = {}, {}
+        made, sources, fitted = {}, {}, []
         for x in a.features or features:
+            one = None if x in df.columns else FoldFeature.parse(x)
+            if one is not None:
+                fitted.append(one)
+                sources[x] = list(one.inputs)
+                continue
             compiled = None if x in df.columns else compile_expression(x, df)
             made[x] = F.col(f"`{x}`") if compiled is None else compiled.column
             sources[x] = [x] if compiled is None else sorted(compiled.references)
+        if forbidden := [x for x, own in sources.items() if c.target in own]:
+            raise ValueError(f"features that read the target: {forbidden}")
         names = {x: f"x{k}" if x not in df.columns else x for k, x in enumerate(made)}
-        wide = df.select("row_id", "split", "chunk" if c.date_col else "fold", c.target, *[e.alias(names[x]) for x, e in made.items()])
-        r = model.cross_validate(wide, list(names.values()), c.target, c.metric, "row_id", c.n_folds, a.trees, shap=True)
-        done = L.record(r["cv_score"], r["cv_std"], list(made), a.description, c.higher_is_better, c.min_delta, datetime.datetime.now())
+        read = [x for x in dict.fromkeys(x for f in fitted for x in f.inputs) if x not in made]
+        wide = df.select("row_id", "split", "chunk" if c.date_col else "fold", c.target, *[e.alias(names[x]) for x, e in made.items()], *[F.col(f"`{x}`") for x in read])
+        r = model.cross_validate(wide, list(names.values()), c.target, c.metric, "row_id", c.n_folds, a.trees, shap=True, fitted=fitted)
+        done = L.record(r["cv_score"], r["cv_std"], [*made, *[f.name for f in fitted]], a.description, c.higher_is_better, c.min_delta, datetime.datetime.now())
         L.register_features(sources)
         back = {v: k for k, v in names.items()}
-        L.append("feature_shap", [(done["exp_id"], back[f], v, r["shap_std"][f]) for f, v in r["shap"].items()])
+        L.append("feature_shap", [(done["exp_id"], back.get(f, f), v, r["shap_std"][f]) for f, v in r["shap"].items()])
+        node = lambda f: f"feat_{back.get(f, f)}"
+        L.add_edges("CORRELATED_WITH", spark.createDataFrame([(node(x), node(y), v) for x, y, v in r["correlated"]], "src string, dst string, correlation double"))
+        won = outperforms(L.table("experiment"), L.table("used_in"), c.higher_is_better).filter(F.col("src") == done["exp_id"])
+        L.add_edges("OUTPERFORMS", won.select(F.concat(F.lit("exp_"), "src").alias("src"), F.concat(F.lit("exp_"), "dst").alias("dst"), "overlap"))
         print(json.dumps(done | {"cv_score": r["cv_score"], "cv_std": r["cv_std"]}))
     return 0
 

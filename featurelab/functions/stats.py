@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .order import parts, with_before
+from . import gram
+from .order import group_percentiles, parts, percentiles, with_before
+from .shared import stored
 
 MIN_GROUP, INVARIANT_CV, TOP = 10, 0.1, 5
-#: Buffers of one aggregation at most. Beyond that the generated method is too long for the JVM's compiler and runs interpreted.
-BUFFERS = 48
 
 
 def present(*columns: Column) -> Column:
@@ -47,27 +46,9 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     return first.crossJoin(spearman(df, x, y))  # one row each
 
 
-def one_each(df: DataFrame, wanted: dict[tuple[str, ...], Column], names: list[str], value: str, each: int) -> DataFrame:
-    """names (the parts of the key), value: one row for each aggregate of wanted.
-
-    An aggregate keeps `each` buffers. Those that fit into BUFFERS form one aggregation, which reads its own columns only; the
-    aggregations are branches of one plan and run side by side.
-    """
-    items, size, out = list(wanted.items()), max(1, BUFFERS // each), None
-    for at in range(0, len(items), size):
-        some = items[at : at + size]
-        row = df.agg(*[c.alias(f"v{i}") for i, (_, c) in enumerate(some)])
-        line = [F.struct(*[F.lit(k).alias(n) for n, k in zip(names, key, strict=True)], F.col(f"v{i}").alias(value)) for i, (key, _) in enumerate(some)]
-        part = row.select(F.explode(F.array(*line)).alias("x")).select("x.*")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return df.sparkSession.createDataFrame([], ", ".join(f"{n} string" for n in names) + f", {value} double")
-    return out
-
-
 def correlated_pairs(df: DataFrame, columns: list[str], above: float = 0.8) -> DataFrame:
     """col_a, col_b, correlation (4 places) of pairs with a larger absolute value."""
-    long = one_each(df, {(a, b): pearson(F.col(a), F.col(b)) for a, b in combinations(columns, 2)}, ["col_a", "col_b"], "r", 10)
+    long = gram.pairs(df, {c: F.col(c) for c in columns})
     return long.filter(F.abs("r") > above).select("col_a", "col_b", F.round("r", 4).alias("correlation"))
 
 
@@ -84,8 +65,9 @@ def with_cv(groups: DataFrame) -> DataFrame:
 
 def variation(df: DataFrame, value: Column, keys: list[str], min_group: int = MIN_GROUP) -> DataFrame:
     """One row: median_cv, mean_cv, n_groups (also those without a cv), n_invariant."""
-    g = with_cv(group_stats(df, value, keys, min_group))
-    return g.agg(F.percentile("cv", F.lit(0.5)).alias("median_cv"), F.avg("cv").alias("mean_cv"), F.count("*").alias("n_groups"), F.count_if(F.col("cv") < INVARIANT_CV).alias("n_invariant"))
+    g = stored(with_cv(group_stats(df, value, keys, min_group)).select("cv"), "group-cv")
+    middle = percentiles(g, {"cv": F.col("cv")}, [0.5])["cv"][0]
+    return g.agg(F.lit(middle).cast("double").alias("median_cv"), F.avg("cv").alias("mean_cv"), F.count("*").alias("n_groups"), F.count_if(F.col("cv") < INVARIANT_CV).alias("n_invariant"))
 
 
 def most_invariant(df: DataFrame, value: Column, keys: list[str], top: int = TOP) -> DataFrame:
@@ -128,9 +110,9 @@ def largest_groups(df: DataFrame, key: str, n: int) -> DataFrame:
 def conditional_distribution(df: DataFrame, column: str, key: str, n_groups: int = 5) -> DataFrame:
     """key, n, mean, std, p25, median, p75 in the n_groups largest groups; groups without values are left out."""
     rows = df.join(F.broadcast(largest_groups(df, key, n_groups)).select(key), key, "left_semi")
-    q = F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = rows.groupBy(key).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), q.alias("q"))
-    return got.filter("n > 0").select(key, "n", "mean", "std", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"))
+    got = rows.groupBy(key).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
+    q = group_percentiles(rows, [key], F.col(column), [0.25, 0.5, 0.75]).select(key, "q")  # a row for each of the groups
+    return got.filter("n > 0").join(F.broadcast(q), key).select(key, "n", "mean", "std", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"))
 
 
 def top_values(df: DataFrame, column: str, by: list[str] | None = None, top: int = TOP) -> DataFrame:
@@ -168,13 +150,12 @@ def icc(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
 
 def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
     """col_a, col_b, correlation of null indicators (0 if undefined), distance (1 - r) / 2."""
-    flag = {c: F.col(c).isNull().cast("int") for c in columns}
-    long = one_each(df, {(a, b): pearson(flag[a], flag[b]) for a, b in combinations(columns, 2)}, ["col_a", "col_b"], "r", 10)
+    long = gram.pairs(df, {c: F.col(c).isNull().cast("int") for c in columns})
     r = F.coalesce("r", F.lit(0.0))
     return long.select("col_a", "col_b", r.alias("correlation"), ((1 - r) / 2).alias("distance"))
 
 
 def variances(df: DataFrame, expressions: dict[str, Column]) -> DataFrame:
     """expr, variance: finite and positive ones."""
-    long = one_each(df, {(n,): F.var_samp(c) for n, c in expressions.items()}, ["expr"], "variance", 3)
+    long = gram.moments(df, expressions).select(F.col("name").alias("expr"), "variance")
     return long.filter("variance > 0 and variance < double('infinity')")

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr
-from ..functions.stats import INVARIANT_CV, MIN_GROUP, cardinality, icc, pair_cardinality, variances, with_cv
+from ..functions import grouped
+from ..functions.order import group_percentiles
+from ..functions.shared import stored
+from ..functions.stats import INVARIANT_CV, MIN_GROUP, cardinality, icc, pair_cardinality, variances
 from .profile import numeric_columns
 
 MAX_DERIVED, MAX_KEYS, MAX_RAW, MAX_BASE = 50, 20, 50, 30
@@ -85,25 +88,21 @@ def entity_keys(df: DataFrame, categorical: list[str] | None = None, low: int =
 def invariants(df: DataFrame, keys: list[list[str]], expressions: dict[str, Column], references: dict[str, set[str]] | None = None, include_own: bool = False) -> DataFrame:
     """key, expr, median_cv, n_groups of expressions whose median cv within the key is below the limit.
 
-    One aggregation for each key over all expressions at once; an expression of the key's columns alone is left out, as it is
-    constant there by construction.
+    One scan for all keys and expressions (grouped.py). An expression of the key's columns alone is left out, as it is constant
+    there by construction. A median below the limit needs half of the cvs below it, so only such pairs are put into order.
     """
-    out = None
-    for key in keys:
-        use = {t: c for t, c in expressions.items() if include_own or not ((references or {}).get(t, {t}) <= set(key))}
-        if not use:
-            continue
-        names = list(use)
-        rows = df.filter(" and ".join(f"`{k}` is not null" for k in key)).select(*key, *[use[t].alias(f"_e{i}") for i, t in enumerate(names)])
-        aggs = [a for i in range(len(names)) for a in (F.avg(f"_e{i}").alias(f"m{i}"), F.stddev_samp(f"_e{i}").alias(f"s{i}"), F.count(f"_e{i}").alias(f"n{i}"))]
-        g = rows.groupBy(*key).agg(*aggs)
-        long = g.select(F.explode(F.array(*[F.struct(F.lit(t).alias("expr"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.col(f"n{i}").alias("n")) for i, t in enumerate(names)])).alias("x")).select("x.*")
-        cv = with_cv(long.filter(F.col("n") >= MIN_GROUP)).groupBy("expr").agg(F.percentile("cv", F.lit(0.5)).alias("median_cv"), F.count("*").alias("n_groups"))
-        part = cv.filter(F.col("median_cv") < INVARIANT_CV).select(F.lit("_".join(key)).alias("key"), "expr", "median_cv", "n_groups")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    names = list(expressions)
+    skip = {(i, j) for i, key in enumerate(keys) for j, t in enumerate(names) if not include_own and (references or {}).get(t, {t}) <= set(key)}
+    if len(skip) == len(keys) * len(names):
         return df.sparkSession.createDataFrame([], "key string, expr string, median_cv double, n_groups bigint")
-    return out
+    long = stored(grouped.deviations(df, keys, list(expressions.values()), skip, MIN_GROUP), "invariant-cv")
+    counts = long.groupBy("key", "expr").agg(F.count("*").alias("n_groups"), F.count("cv").alias("_n"), F.count_if(F.col("cv") < INVARIANT_CV).alias("_low"))
+    counts = stored(counts.filter((F.col("_low") > 0) & (2 * F.col("_low") >= F.col("_n"))).select("key", "expr", "n_groups"), "invariant-pairs")
+    some = F.broadcast(counts.select("key", "expr"))  # one row for each pair at most
+    middle = group_percentiles(long.join(some, ["key", "expr"]), ["key", "expr"], F.col("cv"), [0.5]).select("key", "expr", F.col("q")[0].alias("median_cv"))
+    got = middle.join(F.broadcast(counts), ["key", "expr"]).filter(F.col("median_cv") < INVARIANT_CV)
+    said, shown = F.array(*[F.lit("_".join(k)) for k in keys]), F.array(*map(F.lit, names))
+    return got.select(said[F.col("key")].alias("key"), shown[F.col("expr")].alias("expr"), "median_cv", "n_groups")
 
 
 def residual_icc(df: DataFrame, residual: Column, keys: list[list[str]]) -> DataFrame:

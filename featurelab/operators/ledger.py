@@ -164,6 +164,48 @@ class Ledger:
         outcome = resolved(self.table("hypothesis"), self.table("resolution"))
         return {n: self.table(n) for n in ("experiment", "used_in", "derived_from", "feature_shap", "hypothesis", "supersedes")} | {"column": self.columns(), "outcome": outcome, "tested_by": self.table("resolution").select("hyp_id", "exp_id")}
 
+    def nodes(self) -> DataFrame:
+        """node: the names of all nodes of the graph (col_, feat_, exp_, hyp_, derived and key ids)."""
+        def named(prefix: str, t: DataFrame, c: str) -> DataFrame:
+            return t.select(F.concat(F.lit(prefix), F.col(c).cast("string")).alias("node"))
+
+        used, derived = self.table("used_in"), self.table("derived_from")
+        out = named("col_", self.columns(), "column")
+        for part in (named("feat_", used, "feature"), named("feat_", derived, "feature"), named("exp_", self.table("experiment"), "exp_id"), named("hyp_", self.table("hypothesis"), "hyp_id"), named("", self.last_run("derived_column"), "id"), named("", self.last_run("entity_key"), "id")):
+            out = out.unionByName(part)
+        return out.distinct()
+
+    def next_seq(self) -> int:
+        """A number that no other writer has or gets, larger than all that were given before: a file of that name is made, which succeeds once."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_seq")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        n = max((int(s.getPath().getName()) for s in files.listStatus(folder)), default=0) + 1
+        while not files.createNewFile(jvm.org.apache.hadoop.fs.Path(folder, f"{n:012d}")):
+            n += 1
+        return n
+
+    def add_edges(self, rel: str, edges: DataFrame) -> int:
+        """Appends typed edges (src, dst and any of the edge table's attributes) and returns how many. An unknown type is registered; an edge with an end that
+        is no node is an error. seq: one number for each call, in the order of the calls, whoever makes them."""
+        rows = edges.select("src", "dst", *[c for c in edges.columns if c not in ("src", "dst", "rel", "seq")]).persist()
+        ends = rows.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        missing = [r["node"] for r in ends.join(self.nodes(), "node", "left_anti").limit(10).collect()]
+        if missing or rows.filter("src is null or dst is null").head(1):
+            raise ValueError(f"edges need two nodes of the graph; unknown: {missing}")
+        n = rows.count()
+        if n:
+            first = rows.head()
+            kind = {"col": "Column", "feat": "Feature", "exp": "Experiment", "hyp": "Hypothesis", "derived": "DerivedColumn", "entity": "EntityKey"}
+            self.register_type(rel, kind[first["src"].split("_")[0]], [kind[first["dst"].split("_")[0]]])
+            here = [c for c in self.table("edge").columns if c in rows.columns]
+            whole = rows.select(*here, F.lit(rel).alias("rel"), F.lit(self.next_seq()).cast("bigint").alias("seq"))
+            rest = [f for f in self.table("edge").schema.fields if f.name not in whole.columns]
+            self.append("edge", whole.withColumns({f.name: F.lit(None).cast(f.dataType) for f in rest}) if rest else whole)
+        rows.unpersist()
+        return n
+
     def add_hypothesis(self, text: str, ts, direction: str = "+", delta: float | None = None) -> int:
         hyp_id = self.next_id("hypothesis", "hyp_id")
         self.append("hypothesis", [(hyp_id, text, direction, delta, ts)])

@@ -2,50 +2,37 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import metrics
-from ..functions.shared import shared_dir
-from .guard import Guard, label_index
-from .splits import training_rows, validation_rows
+from ..functions import gram, metrics
+from ..functions.shared import dropped, stored
+from . import boost
+from .fitted import FoldFeature, stacked
+from .guard import guard_folds, label_index
+from .splits import Folds
 
+#: A model of one's own: from a numeric training frame, its feature columns, the target and the metric to a function of frames.
+Fit = Callable[[DataFrame, list[str], str, str], Callable[[DataFrame], DataFrame]]
 TREES, RATE, DEPTH, SEED = 100, 0.05, 6, 42
 MAX_LABELS = 1000
+CORRELATED = 0.8
 
 
-def _matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="error").transform(df)
-
-
-def fit_regressor(df: DataFrame, features: list[str], target: str, trees: int = TREES):
-    return GBTRegressor(featuresCol="_x", labelCol=target, maxIter=trees, stepSize=RATE, maxDepth=DEPTH, seed=SEED).fit(_matrix(df, features))
-
-
-def fit_classifier(df: DataFrame, features: list[str], label: str, n_classes: int, trees: int = TREES) -> list:
-    """One model for two classes, else one against the rest for each class (the library's boosting is binary)."""
-    gbt = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, stepSize=RATE, maxDepth=DEPTH, seed=SEED)
-    x = _matrix(df, features)
-    which = [1] if n_classes == 2 else range(n_classes)
-    return [gbt.fit(x.withColumn("_y", (F.col(label) == k).cast("double"))) for k in which]
-
-
-def probabilities(models: list, df: DataFrame, features: list[str]) -> DataFrame:
-    """df with `proba`, an array that sums to 1."""
-    x = _matrix(df, features)
-    for k, m in enumerate(models):
-        x = m.transform(x).withColumn(f"_p{k}", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
-    if len(models) == 1:
-        return x.withColumn("proba", F.array(1 - F.col("_p0"), F.col("_p0"))).drop("_p0", "_x")
-    total = sum((F.col(f"_p{k}") for k in range(1, len(models))), F.col("_p0"))
-    return x.withColumn("proba", F.array(*[F.when(total > 0, F.col(f"_p{k}") / F.when(total > 0, total)).otherwise(1.0 / len(models)) for k in range(len(models))])).drop(*[f"_p{k}" for k in range(len(models))], "_x")
+def coded_labels(rows: DataFrame, target: str, folds: Folds) -> tuple[DataFrame, int]:
+    """rows with the target as codes from 0 (sorted labels of what fold 0 trains on), and how many there are. Another label or none is an error."""
+    label = F.col(target).cast("string")
+    codes = {r["value"]: r["code"] for r in label_index(rows.filter(folds.trains(0, folds.part())), target).limit(MAX_LABELS + 1).collect()}
+    if len(codes) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels: each would be a model of its own")
+    unseen = [r[0] for r in rows.select(label).filter(label.isNull() | ~label.isin(list(codes))).distinct().limit(10).collect()]
+    if unseen:
+        raise ValueError(f"labels that the first fold does not train on: {unseen}")
+    return rows.withColumn(target, F.element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), label)), len(codes)
 
 
 def score(df: DataFrame, metric: str, target: str, n_classes: int) -> float:
@@ -66,91 +53,67 @@ def score(df: DataFrame, metric: str, target: str, n_classes: int) -> float:
     return hard.agg(metrics.accuracy(F.col("_t"), F.col("_h")).alias("v")).first()[0]
 
 
-def cross_validate(df: DataFrame, features: list[str], target: str, metric: str, row_id: str, n_folds: int = 5, trees: int = TREES, shap: bool = False) -> dict:
-    """df has split and fold, or chunk (temporal_split). Guard and model are fitted per fold on its training rows (with chunks on
-    earlier ones only). Returns scores, mean, std and SHAP. A label that fold 0 does not train on is an error."""
-    train_rows = df.filter("split = 'train'")
-    n_classes = 0
-    if metric not in ("rmse", "mae"):
-        label = F.col(target).cast("string")
-        codes = {r["value"]: r["code"] for r in label_index(training_rows(train_rows, 0), target).limit(MAX_LABELS + 1).collect()}
-        n_classes = len(codes)
-        if n_classes > MAX_LABELS:
-            raise ValueError(f"more than {MAX_LABELS} labels: each would be a model of its own")
-        unseen = [r[0] for r in train_rows.select(label).filter(label.isNull() | ~label.isin(list(codes))).distinct().limit(10).collect()]
-        if unseen:
-            raise ValueError(f"labels that the first fold does not train on: {unseen}")
-        train_rows = train_rows.withColumn(target, F.element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), label))
-    scores, shaps = [], []
-    for k in range(n_folds):
-        train, val = training_rows(train_rows, k), validation_rows(train_rows, k)
-        guard = Guard(features, row_id).fit(train)
-        a, b = guard.transform(train).persist(), guard.transform(val).persist()
-        if metric in ("rmse", "mae"):
-            models = [fit_regressor(a, features, target, trees)]
-            got = models[0].transform(_matrix(b, features))
-        else:
-            models = fit_classifier(a, features, target, n_classes, trees)
-            got = probabilities(models, b, features)
-        scores.append(float(score(got, metric, target, max(n_classes, 2))))
-        if shap:
-            parts = [mean_abs_shap(m, b, features) for m in models]
-            shaps.append({f: float(np.mean([p[f] for p in parts])) for f in features})
-        a.unpersist()
-        b.unpersist()
-    out = {"scores": scores, "cv_score": float(np.mean(scores)), "cv_std": float(np.std(scores))}
-    if shap:
-        every = sorted({f for s in shaps for f in s})
-        out["shap"] = {f: float(np.mean([s.get(f, 0.0) for s in shaps])) for f in every}
-        out["shap_std"] = {f: float(np.std([s.get(f, 0.0) for s in shaps])) for f in every}
+def cross_validate(df: DataFrame, features: list[str], target: str, metric: str, row_id: str, n_folds: int = 5, trees: int = TREES, shap: bool = False, fit: Fit | None = None, fitted: Sequence[FoldFeature] = ()) -> dict:
+    """df has split and fold, or chunk (temporal_split). Fitted features, guard and model learn from each fold's training rows alone (with
+    chunks from earlier ones); all folds share one frame and the boosted trees of all folds grow together. Returns scores, mean, std, and with shap also attribution and
+    correlated pairs of numeric features (over .8 in the last fold's training rows).
+
+    fitted: features with a state (fitted.py), besides the columns in `features`. fit: another model, fitted and applied fold by fold: fit(df, features, target, metric) returns a
+    function that gives a frame its `prediction` (a number) or `proba` (an array that sums to 1). A label that fold 0 does not train on is
+    an error.
+    """
+    folds, rows = Folds.of(df, n_folds), df.filter("split = 'train'")
+    rows, n_classes = (rows, 0) if metric in ("rmse", "mae") else coded_labels(rows, target, folds)
+    rows = rows.filter(folds.part().isNotNull())
+    rows, places = stacked(rows, fitted, target, folds)
+    alike = _correlated(rows, {f: [f] for f in features} | places, folds) if shap else []
+    rows, use = guard_folds(rows, {f: [f] for f in features} | places, row_id, folds)
+    names = list(use)
+    columns = list(dict.fromkeys([row_id, target, folds.column, *[c for cs in use.values() for c in cs]]))
+    rows = stored(rows.select(*[F.col(f"`{c}`") for c in columns]), "cv-rows")
+    out: dict = {"features": names, "correlated": alike}
+    if fit is None:
+        made = boost.fit(rows, [use[f] for f in names], target, row_id, folds, n_classes, trees, RATE, DEPTH)
+        got = stored(made.predict(rows, "proba" if n_classes else "prediction").drop(*[c for cs in use.values() for c in cs if c not in (row_id, target, folds.column)]), "cv-scored")
+        parts = [got.filter(F.col("judged_by") == k) for k in range(n_folds)]
+    else:
+        parts = []
+        for k in range(n_folds):
+            own = [F.col(f"`{cs[k] if len(cs) > 1 else cs[0]}`").alias(f"x{i}") for i, cs in enumerate(use.values())]
+            one = rows.select(target, folds.part().alias("_part"), *own)
+            apply = fit(one.filter(folds.trains(k, F.col("_part"))).drop("_part"), [f"x{i}" for i in range(len(own))], target, metric)
+            parts.append(apply(one.filter(folds.validates(k, F.col("_part"))).drop("_part")))
+    scores = [float(score(p, metric, target, max(n_classes, 2))) for p in parts]
+    out |= {"scores": scores, "cv_score": float(np.mean(scores)), "cv_std": float(np.std(scores))}
+    if shap and fit is None:
+        by = mean_abs_shap(made, rows, len(names))
+        out["shap"] = {f: float(np.mean(by[:, i])) for i, f in enumerate(names)}
+        out["shap_std"] = {f: float(np.std(by[:, i])) for i, f in enumerate(names)}
+    elif shap:
+        out |= {"shap": {}, "shap_std": {}}  # trees of one's own are not opened
+    dropped(rows)
     return out
 
 
+def _correlated(df: DataFrame, use: dict[str, list[str]], folds: Folds) -> list[tuple[str, str, float]]:
+    own = {f: c[-1] for f, c in use.items() if isinstance(df.schema[c[-1]].dataType, T.NumericType)}
+    rows = df.filter(folds.trains(folds.n - 1, folds.part()))
+    return [tuple(r) for r in gram.pairs(rows, {f: F.col(f"`{c}`") for f, c in own.items()}).filter(F.abs("r") > CORRELATED).select("col_a", "col_b", F.round("r", 4)).collect()]
+
+
 def residuals(df: DataFrame, features: list[str], target: str, n_classes: int = 0, trees: int = 50) -> DataFrame:
-    """df (numeric features without missing values) with `residual`, in-sample: y - prediction, y - p, or 1 - p of the true class."""
+    """df (numeric features without missing values; a label as its code from 0) with `residual`, in-sample: y - prediction, y - p, or 1 - p of the true class."""
+    made = boost.fit(df, [[f] for f in features], target, None, Folds(1), n_classes, trees, RATE, DEPTH)
+    got = made.predict(df, "_p").drop("judged_by")
     if not n_classes:
-        m = fit_regressor(df, features, target, trees)
-        return m.transform(_matrix(df, features)).withColumn("residual", F.col(target) - F.col("prediction")).drop("_x", "prediction")
-    got = probabilities(fit_classifier(df, features, target, n_classes, trees), df, features)
-    p = F.element_at("proba", F.col(target).cast("int") + 1)
-    return got.withColumn("residual", F.col(target) - F.col("proba")[1] if n_classes == 2 else 1 - p).drop("proba")
+        return got.withColumn("residual", F.col(target) - F.col("_p")).drop("_p")
+    own = F.element_at("_p", F.col(target).cast("int") + 1)
+    return got.withColumn("residual", F.col(target) - F.col("_p")[1] if n_classes == 2 else 1 - own).drop("_p")
 
 
 # --- attribution -------------------------------------------------------------------------------------------------------
 
 
-def leaves(model) -> list[list[tuple[float, list[tuple[int, float, float, float]]]]]:
-    """For each tree its leaves: (weighted value, [(feature, above, up to, share of the training rows that go this way)])."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    path = f"{shared_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
-    rows = spark.read.parquet(f"{path}/data")
-    nodes = rows.select("treeID", "nodeData.*").collect()  # as many rows as nodes of all trees
-    weights = list(model.treeWeights)
-    trees: dict[int, dict[int, object]] = {}
-    for n in nodes:
-        trees.setdefault(n["treeID"], {})[n["id"]] = n
-    out = []
-    for t in sorted(trees):
-        tree, found = trees[t], []
-
-        def walk(i: int, path: list) -> None:
-            n = tree[i]
-            if n["leftChild"] < 0:
-                found.append((weights[t] * n["prediction"], path))
-                return
-            f, cut = n["split"]["featureIndex"], n["split"]["leftCategoriesOrThreshold"][0]
-            total = max(n["rawCount"], 1)
-            walk(n["leftChild"], [*path, (f, -np.inf, cut, tree[n["leftChild"]]["rawCount"] / total)])
-            walk(n["rightChild"], [*path, (f, cut, np.inf, tree[n["rightChild"]]["rawCount"] / total)])
-
-        walk(0, [])
-        out.append(found)
-    return out
-
-
 def tree_shap(trees: list, x: np.ndarray) -> tuple[np.ndarray, float]:
     """Exact path-dependent Shapley values of the margin for the rows of x, and the base value.
 
@@ -185,19 +148,32 @@ def tree_shap(trees: list, x: np.ndarray) -> tuple[np.ndarray, float]:
     return out, base
 
 
-def mean_abs_shap(model, df: DataFrame, features: list[str]) -> dict[str, float]:
-    """Mean absolute contribution of each feature; sums are made where the rows are."""
-    trees = leaves(model)
-    sent = df.sparkSession.sparkContext.broadcast(trees)
+def mean_abs_shap(model: boost.Boosted, df: DataFrame, features: int) -> np.ndarray:
+    """[fold, feature]: mean absolute contribution to the margins over the rows that the fold is judged by, and over classes.
+
+    Sums are made where the rows are; a fold without rows has zeros.
+    """
+    folds, n = model.folds, model.outputs
+    sent = df.sparkSession.sparkContext.broadcast((model, [[model.leaves(k, c) for c in range(n)] for k in range(folds.n)]))
+    x = F.array(*[F.col(f"`{c}`").cast("double") for c in model.columns])
+    fold = F.coalesce(*[F.when(folds.validates(k, folds.part()), k) for k in range(folds.n)])
 
     def run(batches):
         import pandas as pd
 
-        total, n = np.zeros(len(features)), 0
+        boosted, leaves = sent.value
+        total, count = np.zeros((folds.n, features)), np.zeros(folds.n, np.int64)
         for pdf in batches:
-            total += np.abs(tree_shap(sent.value, pdf.to_numpy(float))[0]).sum(axis=0)
-            n += len(pdf)
-        yield pd.DataFrame({"i": range(len(features)), "s": total, "n": n})
-
-    got = df.select(*features).mapInPandas(run, "i int, s double, n bigint").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("v")).collect()
-    return {features[r["i"]]: float(r["v"] or 0.0) for r in got}
+            bins, at = boost.binned(np.stack(pdf["x"].to_list()) if len(pdf) else np.zeros((0, len(boosted.columns))), boosted.at), pdf["fold"].to_numpy()
+            for k in np.unique(at):
+                own = bins[boosted.use[k]][:, at == k].T.astype(float)
+                count[k] += len(own)
+                for trees in leaves[k]:
+                    total[k] += np.abs(tree_shap(trees, own)[0]).sum(axis=0) / len(leaves[k])
+        yield pd.DataFrame({"fold": np.repeat(range(folds.n), features), "i": np.tile(range(features), folds.n), "s": total.ravel(), "n": np.repeat(count, features)})
+
+    got = df.select(x.alias("x"), fold.alias("fold")).filter("fold is not null").mapInPandas(run, "fold int, i int, s double, n bigint").groupBy("fold", "i").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("v")).collect()
+    out = np.zeros((folds.n, features))
+    for r in got:
+        out[r["fold"], r["i"]] = r["v"] or 0.0
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +41,34 @@ def validation_rows(df: DataFrame, fold: int) -> DataFrame:
     return df.filter((F.col("split") == "train") & (F.col("chunk") == fold + 2 if "chunk" in df.columns else F.col("fold") == fold))
 
 
+@dataclass(frozen=True)
+class Folds:
+    """Which rows the folds learn from and are judged by, told by one column: folds, or chunks of time; without a column one fold does both on all rows.
+
+    trains() and validates() take Columns and numpy arrays alike.
+    """
+
+    n: int
+    column: str | None = None
+
+    @classmethod
+    def of(cls, df: DataFrame, n: int) -> Folds:
+        return cls(n, "chunk" if "chunk" in df.columns else "fold")
+
+    def trains(self, fold: int, part):
+        return part == part if self.column is None else part <= fold + 1 if self.column == "chunk" else part != fold  # noqa: PLR0124
+
+    def validates(self, fold: int, part):
+        return part == part if self.column is None else part == (fold + 2 if self.column == "chunk" else fold)  # noqa: PLR0124
+
+    def part(self) -> Column:
+        return F.lit(0) if self.column is None else F.col(self.column).cast("int")
+
+    def sums(self, what: Column, rows: Column | None = None) -> list[Column]:
+        """For each fold an aggregate: the sum of what over its training rows (where `rows` holds), all in one pass."""
+        return [F.sum(F.when(self.trains(k, self.part()) & (F.lit(True) if rows is None else rows), what)) for k in range(self.n)]
+
+
 def fold_roles(df: DataFrame, n_folds: int = 5) -> DataFrame:
     """The rows of df once for each fold that reads them, with `fold` and `role` ("train" or "validation")."""
     out = None
@@ -63,12 +93,12 @@ def strata(df: DataFrame, target: str, bins: int = 10, few: int = 20) -> DataFra
     return df.withColumn("stratum", total.cast("string"))
 
 
-def stratified_split(df: DataFrame, row_id: str, stratum: str = "stratum", n_folds: int = 5, test_share: float = 0.2, seed: int = SEED) -> DataFrame:
-    """split and fold (0 .. n_folds - 1; NULL for test), balanced within each stratum to one row.
+def stratified_split(df: DataFrame, row_id: str, stratum: str = "stratum", n_folds: int = 5, test_share: float = 0.2, seed: int = SEED, draw_by: str | None = None) -> DataFrame:
+    """split and fold (0 .. n_folds - 1; NULL for test), balanced within each stratum to one row. draw_by: a column to draw by instead of row_id.
 
     Places within a stratum come from the global order by (stratum, hash), so that a large stratum is no single task.
     """
-    r = ranked(df.withColumn("_draw", draw(F.col(row_id), seed)), [F.col(stratum), F.col("_draw"), F.col(row_id)], "_rn")
+    r = ranked(df.withColumn("_draw", draw(F.col(draw_by or row_id), seed)), [F.col(stratum), F.col("_draw"), F.col(row_id)], "_rn")
     per = df.groupBy(stratum).agg(F.count("*").alias("_size"))
     w = Window.partitionBy().orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)  # one row for each stratum
     per = per.withColumn("_before", F.coalesce(F.sum("_size").over(w), F.lit(0))).withColumnRenamed(stratum, "_s")

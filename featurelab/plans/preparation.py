@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import guard, splits
 from ..operators import transforms as tf
+from ..operators.fitted import FoldFeature, stacked
+from ..operators.splits import Folds
 from .common import read, rounded
 
 
@@ -92,6 +94,18 @@ def _clusters(s, d):
     return tf.clustering(df, df, ["c_acctbal", "n_regionkey"], 5).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+def _by_fold(spec, table, key, target, places, temporal=False):
+    """The feature of every fold, for all rows that a fold reads."""
+    def query(s, d):
+        df = splits.temporal_split(read(s, d, "orders"), [F.col("o_orderdate"), F.col("o_orderkey")]) if temporal else _folded(s, d)
+        folds = Folds.of(df, 5)
+        got, where = stacked(df.filter("split = 'train'").filter(folds.part().isNotNull()), [FoldFeature.parse(spec)], target, folds)
+        long = got.select(key, F.posexplode(F.array(*[F.col(c).cast("double") for c in where[spec]])).alias("k", "value"))
+        return rounded(long.select(key, F.col("k").cast("bigint").alias("fold"), "value"), places)
+
+    return query
+
+
 _MATH = [tf.log("l_extendedprice", "t_log"), tf.sqrt("l_quantity", "t_sqrt"), tf.power("l_discount", 3.0, "t_power"), tf.reciprocal("l_tax", "t_reciprocal"), tf.absolute("l_discount", "t_abs")]
 _DATE = [tf.day_of_week("l_shipdate", "t_dow"), tf.month("l_shipdate", "t_month"), tf.year("l_shipdate", "t_year"), tf.time_since("l_shipdate", "1995-01-01", "t_since"), tf.is_weekend("l_shipdate", "t_weekend"), tf.season("l_shipdate", "t_season")]
 _INTER = [tf.product("l_quantity", "l_tax", "t_product"), tf.quotient("l_tax", "l_discount", "t_ratio"), tf.difference("l_tax", "l_discount", "t_difference"), tf.total("l_tax", "l_discount", "t_sum")]
@@ -117,6 +131,14 @@ QUERIES = {
     "t_categories": _categories,
     "t_target_mean": _target,
     "t_target_out_of_fold": _oof,
+    "fold_target_encoding": _by_fold("target:o_custkey", "orders", "o_orderkey", "o_totalprice", 6),
+    "fold_target_out_of_fold": _by_fold("oof:o_custkey", "orders", "o_orderkey", "o_totalprice", 6),
+    "fold_clip": _by_fold("clip:o_totalprice:0.05:0.9", "orders", "o_orderkey", "o_shippriority", 4),
+    "fold_zscore": _by_fold("zscore:o_totalprice", "orders", "o_orderkey", "o_shippriority", 6),
+    "fold_labels": _by_fold("label:o_custkey", "orders", "o_orderkey", "o_totalprice", 1),
+    "fold_group_std": _by_fold("group_std:o_totalprice:o_orderpriority:o_orderstatus", "orders", "o_orderkey", "o_shippriority", 5),
+    "chunk_target_encoding": _by_fold("target:o_custkey", "orders", "o_orderkey", "o_totalprice", 6, True),
+    "chunk_frequency": _by_fold("frequency:o_orderpriority", "orders", "o_orderkey", "o_totalprice", 9, True),
     "t_geo_aggregate": _cells,
     "t_clustering": _clusters,
 }
@@ -125,7 +147,25 @@ _FOLDED = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriorit
     count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
   o AS (SELECT * EXCLUDE (rn, n), CASE WHEN rn <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split, CASE WHEN rn > round(n * 0.2) THEN CAST((rn - round(n * 0.2) - 1) % 5 AS BIGINT) END AS fold FROM r)"""
 
+_CHUNKED = """WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, CAST(floor(count(*) OVER () * 0.8) AS BIGINT) AS pool FROM orders),
+  tr AS (SELECT *, (rn - 1) // (pool // 6) + 1 AS part FROM r WHERE rn <= pool AND (rn - 1) // (pool // 6) + 1 <= 6), f AS (SELECT k AS fold FROM range(5) t(k)), ok AS (SELECT * FROM tr JOIN f ON part <= fold + 1)"""
+_BY_FOLD = _FOLDED + ", tr AS (SELECT *, fold AS part FROM o WHERE split = 'train'), f AS (SELECT k AS fold FROM range(5) t(k)), ok AS (SELECT tr.* EXCLUDE (fold), f.fold FROM tr JOIN f ON part <> f.fold)"
+_MEANS = ", g AS (SELECT fold, avg(o_totalprice) AS g FROM ok GROUP BY 1), t AS (SELECT fold, o_custkey, avg(o_totalprice) AS v FROM ok GROUP BY 1, 2) SELECT o_orderkey, g.fold, round(coalesce(v, g), 6) AS value FROM tr CROSS JOIN g LEFT JOIN t ON t.fold = g.fold AND t.o_custkey = tr.o_custkey"
+
 SQL = {
+    "fold_target_encoding": _BY_FOLD + _MEANS,
+    "chunk_target_encoding": _CHUNKED + _MEANS,
+    "fold_target_out_of_fold": _BY_FOLD + """, g AS (SELECT fold, avg(o_totalprice) AS g FROM ok GROUP BY 1), p AS (SELECT o_custkey AS c, part, sum(o_totalprice) AS s, count(*) AS n FROM tr GROUP BY 1, 2),
+        w AS (SELECT o_orderkey, g.fold, any_value(g) AS g, sum(s) AS s, sum(n) AS n FROM tr CROSS JOIN g LEFT JOIN p ON c = o_custkey AND p.part <> g.fold AND p.part <> tr.part GROUP BY 1, 2)
+        SELECT o_orderkey, fold, round(coalesce(s / n, g), 6) AS value FROM w""",
+    "fold_clip": _BY_FOLD + ", q AS (SELECT fold, quantile_cont(o_totalprice, 0.05) AS lo, quantile_cont(o_totalprice, 0.9) AS hi FROM ok GROUP BY 1) SELECT o_orderkey, q.fold, round(least(greatest(o_totalprice, lo), hi), 4) AS value FROM tr CROSS JOIN q",
+    "fold_zscore": _BY_FOLD + ", q AS (SELECT fold, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS sd FROM ok GROUP BY 1) SELECT o_orderkey, q.fold, round((o_totalprice - m) / sd, 6) AS value FROM tr CROSS JOIN q",
+    "fold_labels": _BY_FOLD + """, l AS (SELECT fold, o_custkey, row_number() OVER (PARTITION BY fold ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS code FROM (SELECT DISTINCT fold, o_custkey FROM ok))
+        SELECT o_orderkey, f.fold, CAST(coalesce(code, -1) AS DOUBLE) AS value FROM tr CROSS JOIN f LEFT JOIN l ON l.fold = f.fold AND l.o_custkey = tr.o_custkey""",
+    "fold_group_std": _BY_FOLD + """, q AS (SELECT fold, o_orderpriority AS p, o_orderstatus AS t, stddev_samp(o_totalprice) AS sd FROM ok GROUP BY 1, 2, 3)
+        SELECT o_orderkey, f.fold, round(sd, 5) AS value FROM tr CROSS JOIN f LEFT JOIN q ON q.fold = f.fold AND p = o_orderpriority AND t = o_orderstatus""",
+    "chunk_frequency": _CHUNKED + """, n AS (SELECT fold, count(*) AS n FROM ok GROUP BY 1), q AS (SELECT fold, o_orderpriority AS p, count(*) AS c FROM ok GROUP BY 1, 2)
+        SELECT o_orderkey, n.fold, round(coalesce(c, 0) / CAST(n AS DOUBLE), 9) AS value FROM tr CROSS JOIN n LEFT JOIN q ON q.fold = n.fold AND p = o_orderpriority""",
     "temporal_split": """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, CAST(floor(count(*) OVER () * 0.8) AS BIGINT) AS pool FROM orders),
         c AS (SELECT *, (rn - 1) // (pool // 6) + 1 AS chunk FROM r)
         SELECT o_orderkey, CASE WHEN rn > pool THEN 'test' ELSE 'train' END AS split, CASE WHEN rn <= pool AND chunk <= 6 THEN chunk END AS chunk FROM c""",

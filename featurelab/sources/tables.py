@@ -71,6 +71,17 @@ def suggested_metric(df: DataFrame, target: str) -> str:
     return "auc" if n == 2 else "f1" if n <= 20 else "rmse"
 
 
+def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and modification time (microseconds) of each file of a data set, sorted; as Spark's scan sees them."""
+    rows = read_plain(spark, path).select("_metadata.file_path", "_metadata.file_size", F.unix_micros("_metadata.file_modification_time").alias("t")).distinct()
+    return sorted((r[0], r[1], r[2]) for r in rows.collect())  # one for each file
+
+
+def read_plain(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a data set without types: lines of a text file."""
+    return spark.read.text(path) if path.rstrip("/").endswith((".csv", ".csv.gz", ".tsv")) else spark.read.parquet(path)
+
+
 def signature(df: DataFrame, config: dict, files: list[tuple[str, int, int]] | None = None) -> str:
     """SHA-256 of the sorted compact JSON of configuration, shape, columns, types and (name, size, time) of files."""
     what = {"config": config, "rows": df.count(), "columns": df.columns, "types": [t for _, t in df.dtypes], "files": files or []}

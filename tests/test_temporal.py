@@ -25,8 +25,13 @@ def test_training_with_dates_from_the_command_line(spark, tmp_path, monkeypatch,
     (tmp_path / "d.csv").write_text(f"day,seq,b,y\n{rows}\n")
     (tmp_path / "c.yaml").write_text(f"data_path: {tmp_path / 'd.csv'}\ntarget: y\nmetric: rmse\ndate_col: day\n")
     monkeypatch.setattr(cli, "session", lambda: spark)
-    seen, real = [], model.fit_regressor
-    monkeypatch.setattr(model, "fit_regressor", lambda df, *a: seen.append(df.agg(F.count("*"), F.max("seq")).first()) or real(df, *a))
+    seen, real = [], model.boost.fit
+
+    def fit(df, features, target, row_id, folds, *a):
+        seen.extend(df.filter(folds.trains(k, folds.part())).agg(F.count("*"), F.max("seq")).first() for k in range(folds.n))
+        return real(df, features, target, row_id, folds, *a)
+
+    monkeypatch.setattr(model.boost, "fit", fit)
     base = ["--config", str(tmp_path / "c.yaml"), "--ledger", str(tmp_path / "l")]
     assert cli.main([*base, "prepare"]) == 0
     assert cli.main([*base, "train", "--features", "seq", "b", "--trees", "2"]) == 0

@@ -33,12 +33,12 @@ def test_model_queries_run_the_whole_operator(spark, sf, monkeypatch):
         calls.append((a.arguments["n_folds"], a.arguments["trees"], folds))
         return {"scores": [0.0], "shap": {"f": 0.0}, "shap_std": {"f": 0.0}}
 
-    def fit_regressor(df, features, target, trees):
+    def residuals(df, features, target, n_classes=0, trees=50):
         calls.append(trees)
         raise StopIteration
 
     monkeypatch.setattr(model, "cross_validate", cross_validate)
-    monkeypatch.setattr(model, "fit_regressor", fit_regressor)
+    monkeypatch.setattr(model, "residuals", residuals)
     for name in ("gbt_cv_scores", "gbt_multiclass", "shap_by_fold"):
         models.QUERIES[name](spark, sf)
     try:
