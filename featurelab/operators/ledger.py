@@ -7,6 +7,9 @@ is overwritten; the view of a graph with one edge for each pair of nodes is comp
 
 from __future__ import annotations
 
+import os
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -182,10 +185,25 @@ class Ledger:
         files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         files.mkdirs(folder)
         n = max((int(s.getPath().getName()) for s in files.listStatus(folder)), default=0) + 1
-        while not files.createNewFile(jvm.org.apache.hadoop.fs.Path(folder, f"{n:012d}")):
+        while not self._made(files, jvm.org.apache.hadoop.fs.Path(folder, f"{n:012d}")):
             n += 1
         return n
 
+    def _made(self, files, path) -> bool:
+        """Whether this call made the file. A local file system needs its own exclusive way, as Hadoop looks first and creates then."""
+        if files.getScheme() == "file":
+            try:
+                os.close(os.open(files.makeQualified(path).toUri().getPath(), os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            return files.createNewFile(path)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+
     def add_edges(self, rel: str, edges: DataFrame) -> int:
         """Appends typed edges (src, dst and any of the edge table's attributes) and returns how many. An unknown type is registered; an edge with an end that
         is no node is an error. seq: one number for each call, in the order of the calls, whoever makes them."""
