@@ -84,12 +84,12 @@ def main(argv: list[str] | None = None) -> int:
     L.register_type("CORRELATED_WITH", "Feature", ["Feature"], "statistical")
     L.register_type("OUTPERFORMS", "Experiment", ["Experiment"], "improvement")
     if a.command == "inspect":
-        e, higher = L.graph_tables(), cfg.load(a.config).higher_is_better
+        e, higher = L.graph_tables(), cfg.load(a.config).higher_is_better if Path(a.config).exists() else True
         made = {
             "history": lambda: reports.history(e), "timeline": lambda: reports.timeline(e), "success": lambda: reports.success_rates(e), "failed": lambda: reports.failed_patterns(e),
             "hypotheses": lambda: e["hypothesis"], "calibration": lambda: reports.hypotheses(e), "improvements": lambda: improved_over(e["experiment"]),
             "outperforms": lambda: outperforms(e["experiment"], e["used_in"], higher), "sessions": lambda: reports.sessions(e["experiment"].withColumn("k", F.lit(1)), "k", "ts"),
-            "shap": lambda: reports.shap_ranking(e, higher), "saturated": lambda: reports.saturated_columns(e), "load-bearing": lambda: reports.load_bearing(e), "untried": lambda: reports.untried_pairs(e),
+            "shap": lambda: reports.shap_ranking(e, higher=higher), "saturated": lambda: reports.saturated_columns(e), "load-bearing": lambda: reports.load_bearing(e), "untried": lambda: reports.untried_pairs(e),
             "coverage": lambda: reports.coverage(e), "ablation": lambda: reports.ablation(e), "edge-types": lambda: reports.edge_types(L.types(), views.elements(e)[1]),
             "lineage": lambda: reports.feature_lineage(e), "column": lambda: reports.column_dive(e, a.column), "correlations": lambda: reports.correlations(L.table("edge")),
             "discovery": lambda: reports.discovered_keys(L.last_run("entity_key")),
