@@ -115,14 +115,8 @@ def main(argv: list[str] | None = None) -> int:
         show(made)
     elif a.command == "discover":
         rows = query.scope(df).select(*features)
-        derived = made = discover.derived(rows).persist()
-        found = discover.entity_keys(rows, list(c.categorical_columns))
-        keys, icc = [r["columns"] for r in found.collect()], {}
-        texts = [r["expr"] for r in made.collect()]
-        compiled = {x: compile_expression(x, rows) for x in texts}
-        alone = discover.raw(rows)
-        made = {x: m.column for x, m in compiled.items()} | {x: F.col(f"`{x}`").cast("double") for x in alone}
-        steady = discover.invariants(rows, keys, made, {x: set(m.references) for x, m in compiled.items()} | {x: {x} for x in alone}).persist()
+        got = discover.scan(rows, list(c.categorical_columns))
+        keys, icc, steady = [r["columns"] for r in got.keys.collect()], {}, got.steady.persist()
         show(steady.orderBy("median_cv", "key", "expr"))
         numbers = profile.numeric_columns(rows)
         if c.metric in ("rmse", "mae") and numbers and keys:
@@ -130,8 +124,8 @@ def main(argv: list[str] | None = None) -> int:
             icc = {r["key"]: r["residual_icc"] for r in discover.residual_icc(model.residuals(full, numbers, c.target), F.col("residual"), keys).collect()}
             for key, value in icc.items():
                 print(json.dumps({"key": key, "residual_icc": value}))
-        alone_too = spark.createDataFrame([(x, None) for x in alone], "expr string, variance double")
-        L.store_discovery(derived.select("expr", "variance").unionByName(alone_too), {x: sorted(m.references) for x, m in compiled.items()} | {x: [x] for x in alone}, found, icc, steady, datetime.datetime.now())
+        alone_too = spark.createDataFrame([(x, None) for x in got.raw], "expr string, variance double")
+        L.store_discovery(got.derived.select("expr", "variance").unionByName(alone_too), got.references, got.keys, icc, steady, datetime.datetime.now())
     elif a.command == "query":
         kw = {k: v for k, v in {"expr": a.expr, "groupby": a.groupby, "cols": a.cols, "col": a.col, "col_a": a.col_a, "col_b": a.col_b}.items() if v}
         if a.kind == "conditional_distribution":

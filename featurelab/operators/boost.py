@@ -27,7 +27,7 @@ from ..functions.shared import dropped, stored
 from .splits import Folds
 
 BINS, L2, MIN_HESSIAN = 256, 1.0, 1.0
-TREES_A_TABLE = 5
+TREES_A_TABLE = 10
 #: Rows and bytes of a block at most.
 BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 1 << 24
 
@@ -221,13 +221,16 @@ def fit(df: DataFrame, features: list[list[str]], target: str, row_id: str | Non
     grown = Trees.empty(trees, models, depth)
     fresh = _read(state)
     for t in range(trees):
-        since = t % TREES_A_TABLE
-        if t and not since:
+        old = fresh
+        if t and t % TREES_A_TABLE == 0:
             nxt = stored(_advanced(state, grown.some(t - TREES_A_TABLE, t), use, outputs), "boost-rows")
-            fresh.unpersist()
             dropped(state)
             state, fresh = nxt, _read(nxt)
-        _grow(fresh, grown, t, since, use, folds, loss, outputs, len(features), rate, depth, tasks)
+        elif t:
+            fresh = old.mapPartitions(_adder(grown.some(t - 1, t), use, outputs)).persist(StorageLevel.MEMORY_AND_DISK)
+        _grow(fresh, grown, t, use, folds, loss, outputs, len(features), rate, depth, tasks)
+        if t:
+            old.unpersist()
     fresh.unpersist()
     dropped(state)
     return Boosted(loss, folds, outputs, columns, use, at, start, grown, depth)
@@ -235,7 +238,7 @@ def fit(df: DataFrame, features: list[list[str]], target: str, row_id: str | Non
 
 def _read(table: DataFrame) -> RDD:
     """The rows of a table of blocks, kept near; what is lost is read again."""
-    return table.rdd.persist(StorageLevel.MEMORY_AND_DISK)
+    return table.rdd.map(lambda row: row.asDict()).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _blocks(df: DataFrame, columns: list[str], target: str, row_id: str | None, folds: Folds, at: list[np.ndarray], start: np.ndarray, size: int) -> tuple[DataFrame, int]:
@@ -276,29 +279,38 @@ def _blocks(df: DataFrame, columns: list[str], target: str, row_id: str | None,
 
 def _advanced(blocks: DataFrame, trees: Trees, use: list[list[int]], outputs: int) -> DataFrame:
     """The blocks with the trees added to their margins."""
-    sent = blocks.sparkSession.sparkContext.broadcast(trees)
-    models = len(use) * outputs
+    add = _adder(trees, use, outputs)
 
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
-                bins, _, _, margin = _opened(row, models)
-                new = np.stack([margin[m] + sent.value.margins(m, bins[use[m // outputs]]) for m in range(models)])
-                yield _batch(_BLOCK, {k: [v] for k, v in (row | {"margin": new.tobytes()}).items()})
+            for row in add(b.to_pylist()):
+                yield _batch(_BLOCK, {k: [v] for k, v in row.items()})
 
     return blocks.mapInArrow(run, _BLOCK)
 
 
+def _adder(trees: Trees, use: list[list[int]], outputs: int):
+    """A function of blocks (dictionaries) that adds the trees to their margins."""
+    models = len(use) * outputs
+
+    def add(rows):
+        for row in rows:
+            bins, _, _, margin = _opened(row, models)
+            own = [bins[places] for places in use]
+            yield row | {"margin": np.stack([margin[m] + trees.margins(m, own[m // outputs]) for m in range(models)]).tobytes()}
+
+    return add
+
+
 def histograms(blocks: RDD, trees: Trees, level: int, open_nodes: np.ndarray, use: list[list[int]], folds: Folds, loss: str, outputs: int, features: int) -> RDD:
     """((model, feature, first block), (g, h)): sums of gradients and Hessians [node of the level, bin], a row for each task.
 
-    trees: those since the margins were written; the last is growing. open_nodes [model, node]: which are to be cut.
+    trees: the one that is growing. open_nodes [model, node]: which are to be cut.
     """
     models = len(use) * outputs
 
     def run(rows):
-        last, width, total, first = len(trees.column) - 1, 1 << level, {}, None
-        done = trees.some(0, last)
+        width, total, first = 1 << level, {}, None
         for row in rows:
             bins, y, part, margin = _opened(row, models)
             first = row["block"] if first is None else first
@@ -307,13 +319,12 @@ def histograms(blocks: RDD, trees: Trees, level: int, open_nodes: np.ndarray, us
                 if not len(mine) or not open_nodes[k * outputs : (k + 1) * outputs].any():
                     continue
                 own = bins[places][:, mine]
-                now = np.stack([margin[m][mine] + done.margins(m, own) for m in range(k * outputs, (k + 1) * outputs)])
-                g, h = gradients(loss, y[mine], now)
+                g, h = gradients(loss, y[mine], margin[k * outputs : (k + 1) * outputs, mine])
                 for c in range(outputs):
                     m = k * outputs + c
                     if not open_nodes[m].any():
                         continue
-                    at = trees.node(last, m, own, level) - (width - 1)
+                    at = trees.node(0, m, own, level) - (width - 1)
                     here = at >= 0
                     here[here] = open_nodes[m][at[here]]
                     node, gg, hh = at[here], g[c][here], h[c][here]
@@ -360,13 +371,13 @@ def best(g: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.concatenate([np.maximum(at(gain), 0), i, at(gl), at(hl), total, weight], axis=1)
 
 
-def _grow(blocks: RDD, grown: Trees, t: int, since: int, use: list[list[int]], folds: Folds, loss: str, outputs: int, features: int, rate: float, depth: int, tasks: int) -> None:
+def _grow(blocks: RDD, grown: Trees, t: int, use: list[list[int]], folds: Folds, loss: str, outputs: int, features: int, rate: float, depth: int, tasks: int) -> None:
     models = len(use) * outputs
     open_nodes = np.ones((models, 1), bool)
     for level in range(depth):
         base = (1 << level) - 1
         size = models * (1 << level) * features * BINS * 16 * tasks  # bytes of histograms at most
-        hist = histograms(blocks, grown.some(t - since, t + 1), level, open_nodes, use, folds, loss, outputs, features)
+        hist = histograms(blocks, grown.some(t, t + 1), level, open_nodes, use, folds, loss, outputs, features)
         top: dict[tuple[int, int], tuple] = {}
         for (m, f), cuts in sorted(best_cuts(hist, 0 if tasks == 1 else max(1, min(1000, size >> 24))).collect(), key=lambda x: x[0]):  # one for each model and feature
             for node, (gain, cut, *sums) in enumerate(cuts.tolist()):

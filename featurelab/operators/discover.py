@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -105,6 +106,29 @@ def invariants(df: DataFrame, keys: list[list[str]], expressions: dict[str, Colu
     return got.select(said[F.col("key")].alias("key"), shown[F.col("expr")].alias("expr"), "median_cv", "n_groups")
 
 
+@dataclass
+class Scan:
+    """What a discovery finds: derived expressions and raw columns (expr, variance), entity keys, near-constant pairs; references by expression."""
+
+    derived: DataFrame
+    raw: list[str]
+    keys: DataFrame
+    references: dict[str, list[str]]
+    steady: DataFrame
+
+
+def scan(df: DataFrame, categorical: list[str] | None = None, tags: dict[str, list[str]] | None = None) -> Scan:
+    """The whole discovery over df, which is written once: entity keys that are found, against expressions that are found and the raw columns of largest variance."""
+    rows = stored(df, "discover-rows")
+    found = derived(rows, tags).persist()
+    keys, alone = entity_keys(rows, categorical), raw(rows)
+    compiled = {r["expr"]: expr.compile_expression(r["expr"], rows) for r in found.select("expr").collect()}  # at most MAX_DERIVED
+    made = {x: m.column for x, m in compiled.items()} | {x: F.col(f"`{x}`").cast("double") for x in alone}
+    references = {x: sorted(m.references) for x, m in compiled.items()} | {x: [x] for x in alone}
+    steady = invariants(rows, [list(r["columns"]) for r in keys.collect()], made, {x: set(r) for x, r in references.items()})  # at most MAX_KEYS
+    return Scan(found, alone, keys, references, steady)
+
+
 def residual_icc(df: DataFrame, residual: Column, keys: list[list[str]]) -> DataFrame:
     """key, residual_icc, for each key."""
     out = None

@@ -41,7 +41,17 @@ def _tagged(s, d):
     return _log_variance(discover.derived(df, {"monetary": ["l_extendedprice", "l_tax"], "temporal": ["secs", "l_quantity"]}))
 
 
+_FOUND = {"l_partkey": 0, "o_custkey": 0, "l_quantity": 1, "p_retailprice": 1, "p_size": 0, "c_acctbal": 1}  # number -> fractional
+_TEXT = ["c_name", "p_brand"]
+
+
+def _found(s, d):
+    """All of discovery on the joined tables: keys and expressions are those that are found."""
+    return rounded(discover.scan(joined(s, d).select(*_FOUND, *_TEXT)).steady, 6)
+
+
 QUERIES = {
+    "invariant_scan_found": _found,
     "derived_variance": lambda s, d: _log_variance(discover.derived(read(s, d, "lineitem").select(*_NUMERIC))),
     "derived_tagged": _tagged,
     "derived_ids": _ids,
@@ -90,7 +100,32 @@ _ICC = """SELECT '{key}' AS "key", round(CASE WHEN k >= 2 AND n > k AND msb + (n
  SELECT sum(n) AS n, CAST(count(*) AS DOUBLE) AS k, sum(n * m) / sum(n) AS gm, sum(n * m * m) AS q, sum(n * s2) AS ssw FROM (
  SELECT CAST(count(*) AS DOUBLE) AS n, avg(l_extendedprice - l_quantity * 1000) AS m, var_pop(l_extendedprice - l_quantity * 1000) AS s2 FROM lineitem GROUP BY {cols})))"""
 
+def _found_sql():
+    columns = [*_FOUND, *_TEXT]
+    made = [(t, e, [a, b]) for a, b in combinations(_FOUND, 2) for t, e in ((f"{a} - {b}", f"CAST({a} AS DOUBLE) - {b}"), (f"{a} / {b}", f"CASE WHEN {b} <> 0 THEN CAST({a} AS DOUBLE) / {b} END"))]
+    made += [(c, f"CAST({c} AS DOUBLE)", [c]) for c in _FOUND]
+    cap = {c: "1000000000" if c in _TEXT else "1000" if _FOUND[c] else "100000" for c in columns}
+    singles = _u([f"SELECT '{c}' AS c, count(DISTINCT {c}) AS n, {cap[c]} AS cap FROM j" for c in columns])
+    both = _u([f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n FROM (SELECT DISTINCT {a}, {b} FROM j)" for a, b in combinations(columns, 2)])
+    every = [[c] for c in columns] + [list(p) for p in combinations(columns, 2)]
+    kv = ", ".join(f"{{'k': '{'_'.join(k)}', 'l': {k}, 'g': " + " || '|' || ".join(f"{c}::VARCHAR" for c in k) + "}" for k in every)
+    sums = ", ".join(f"count(e{i}) AS n{i}, avg(e{i}) AS m{i}, stddev_samp(e{i}) AS s{i}" for i in range(len(made)))
+    long = _u([f"SELECT k, l, '{t}' AS expr, {refs} AS refs, CASE WHEN abs(m{i}) > 0 THEN s{i} / abs(m{i}) END AS cv FROM g WHERE n{i} >= 10" for i, (t, _, refs) in enumerate(made)])
+    return f"""WITH {_J}, v AS (SELECT {", ".join(f"var_samp({e}) AS v{i}" for i, (_, e, _) in enumerate(made))} FROM j),
+      x AS ({_u([f"SELECT '{t}' AS expr, {len(refs)} AS parts, v{i} AS variance FROM v" for i, (t, _, refs) in enumerate(made)])}),
+      t AS (SELECT expr FROM (SELECT *, row_number() OVER (PARTITION BY parts ORDER BY variance DESC, expr) AS place FROM x WHERE variance > 0 AND isfinite(variance)) WHERE place <= 50),
+      c AS ({singles}), s AS (SELECT * FROM c WHERE n BETWEEN 50 AND 100000 AND n < cap), p AS ({both}),
+      f AS (SELECT c AS k, n AS cardinality, [c] AS l FROM s UNION ALL SELECT a || '_' || b, n, [a, b] FROM p
+        WHERE n BETWEEN 500 AND 500000 AND a IN (SELECT c FROM s WHERE n <= 50000) AND b IN (SELECT c FROM s WHERE n <= 50000)),
+      keys AS (SELECT k FROM f ORDER BY cardinality DESC, l LIMIT 20),
+      kv AS (SELECT unnest([{kv}]) AS kv, {", ".join(f"{e} AS e{i}" for i, (_, e, _) in enumerate(made))} FROM j),
+      g AS MATERIALIZED (SELECT kv.k AS k, kv.l AS l, kv.g AS g, {sums} FROM kv WHERE kv.k IN (SELECT k FROM keys) GROUP BY ALL), u AS ({long}),
+      r AS (SELECT k, expr, quantile_cont(cv, 0.5) AS median_cv, count(*) AS n_groups FROM u WHERE expr IN (SELECT expr FROM t) AND NOT list_has_all(l, refs) GROUP BY 1, 2)
+      SELECT k AS "key", expr, round(median_cv, 6) AS median_cv, n_groups FROM r WHERE median_cv < 0.1"""
+
+
 SQL = {
+    "invariant_scan_found": _found_sql(),
     "derived_variance": _BASE + " SELECT expr, round(ln(variance), 6) AS log_variance FROM t",
     "derived_tagged": _variances(_TAGGED, "SELECT *, epoch(l_shipdate)::BIGINT AS secs FROM lineitem") + " SELECT expr, round(ln(variance), 6) AS log_variance FROM t",
     "derived_ids": _BASE + " SELECT expr, 'derived_' || substr(sha256(expr), 1, 8) AS id FROM t",
