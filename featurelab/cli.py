@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import datetime
+import importlib.util
 import json
 from pathlib import Path
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions.expr import compile_expression
 from .functions.shared import stored
-from .operators import discover, model, profile, query, reports, splits, views
+from .operators import discover, lineage, model, profile, query, reports, splits, views
 from .operators.fitted import KINDS, FoldFeature
 from .operators.guard import impute, medians
 from .operators.ledger import Ledger, improved_over, outperforms
@@ -44,6 +45,20 @@ def prepared(spark, c: cfg.Config) -> DataFrame:
     return splits.stratified_split(splits.strata(df, c.target), "row_id", "stratum", c.n_folds, seed=c.random_seed, draw_by="row_key").drop("row_key")
 
 
+def engineered(df: DataFrame, path: str) -> DataFrame:
+    """df with the columns that a file's engineer_features adds; the rows must stay the same."""
+    spec = importlib.util.spec_from_file_location("engineered_features", path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    out = module.engineer_features(df)
+    if not isinstance(out, DataFrame) or "row_id" not in out.columns:
+        raise ValueError("engineer_features must return a DataFrame with the rows it was given")
+    ids = out.select("row_id").exceptAll(df.select("row_id")).head(1) or df.select("row_id").exceptAll(out.select("row_id")).head(1)
+    if ids:
+        raise ValueError("engineer_features must neither add nor drop rows")
+    return out
+
+
 def show(df: DataFrame) -> None:
     for r in df.toLocalIterator():
         print(json.dumps(r.asDict(recursive=True), default=str))
@@ -68,6 +83,7 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("--n-groups", type=int, default=5)
     t = sub.add_parser("train")
     t.add_argument("--features", nargs="+", help=f"columns, expressions, or kind:argument:... with a kind of {', '.join(KINDS)}")
+    t.add_argument("--module", help="a Python file whose engineer_features(df) adds columns; their inputs are read from the plan")
     t.add_argument("--description", default="")
     t.add_argument("--trees", type=int, default=model.TREES)
     i = sub.add_parser("inspect")
@@ -132,8 +148,13 @@ def main(argv: list[str] | None = None) -> int:
             kw |= {"groupby": a.groupby[0], "n_groups": a.n_groups}
         show(query.run_query(df, a.kind, c.target, L, **kw))
     elif a.command == "train":
-        made, sources, fitted = {}, {}, []
-        for x in a.features or features:
+        made, sources, fitted, wanted = {}, {}, [], a.features or features
+        if a.module:
+            whole = engineered(df, a.module)
+            own = [x for x in whole.columns if x not in df.columns]
+            sources, df = lineage.inputs(whole, own), whole
+            wanted = [*(a.features or features), *own]
+        for x in wanted:
             one = None if x in df.columns else FoldFeature.parse(x)
             if one is not None:
                 fitted.append(one)
@@ -141,12 +162,15 @@ def main(argv: list[str] | None = None) -> int:
                 continue
             compiled = None if x in df.columns else compile_expression(x, df)
             made[x] = F.col(f"`{x}`") if compiled is None else compiled.column
-            sources[x] = [x] if compiled is None else sorted(compiled.references)
+            if x not in sources:
+                sources[x] = [x] if compiled is None else sorted(compiled.references)
         if forbidden := [x for x, own in sources.items() if c.target in own]:
             raise ValueError(f"features that read the target: {forbidden}")
         names = {x: f"x{k}" if x not in df.columns else x for k, x in enumerate(made)}
         read = [x for x in dict.fromkeys(x for f in fitted for x in f.inputs) if x not in made]
         wide = df.select("row_id", "split", "chunk" if c.date_col else "fold", c.target, *[e.alias(names[x]) for x, e in made.items()], *[F.col(f"`{x}`") for x in read])
+        ends = {**{x: [x] for x in df.columns}, **sources}  # of an expression over made columns, those of the columns
+        lineage.check(wide, {names[x]: [e for c in sources[x] for e in (c, *ends.get(c, ()))] for x in made})
         r = model.cross_validate(wide, list(names.values()), c.target, c.metric, "row_id", c.n_folds, a.trees, shap=True, fitted=fitted)
         done = L.record(r["cv_score"], r["cv_std"], [*made, *[f.name for f in fitted]], a.description, c.higher_is_better, c.min_delta, datetime.datetime.now())
         L.register_features(sources)
