@@ -109,33 +109,89 @@ def improvement_chain(improved: DataFrame, start: int | None = None) -> DataFram
     return line.select("place", F.col("node").alias("exp_id"))
 
 
-def simple_paths(edges: DataFrame, source: str, target: str, limit: int = 5) -> DataFrame:
-    """path (array): up to `limit` paths without repeated nodes, shortest first. Goes on until there are enough or no more."""
+def distances_to(edges: DataFrame, targets: list[str], cutoff: int | None = None) -> DataFrame:
+    """target, node, far: the least number of edges from each node that reaches a target, 0 for itself, up to cutoff."""
+    e = edges.select("src", "dst").distinct()
+    found = new = _cut(edges.sparkSession.createDataFrame([(t, t, 0) for t in targets], "target string, node string, far int"))
+    for far in count(1):
+        if cutoff is not None and far > cutoff:
+            return found
+        step = new.join(e, new["node"] == e["dst"]).select("target", F.col("src").alias("node")).distinct()
+        new = _cut(step.join(found, ["target", "node"], "left_anti").withColumn("far", F.lit(far)))
+        if not new.head(1):
+            return found
+        found = _cut(found.unionByName(new))
+
+
+def simple_paths(edges: DataFrame, source: str, target: str, limit: int = 5, cutoff: int | None = None) -> DataFrame:
+    """path (array): the `limit` shortest paths without repeated nodes, shortest first, then in order of their nodes; of at most cutoff edges, if given."""
+    return paths_to(edges, source, [target], limit, cutoff).select("path").orderBy(F.size("path"), "path")
+
+
+def paths_to(edges: DataFrame, source: str, targets: list[str], limit: int = 5, cutoff: int | None = None) -> DataFrame:
+    """target, path: the `limit` shortest paths without repeated nodes from source to each target (Yen 1971).
+
+    A path that is found gives a search for each of its nodes: the path up to it stays, the edges that found paths take from there
+    are barred. The searches of all targets run together, a join for each step. They keep the first path to each node, leave out
+    nodes that can't reach the target (or not within cutoff, by the distances of a search from the targets backwards), and so need no
+    more rows than nodes for each search. The driver holds limit paths for each target.
+    """
     spark = edges.sparkSession
-    front = spark.createDataFrame([([source],)], "path array<string>")
-    done = spark.createDataFrame([], "path array<string>")
-    while True:
-        end = F.element_at("path", -1)
-        step = front.join(edges, end == edges["src"]).filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
-        step = _cut(step)
-        if not step.head(1):
+    e = _cut(edges.select("src", "dst").distinct())
+    far = _cut(distances_to(e, targets, cutoff))
+
+    def search(asked: list[tuple[int, str, list[str], list[str]]]) -> dict[int, list[str]]:
+        """number, target, path so far, nodes that may not follow it -> the first shortest whole path, if there is one."""
+        front = _cut(spark.createDataFrame(asked, "n int, target string, path array<string>, barred array<string>"))
+        roots = front.select("n", F.explode("path").alias("node"))
+        seen, got = _cut(roots), {}
+        while True:
+            step = front.join(e, F.element_at("path", -1) == e["src"]).filter(~F.array_contains("barred", F.col("dst")))
+            step = step.select("n", "target", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")).join(far, ["target", "node"])
+            if cutoff is not None:
+                step = step.filter(F.size("path") - 1 + F.col("far") <= cutoff)
+            step = _cut(step.join(seen, ["n", "node"], "left_anti").groupBy("n", "target", "node").agg(F.min("path").alias("path")))
+            got |= {r["n"]: list(r["path"]) for r in step.filter("node = target").collect()}  # one for each search at most
+            rest = step.filter(~F.col("n").isin(list(got))) if got else step
+            if not rest.head(1):
+                return got
+            seen = _cut(seen.unionByName(step.select("n", "node")))
+            front = rest.select("n", "target", "path", F.array().cast("array<string>").alias("barred"))
+
+    first = search([(n, t, [source], []) for n, t in enumerate(targets) if t != source])
+    found, waiting = {n: [p] for n, p in first.items()}, {n: set() for n in first}
+    for _ in range(limit - 1):
+        asked = []
+        for n, paths in found.items():
+            last = paths[-1] if len(paths) > 0 else []
+            for j in range(len(last) - 1):
+                root = last[: j + 1]
+                asked.append((n, root, sorted({p[j + 1] for p in paths if p[: j + 1] == root and len(p) > j + 1})))
+        if not asked:
             break
-        done = _cut(done.unionByName(step.filter(F.element_at("path", -1) == target)))
-        if done.count() >= limit:
+        for k, p in search([(k, targets[n], root, barred) for k, (n, root, barred) in enumerate(asked)]).items():
+            waiting[asked[k][0]].add(tuple(p))
+        grown = False
+        for n, more in waiting.items():
+            if best := min(more - {tuple(p) for p in found[n]}, key=lambda p: (len(p), p), default=None):
+                found[n].append(list(best))
+                more.discard(best)
+                grown = True
+        if not grown:
             break
-        front = step.filter(F.element_at("path", -1) != target)
-    return done.orderBy(F.size("path"), F.array_join("path", "/")).limit(limit)
+    return spark.createDataFrame([(targets[n], p) for n, paths in found.items() for p in paths], "target string, path array<string>")
 
 
 def betweenness(edges: DataFrame, max_edges: int = 200_000) -> DataFrame:
-    """node, centrality: exact, directed, normalised (Brandes 2001), sources spread over tasks.
+    """node, centrality: exact, directed, normalised (Brandes 2001).
 
-    Every task needs the whole graph; a graph of more than max_edges edges is refused, ledgers are far below that.
+    A graph of at most max_edges edges is sent to every task, and the sources are spread over the tasks; a larger one goes through
+    joins, level by level.
     """
     e = edges.select("src", "dst").distinct()
     rows = e.limit(max_edges + 1).collect()
     if len(rows) > max_edges:
-        raise ValueError("the graph is too large to be sent to every task")
+        return betweenness_by_levels(e)
     out: dict[str, list[str]] = {}
     for s, d in rows:
         out.setdefault(s, []).append(d)
@@ -175,6 +231,33 @@ def betweenness(edges: DataFrame, max_edges: int = 200_000) -> DataFrame:
     return nodes.join(part.groupBy("node").agg(F.sum("c").alias("c")), "node", "left").select("node", (F.coalesce("c", F.lit(0.0)) * scale).alias("centrality"))
 
 
+def betweenness_by_levels(edges: DataFrame, batches: int | None = None) -> DataFrame:
+    """As betweenness, for graphs that no task could hold: numbers of shortest paths go out from a batch of sources level by level,
+    dependencies come back the same way; every step is a join and a sum by (source, node)."""
+    e = _cut(edges.select("src", "dst").distinct())
+    nodes = _cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    n = nodes.count()
+    batches = batches or max(1, n * n // 1_000_000_000)
+    total = nodes.select("node", F.lit(0.0).alias("c"))
+    for b in range(batches):
+        new = _cut(nodes.filter(F.pmod(F.xxhash64("node"), F.lit(batches)) == b).select(F.col("node").alias("s"), "node", F.lit(1.0).alias("ways")))
+        levels, seen = [new], new.select("s", "node")
+        while True:
+            step = new.join(e, new["node"] == e["src"]).groupBy("s", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"))
+            new = _cut(step.join(seen, ["s", "node"], "left_anti"))
+            if not new.head(1):
+                break
+            levels.append(new)
+            seen = _cut(seen.unionByName(new.select("s", "node")))
+        below = levels[-1].select("s", "node", "ways", F.lit(0.0).alias("share"))
+        for level in reversed(levels[:-1]):
+            total = _cut(total.unionByName(below.select("node", F.col("share").alias("c"))).groupBy("node").agg(F.sum("c").alias("c")))
+            back = below.select("s", F.col("node").alias("w"), ((1 + F.col("share")) / F.col("ways")).alias("each")).join(e, F.col("w") == e["dst"]).groupBy("s", F.col("src").alias("node")).agg(F.sum("each").alias("each"))
+            below = _cut(level.join(back, ["s", "node"], "left").select("s", "node", "ways", (F.col("ways") * F.coalesce("each", F.lit(0.0))).alias("share")))
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    return total.select("node", (F.col("c") * scale).alias("centrality"))
+
+
 def induced(nodes: DataFrame, edges: DataFrame, types: list[str], search: str = "") -> DataFrame:
     """Edges whose two ends have one of the types and the search text in their label or id."""
     text = search.lower()

@@ -233,3 +233,29 @@ def discovered_invariants(pairs: DataFrame, derived: DataFrame, keys: DataFrame,
     """expr, columns, median_cv of the n steadiest pairs."""
     both = pairs.join(derived.select(F.col("id").alias("derived_id"), "expr"), "derived_id").join(keys.select(F.col("id").alias("key_id"), "columns"), "key_id")
     return both.select("expr", "columns", "median_cv").orderBy("median_cv", "expr", F.array_join("columns", "_")).limit(n)
+
+
+def experiment_dive(L: Tables, exp_id: int, paths: int = 5, cutoff: int = 5) -> DataFrame:
+    """section, item, path of one experiment: what it improved on, what improved on it, its features, the columns they come from, the shortest
+    paths (of at most cutoff edges) to each of these columns, and later experiments that lead back to it."""
+    from .graph import closure, paths_to
+    from .ledger import improved_over
+
+    spark, none = L["experiment"].sparkSession, F.lit(None).cast("array<string>")
+    improved = improved_over(L["experiment"])
+    used = L["used_in"].filter(F.col("exp_id") == exp_id).select("feature").distinct()
+    derived = L["derived_from"].distinct()
+    reach = closure(derived.selectExpr("feature as src", "column as dst"), used.selectExpr("feature as node"))
+    own = reach.select("node").distinct().join(L["column"].select(F.col("column").alias("node")), "node", "left_semi")
+    columns = sorted(r["node"] for r in own.collect())  # columns of one experiment
+    up = L["used_in"].select(F.concat(F.lit("exp_"), "exp_id").alias("src"), F.concat(F.lit("feat_"), "feature").alias("dst"))
+    ends = L["column"].select(F.col("column").alias("c"))
+    down = derived.join(ends, derived["column"] == ends["c"], "left").select(F.concat(F.lit("feat_"), "feature").alias("src"), F.concat(F.when(F.col("c").isNotNull(), "col_").otherwise("feat_"), "column").alias("dst"))
+    out = improved.filter(F.col("exp_id") == exp_id).select(F.lit("improved_over").alias("section"), F.concat(F.lit("exp_"), "previous").alias("item"), none.alias("path"))
+    out = out.unionByName(improved.filter(F.col("previous") == exp_id).select(F.lit("beaten_by").alias("section"), F.concat(F.lit("exp_"), "exp_id").alias("item"), none.alias("path")))
+    out = out.unionByName(used.select(F.lit("feature").alias("section"), F.col("feature").alias("item"), none.alias("path")))
+    out = out.unionByName(own.select(F.lit("column").alias("section"), F.col("node").alias("item"), none.alias("path")))
+    found = paths_to(up.unionByName(down), f"exp_{exp_id}", [f"col_{c}" for c in columns], paths, cutoff)
+    out = out.unionByName(found.select(F.lit("path").alias("section"), F.expr("substring(target, 5)").alias("item"), "path"))
+    later = closure(improved.selectExpr("previous as src", "exp_id as dst"), spark.range(exp_id, exp_id + 1).selectExpr("id as node"))
+    return out.unionByName(later.select(F.lit("later").alias("section"), F.concat(F.lit("exp_"), "node").alias("item"), none.alias("path")))

@@ -157,7 +157,15 @@ def _tags(s, d):
     return text.semantic_tags(brief, columns)
 
 
+def _dive(s, d):
+    """Of the newest kept experiment."""
+    e = {k: t.persist() if k in ("experiment", "used_in", "derived_from") else t for k, t in tables(s, d).items()}
+    newest = e["experiment"].filter("kept").agg(F.max("exp_id")).first()[0]
+    return reports.experiment_dive(e, newest).withColumn("path", F.coalesce(F.array_join("path", ">"), F.lit("")))
+
+
 QUERIES = {
+    "experiment_dive": _dive,
     "metrics": _metric_row,
     "auc_rank": lambda s, d: rounded(metrics.auc(_predictions(s, d), "y", "p"), 6),
     "macro_auc": lambda s, d: rounded(metrics.macro_auc(_predictions(s, d).withColumns({"a": F.col("p"), "b": 1 - F.col("p")}), "y", {0: "b", 1: "a"}), 6),
@@ -222,6 +230,17 @@ _STAG = "nw AS (SELECT *, row_number() OVER (ORDER BY exp_id DESC) AS place FROM
 _FAIL = "fl AS (SELECT count(*) FILTER (WHERE exp_id > coalesce((SELECT max(exp_id) FROM kept_), -1)) AS failures, count(*) AS total FROM experiment)"
 
 SQL = {
+    "experiment_dive": _CTE + """, x AS (SELECT max(exp_id) AS x FROM kept_), u AS (SELECT DISTINCT feature FROM used_in, x WHERE exp_id = x),
+        p AS (SELECT "column" AS c, 'exp_' || x || '>feat_' || feature || '>col_' || "column" AS path, row_number() OVER (PARTITION BY "column" ORDER BY feature) AS place
+          FROM (SELECT DISTINCT feature, "column" FROM derived_from JOIN columns_ USING ("column") JOIN u USING (feature)), x)
+        SELECT 'improved_over' AS section, 'exp_' || previous AS item, '' AS path FROM improved, x WHERE exp_id = x UNION ALL SELECT 'beaten_by', 'exp_' || exp_id, '' FROM improved, x WHERE previous = x
+        UNION ALL SELECT 'feature', feature, '' FROM u UNION ALL SELECT DISTINCT 'column', c, '' FROM p UNION ALL SELECT 'path', c, path FROM p WHERE place <= 5
+        UNION ALL SELECT 'later', 'exp_' || exp_id, '' FROM kept_, x WHERE exp_id > x""",
+    "betweenness": _RECURSIVE + f""", {_EDGES}, g AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges), n AS (SELECT count(*) AS n FROM (SELECT src FROM g UNION SELECT dst FROM g)),
+        walk AS (SELECT src AS s, dst AS t, 1 AS k, 1.0::DOUBLE AS w FROM g UNION ALL SELECT s, dst, k + 1, sum(w) FROM walk JOIN g ON t = src GROUP BY s, dst, k + 1),
+        d AS MATERIALIZED (SELECT s, t, min(k) AS k, arg_min(w, k) AS w FROM walk GROUP BY s, t),
+        c AS (SELECT a.t AS node, sum(a.w * b.w / e.w) AS c FROM d a JOIN d b ON a.t = b.s JOIN d e ON e.s = a.s AND e.t = b.t WHERE a.k + b.k = e.k GROUP BY 1)
+        SELECT node, round(coalesce(c, 0) / ((n - 1) * (n - 2)), 9) AS centrality FROM (SELECT src AS node FROM g UNION SELECT dst FROM g) LEFT JOIN c USING (node), n""",
     "metrics": _P + " SELECT round(sqrt(avg((t - r) * (t - r))), 6) AS rmse, round(avg(abs(t - r)), 6) AS mae, round(-avg(ln(least(greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 1e-15), 1 - 1e-15))), 6) AS logloss, round(avg(CASE WHEN y = CAST(p >= 0.5 AS INT) THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM x",
     "auc_rank": _AUC,
     "macro_auc": _AUC,
