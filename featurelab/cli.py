@@ -17,18 +17,20 @@ from pyspark.sql import functions as F
 
 from .functions.expr import compile_expression
 from .functions.shared import stored
-from .operators import discover, lineage, model, profile, query, reports, splits, views
+from .operators import discover, graph, lineage, model, profile, query, reports, splits, views
 from .operators.fitted import KINDS, FoldFeature
 from .operators.guard import impute, medians
 from .operators.ledger import Ledger, improved_over, outperforms
 from .session import session
 from .sources import config as cfg
 from .sources import tables
+from .streaming import streams
 
 
 REPORTS = [
     "history", "timeline", "success", "failed", "hypotheses", "calibration", "improvements", "outperforms", "sessions", "shap", "saturated", "load-bearing",
     "untried", "coverage", "ablation", "edge-types", "lineage", "column", "correlations", "discovery", "invariants",
+    "experiment", "central", "longest-path", "context", "types",
 ]
 
 
@@ -89,6 +91,9 @@ def main(argv: list[str] | None = None) -> int:
     i = sub.add_parser("inspect")
     i.add_argument("report", choices=REPORTS)
     i.add_argument("--column", help="of the column deep dive")
+    i.add_argument("--exp", type=int, help="of the experiment deep dive")
+    w = sub.add_parser("watch", help="write a version for each change of the ledger and print it")
+    w.add_argument("--every", help='look that often, for example "3 seconds"; else once')
     a = p.parse_args(argv)
     spark = session()
     if a.command == "init":
@@ -99,6 +104,13 @@ def main(argv: list[str] | None = None) -> int:
     L = Ledger(spark, a.ledger)
     L.register_type("CORRELATED_WITH", "Feature", ["Feature"], "statistical")
     L.register_type("OUTPERFORMS", "Experiment", ["Experiment"], "improvement")
+    for said in L.migrate(datetime.datetime.now()):
+        print(f"migrated {said}")
+    if a.command == "watch":
+        done = streams.follow(spark, a.ledger, f"{a.ledger}-versions", every=a.every)
+        done.awaitTermination()
+        show(streams.ledger_versions(spark, f"{a.ledger}-versions").orderBy("version", "part"))
+        return 0
     if a.command == "inspect":
         e, higher = L.graph_tables(), cfg.load(a.config).higher_is_better if Path(a.config).exists() else True
         made = {
@@ -109,6 +121,10 @@ def main(argv: list[str] | None = None) -> int:
             "coverage": lambda: reports.coverage(e), "ablation": lambda: reports.ablation(e), "edge-types": lambda: reports.edge_types(L.types(), views.elements(e)[1]),
             "lineage": lambda: reports.feature_lineage(e), "column": lambda: reports.column_dive(e, a.column), "correlations": lambda: reports.correlations(L.table("edge")),
             "discovery": lambda: reports.discovered_keys(L.last_run("entity_key")),
+            "experiment": lambda: reports.experiment_dive(e, a.exp or L.next_id("experiment", "exp_id") - 1),
+            "central": lambda: graph.betweenness(views.elements(e)[1].select("src", "dst")).filter(F.startswith("node", F.lit("feat_"))).orderBy(F.desc("centrality"), "node"),
+            "longest-path": lambda: graph.improvement_chain(improved_over(e["experiment"])).orderBy("place"), "context": lambda: reports.compressed_history(e),
+            "types": lambda: L.types().orderBy("category", "rel_type"),
             "invariants": lambda: reports.discovered_invariants(L.last_run("invariant_within"), L.last_run("derived_column"), L.last_run("entity_key")),
         }
         show(made[a.report]())

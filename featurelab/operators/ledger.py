@@ -8,6 +8,7 @@ is overwritten; the view of a graph with one edge for each pair of nodes is comp
 from __future__ import annotations
 
 import os
+import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +33,9 @@ SCHEMAS = {
     "entity_key": "run bigint, id string, columns array<string>, cardinality bigint, residual_icc double",
     "invariant_within": "run bigint, derived_id string, key_id string, median_cv double, n_groups bigint",
     "signature": "signature string, ts timestamp",
+    "schema_version": "version bigint, ts timestamp",
 }
+VERSION = 3
 
 # The relationship types that every ledger has.
 BUILTIN_TYPES = [
@@ -46,6 +49,8 @@ BUILTIN_TYPES = [
     ("CANDIDATE_ENTITY_KEY", "EntityKey", ["Column"], "discovery"),
     ("DERIVED_FROM_COLS", "DerivedColumn", ["Column"], "discovery"),
 ]
+# Relationship types of older ledgers that are no more.
+GONE = ["MEMBER_OF", "TESTED_IN"]
 
 
 class Ledger:
@@ -68,6 +73,41 @@ class Ledger:
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, SCHEMAS[name])
         df.select(*self.table(name).columns).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
 
+    def version(self) -> int:
+        """The schema version that the ledger was last written or migrated to; 1 for one that says nothing."""
+        return self.table("schema_version").agg(F.max("version")).first()[0] or 1
+
+    def migrate(self, ts) -> list[str]:
+        """Brings an older ledger up to date, step by step, and returns what was done. Old rows are kept and get what is new as defaults.
+
+        2: tables of runs got the column `run` (rows before are run 1). 3: relationship types that are gone (their values are listed
+        below) leave the registry, duplicate types too.
+        """
+        done, have = [], self.version()
+        if have < 2:
+            for name in ("column", "derived_column", "derived_from_cols", "entity_key", "invariant_within"):
+                if self._exists(name) and "run" not in self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{name}").columns:
+                    self._replace(name, self.table(name).withColumn("run", F.lit(1).cast("bigint")))
+                    done.append(f"{name}: run")
+        if have < 3 and self._exists("relationship_type"):
+            types = self.table("relationship_type")
+            good = types.filter(~F.col("rel_type").isin(GONE)).dropDuplicates(["rel_type"])
+            if types.count() != good.count():
+                self._replace("relationship_type", good)
+                done.append("relationship_type: types that are gone or repeated")
+        if have < VERSION:
+            self.append("schema_version", [(VERSION, ts)])
+        return done
+
+    def _replace(self, name: str, rows: DataFrame) -> None:
+        """Writes rows beside the table, then takes its place; the old one is kept under another name."""
+        jvm = self.spark._jvm
+        at = lambda n: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/_new_{name}")
+        files = at(name).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not (files.rename(at(name), at(f"_before_{name}_{uuid.uuid4().hex[:8]}")) and files.rename(at(f"_new_{name}"), at(name))):
+            raise OSError(f"{self.path}/{name} can't be replaced")
+
     def next_id(self, name: str, column: str) -> int:
         return (self.table(name).agg(F.max(column)).first()[0] or 0) + 1
 

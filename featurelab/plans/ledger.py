@@ -7,6 +7,8 @@ quantities, hypotheses from the week's number. The same rules are written as SQL
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -164,7 +166,26 @@ def _dive(s, d):
     return reports.experiment_dive(e, newest).withColumn("path", F.coalesce(F.array_join("path", ">"), F.lit("")))
 
 
+def _versions(s, d):
+    """What a stream over the ledger reports while it grows in two steps: with the kept experiments, after a restart with the others, and once more without a change."""
+    from ..functions.shared import shared_dir
+    from ..streaming import streams
+
+    here = f"{shared_dir(s).rstrip('/')}/followed-{uuid.uuid4().hex}"
+    L, e = led.Ledger(s, f"{here}/ledger"), tables(s, d)
+    exp = e["experiment"].persist()
+    for rows, used in ((exp.filter("kept"), None), (exp.filter("not kept"), e["used_in"]), (None, None)):
+        if rows is not None:
+            L.append("experiment", rows)
+        if used is not None:
+            L.append("used_in", used)
+        streams.follow(s, L.path, f"{here}/versions").awaitTermination()
+    exp.unpersist()
+    return streams.ledger_versions(s, f"{here}/versions").select("version", "part", "rows")
+
+
 QUERIES = {
+    "ledger_versions": _versions,
     "experiment_dive": _dive,
     "metrics": _metric_row,
     "auc_rank": lambda s, d: rounded(metrics.auc(_predictions(s, d), "y", "p"), 6),
@@ -230,6 +251,7 @@ _STAG = "nw AS (SELECT *, row_number() OVER (ORDER BY exp_id DESC) AS place FROM
 _FAIL = "fl AS (SELECT count(*) FILTER (WHERE exp_id > coalesce((SELECT max(exp_id) FROM kept_), -1)) AS failures, count(*) AS total FROM experiment)"
 
 SQL = {
+    "ledger_versions": _CTE + "SELECT 1::BIGINT AS version, 'experiment' AS part, count(*) AS rows FROM kept_ UNION ALL SELECT 2, 'experiment', count(*) FROM experiment UNION ALL SELECT 2, 'used_in', count(*) FROM used_in",
     "experiment_dive": _CTE + """, x AS (SELECT max(exp_id) AS x FROM kept_), u AS (SELECT DISTINCT feature FROM used_in, x WHERE exp_id = x),
         p AS (SELECT "column" AS c, 'exp_' || x || '>feat_' || feature || '>col_' || "column" AS path, row_number() OVER (PARTITION BY "column" ORDER BY feature) AS place
           FROM (SELECT DISTINCT feature, "column" FROM derived_from JOIN columns_ USING ("column") JOIN u USING (feature)), x)

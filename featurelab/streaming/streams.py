@@ -26,6 +26,51 @@ def sessions(events: DataFrame, gap: str = "60 minutes") -> DataFrame:
     return events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.min("ts").alias("begin"), F.count("*").alias("n")).select("user_id", "begin", "n")
 
 
+#: Tables of a ledger whose appends a dashboard follows.
+FOLLOWED = ("experiment", "used_in", "derived_from", "feature_shap", "hypothesis", "resolution", "edge")
+
+
+def ledger_changes(spark: SparkSession, path: str, tables: tuple[str, ...] = FOLLOWED) -> DataFrame:
+    """part, rows, digest of each table of a ledger, as a stream with state: in update mode a table comes again only when rows were
+    appended to it. digest: an order-free sum over the rows. Tables that don't exist yet are begun empty."""
+    out = None
+    for name in tables:
+        folder = f"{path.rstrip('/')}/{name}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+        rows = spark.readStream.schema(SCHEMAS[name]).parquet(folder)
+        one = rows.select(F.lit(name).alias("part"), F.xxhash64(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("h"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("part").agg(F.count("*").alias("rows"), F.bit_xor("h").alias("digest"))
+
+
+def follow(spark: SparkSession, path: str, versions: str, tables: tuple[str, ...] = FOLLOWED, every: str | None = None):
+    """Keeps `versions` (Parquet: version, part, rows, digest) up to date with a ledger and returns the running query.
+
+    A version holds the tables that changed since the one before; without a change there is no new version. State and progress are kept in
+    versions/_progress, so a new query goes on where the last one ended, and a batch that is repeated after a failure replaces its own
+    rows. every: how often to look (for example "3 seconds"); None: once, for what is there now.
+    """
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("version", F.lit(number + 1).cast("bigint")).persist()
+        if rows.head(1):
+            rows.coalesce(1).write.mode("overwrite").parquet(f"{versions.rstrip('/')}/batch={number}")
+        rows.unpersist()
+
+    stream = ledger_changes(spark, path, tables).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{versions.rstrip('/')}/_progress")
+    return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()
+
+
+def ledger_versions(spark: SparkSession, versions: str) -> DataFrame:
+    """version, part, rows, digest of all versions so far."""
+    return spark.read.schema("part string, rows bigint, digest bigint, version bigint").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(versions).select("version", "part", "rows", "digest")
+
+
+def current(versions: DataFrame) -> DataFrame:
+    """part, rows, digest as of the newest version of each table."""
+    return versions.groupBy("part").agg(F.max_by("rows", "version").alias("rows"), F.max_by("digest", "version").alias("digest"))
+
+
 def ledger_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(SCHEMAS["experiment"]).parquet(f"{path}/experiment")
 
