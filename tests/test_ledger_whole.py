@@ -2,6 +2,7 @@
 
 import datetime
 import json
+from functools import partial
 
 from featurelab import cli
 from featurelab.operators.ledger import Ledger
@@ -13,6 +14,7 @@ def test_a_run_fills_the_ledger(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "d.csv").write_text(f"k,price,b,y\n{rows}\n")
     (tmp_path / "c.yaml").write_text(f"data_path: {tmp_path / 'd.csv'}\ntarget: y\nmetric: rmse\n")
     monkeypatch.setattr(cli, "session", lambda: spark)
+    monkeypatch.setattr(cli.model, "residuals", partial(cli.model.residuals, trees=3))  # the number of trees is tested in test_whole.py
     base = ["--config", str(tmp_path / "c.yaml"), "--ledger", str(tmp_path / "l")]
     said = lambda: [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     cli.main([*base, "prepare"])
