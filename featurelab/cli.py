@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .functions.expr import compile_expression
 from .functions.shared import stored
+from .functions.text import tagged
 from .operators import discover, graph, lineage, model, profile, query, reports, splits, views
 from .operators.fitted import KINDS, FoldFeature
-from .operators.guard import impute, medians
 from .operators.ledger import Ledger, improved_over, outperforms
 from .session import session
 from .sources import config as cfg
@@ -30,8 +30,10 @@ from .streaming import streams
 REPORTS = [
     "history", "timeline", "success", "failed", "hypotheses", "calibration", "improvements", "outperforms", "sessions", "shap", "saturated", "load-bearing",
     "untried", "coverage", "ablation", "edge-types", "lineage", "column", "correlations", "discovery", "invariants",
-    "experiment", "central", "longest-path", "context", "types",
+    "experiment", "central", "longest-path", "context", "types", "profile",
 ]
+#: The brief that describes the columns, beside the configuration.
+BRIEF = "program.md"
 
 
 def prepared(spark, c: cfg.Config) -> DataFrame:
@@ -61,6 +63,30 @@ def engineered(df: DataFrame, path: str) -> DataFrame:
     return out
 
 
+def set_up(spark, a: argparse.Namespace) -> None:
+    """Writes the configuration and, unless there is one, a brief with a row for each column, which `discover` reads tags from."""
+    df = tables.read(spark, a.data)
+    kinds = tables.peek(df)
+    for i, (name, kind) in enumerate(kinds):
+        print(f"[{i}] {name} {kind}")
+    target = a.target or input("column to predict: ").strip()
+    if target not in df.columns and target.isdigit() and int(target) < len(kinds):
+        target = kinds[int(target)][0]
+    if target not in df.columns:
+        raise ValueError(f"column {target!r} is not in the data: {', '.join(df.columns)}")
+    metric = a.metric or tables.suggested_metric(df, target)
+    c = cfg.Config(data_path=a.data, target=target, metric=metric)
+    Path(a.config).write_text(cfg.dump({f.name: getattr(c, f.name) for f in dataclasses.fields(c) if f.name != "extra"}), encoding="utf-8")
+    print(f"wrote {a.config}: {target} by {metric}")
+    brief = Path(a.config).parent / BRIEF
+    if brief.exists() and not a.overwrite_brief:
+        print(f"kept {brief}")
+        return
+    rows = "\n".join(f"| `{name}` | {kind} | {'what is predicted' if name == target else ''} |" for name, kind in kinds)
+    brief.write_text(f"# Brief\n\nPredict `{target}`, judged by {metric}.\n\nSay in a few words what each column means, with its unit:\n\n| column | type | meaning |\n|---|---|---|\n{rows}\n", encoding="utf-8")
+    print(f"wrote {brief}")
+
+
 def show(df: DataFrame) -> None:
     for r in df.toLocalIterator():
         print(json.dumps(r.asDict(recursive=True), default=str))
@@ -74,8 +100,15 @@ def main(argv: list[str] | None = None) -> int:
     one = sub.add_parser("init", help="write a configuration for a data file")
     one.add_argument("data")
     one.add_argument("target")
-    for name in ("prepare", "discover", "status"):
+    new = sub.add_parser("setup", help="write a configuration and the skeleton of a brief for a data file, then prepare it")
+    new.add_argument("data")
+    new.add_argument("--target", help="column to predict, by name or number; asked for if not given")
+    new.add_argument("--metric", choices=cfg.METRICS, help="by the first rows if not given")
+    new.add_argument("--overwrite-brief", action="store_true")
+    for name in ("prepare", "status"):
         sub.add_parser(name)
+    d = sub.add_parser("discover")
+    d.add_argument("--brief", help="a text whose lines name columns and what they are; program.md beside the configuration if not given")
     q = sub.add_parser("query")
     q.add_argument("kind", choices=["within_group_variance", "cardinality", "correlation", "conditional_distribution"])
     for a in ("--expr", "--col", "--col-a", "--col-b"):
@@ -101,6 +134,9 @@ def main(argv: list[str] | None = None) -> int:
         Path(a.config).write_text(f"data_path: {a.data}\ntarget: {a.target}\nmetric: {tables.suggested_metric(df, a.target)}\n", encoding="utf-8")
         print(f"wrote {a.config}; columns: {', '.join(f'{n} {k}' for n, k in tables.peek(df))}")
         return 0
+    if a.command == "setup":
+        set_up(spark, a)
+        return main(["--config", a.config, "--ledger", a.ledger, "prepare"])
     L = Ledger(spark, a.ledger)
     L.register_type("CORRELATED_WITH", "Feature", ["Feature"], "statistical")
     L.register_type("OUTPERFORMS", "Experiment", ["Experiment"], "improvement")
@@ -124,6 +160,7 @@ def main(argv: list[str] | None = None) -> int:
             "experiment": lambda: reports.experiment_dive(e, a.exp or L.next_id("experiment", "exp_id") - 1),
             "central": lambda: graph.betweenness(views.elements(e)[1].select("src", "dst")).filter(F.startswith("node", F.lit("feat_"))).orderBy(F.desc("centrality"), "node"),
             "longest-path": lambda: graph.improvement_chain(improved_over(e["experiment"])).orderBy("place"), "context": lambda: reports.compressed_history(e),
+            "profile": lambda: reports.column_profiles(L.columns(), L.last_run("column_profile")),
             "types": lambda: L.types().orderBy("category", "rel_type"),
             "invariants": lambda: reports.discovered_invariants(L.last_run("invariant_within"), L.last_run("derived_column"), L.last_run("entity_key")),
         }
@@ -147,13 +184,18 @@ def main(argv: list[str] | None = None) -> int:
         show(made)
     elif a.command == "discover":
         rows = query.scope(df).select(*features)
-        got = discover.scan(rows, list(c.categorical_columns))
+        L.store_profile(profile.extended(rows))
+        brief = Path(a.brief) if a.brief else Path(a.config).parent / BRIEF
+        tags = tagged(spark, brief.read_text(encoding="utf-8"), features) if a.brief or brief.exists() else {}
+        for tag, own in tags.items():
+            if own:
+                print(f"{tag}: {', '.join(own)}")
+        got = discover.scan(rows, list(c.categorical_columns), tags)
         keys, icc, steady = [r["columns"] for r in got.keys.collect()], {}, got.steady.persist()
         show(steady.orderBy("median_cv", "key", "expr"))
-        numbers = profile.numeric_columns(rows)
-        if c.metric in ("rmse", "mae") and numbers and keys:
-            full = impute(query.scope(df), medians(rows, numbers), 0.0)
-            icc = {r["key"]: r["residual_icc"] for r in discover.residual_icc(model.residuals(full, numbers, c.target), F.col("residual"), keys).collect()}
+        if keys and profile.numeric_columns(rows, boolean=True):
+            left = model.entity_residuals(query.scope(df).select(*features, c.target), c.target, c.metric)
+            icc = {r["key"]: r["residual_icc"] for r in discover.residual_icc(left, F.col("residual"), keys).collect()}
             for key, value in icc.items():
                 print(json.dumps({"key": key, "residual_icc": value}))
         alone_too = spark.createDataFrame([(x, None) for x in got.raw], "expr string, variance double")

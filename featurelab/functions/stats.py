@@ -115,10 +115,10 @@ def conditional_distribution(df: DataFrame, column: str, key: str, n_groups: int
     return got.filter("n > 0").join(F.broadcast(q), key).select(key, "n", "mean", "std", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"))
 
 
-def top_values(df: DataFrame, column: str, by: list[str] | None = None, top: int = TOP) -> DataFrame:
-    """by, value (as text), count of the most frequent values; ties by value."""
+def top_values(df: DataFrame, column: str, by: list[str] | None = None, top: int = TOP, times: str | None = None) -> DataFrame:
+    """by, value (as text), count of the most frequent values; ties by value. times: a column that says how often a row counts."""
     by = by or []
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg((F.sum(times) if times else F.count("*")).alias("n"))
     w = Window.partitionBy(*by).orderBy(F.desc("n"), column)
     return counts.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).select(*by, F.col(column).cast("string").alias("value"), "n", F.col("place").cast("bigint"))
 
@@ -150,7 +150,7 @@ def icc(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
 
 def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
     """col_a, col_b, correlation of null indicators (0 if undefined), distance (1 - r) / 2."""
-    long = gram.pairs(df, {c: F.col(c).isNull().cast("int") for c in columns})
+    long = gram.pairs(df, {c: F.col(f"`{c}`").isNull().cast("int") for c in columns})
     r = F.coalesce("r", F.lit(0.0))
     return long.select("col_a", "col_b", r.alias("correlation"), ((1 - r) / 2).alias("distance"))
 

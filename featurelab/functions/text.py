@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Keyword of a description -> transform family, in the order in which they are tried.
@@ -68,6 +68,13 @@ def named_columns(description: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(part(description, "col"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def tagged(spark: SparkSession, brief: str, columns: list[str]) -> dict[str, list[str]]:
+    """Tag -> columns (in the order of the data set) by the lines of a brief; tags without columns too."""
+    lines = spark.createDataFrame([(x,) for x in brief.splitlines()], "line string")
+    got = {tuple(r) for r in semantic_tags(lines, spark.createDataFrame([(c,) for c in columns], "column string")).collect()}  # both are small
+    return {tag: [c for c in columns if (tag, c) in got] for tag in SEMANTIC_KEYWORDS}
+
+
 def semantic_tags(brief: DataFrame, columns: DataFrame) -> DataFrame:
     """tag, column: columns mentioned on a line (column `line`) of the brief that holds a keyword of the tag.
 

@@ -152,7 +152,7 @@ def missingness_groups(df: DataFrame, columns: list[str], n_clusters: int = 10)
     """column, missingness_group of the columns with missing values."""
     from ..functions.stats import missingness
 
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     some = [c for i, c in enumerate(columns) if row[f"m{i}"]]
     if len(some) < 2:
         return df.sparkSession.createDataFrame([], "column string, missingness_group int")

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.expr import finite
 from ..functions.order import counted, counted_percentiles, percentiles, ranked
@@ -132,6 +131,6 @@ def guard_folds(df: DataFrame, use: dict[str, list[str]], row_id: str, folds: Fo
 
 
 def label_index(train: DataFrame, target: str) -> DataFrame:
-    """value, code: sorted distinct labels from 0. There are few labels."""
-    w = Window.partitionBy().orderBy("value")
-    return train.select(F.col(target).cast("string").alias("value")).filter("value is not null").distinct().select("value", (F.row_number().over(w) - 1).alias("code"))
+    """value, code: sorted distinct values as text, from 0. Codes come from ranges of the order, so there may be any number of values."""
+    values = train.select(F.col(target).cast("string").alias("value")).filter("value is not null").distinct()
+    return ranked(values, ["value"]).select("value", (F.col("rn") - 1).cast("int").alias("code"))

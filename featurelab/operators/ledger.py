@@ -27,6 +27,7 @@ SCHEMAS = {
     "relationship_type": "rel_type string, source_type string, target_type array<string>, category string, description string, builtin boolean",
     "query_log": "ts timestamp, query_type string",
     "column": "column string, dtype string, cardinality bigint, missingness_rate double, mean double, std double, run bigint",
+    "column_profile": "run bigint, column string, p5 double, p25 double, p75 double, p95 double, skewness double, top5_values array<string>, top5_counts array<bigint>, missingness_group int",
     "discovery": "run bigint, ts timestamp",
     "derived_column": "run bigint, id string, expr string, variance double",
     "derived_from_cols": "run bigint, id string, column string",
@@ -143,6 +144,13 @@ class Ledger:
         kind = F.create_map(*[F.lit(x) for pair in dtypes.items() for x in pair])
         self.append("column", profiled.withColumns({"dtype": F.try_element_at(kind, F.col("column")), "run": F.lit(run).cast("bigint")}))
 
+    def store_profile(self, extended: DataFrame) -> int:
+        """The extended profile (profile.extended) of columns that the ledger knows, as a run of its own; returns how many they are."""
+        run = self.next_id("column_profile", "run")
+        known = extended.join(F.broadcast(self.columns().select("column")), "column", "left_semi").withColumn("run", F.lit(run).cast("bigint"))
+        self.append("column_profile", known)
+        return known.count()
+
     def columns(self) -> DataFrame:
         return self.last_run("column")
 

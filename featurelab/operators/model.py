@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import gram, metrics
+from ..functions.expr import finite
 from ..functions.shared import dropped, stored
 from . import boost
 from .fitted import FoldFeature, stacked
-from .guard import guard_folds, label_index
+from .guard import guard_folds, impute, label_index, medians
+from .profile import numeric_columns
 from .splits import Folds
 
 #: A model of one's own: from a numeric training frame, its feature columns, the target and the metric to a function of frames.
@@ -111,6 +113,26 @@ def residuals(df: DataFrame, features: list[str], target: str, n_classes: int =
     return got.withColumn("residual", F.col(target) - F.col("_p")[1] if n_classes == 2 else 1 - own).drop("_p")
 
 
+def entity_residuals(df: DataFrame, target: str, metric: str, trees: int = 50) -> DataFrame:
+    """df's rows that have a target, with `residual` of boosting over all other numeric columns as they are, in-sample.
+
+    Missing numbers and infinities count as the median, without any as 0, for the model alone: the columns stay as they are, so that
+    a missing entity key stays one. The residual is y - prediction for rmse and mae, y - p for two labels, 1 - p of the row's label
+    for more. Labels are coded in sorted order.
+    """
+    rows = df.filter(F.col(target).isNotNull())
+    numbers = [c for c in numeric_columns(rows, boolean=True) if c != target]
+    if not numbers:
+        raise ValueError("no numeric column besides the target")
+    own = {f"_x{i}": finite(F.col(f"`{c}`").cast("double")) for i, c in enumerate(numbers)}
+    wide = rows.withColumns({**own, "_y": F.col(target)})
+    n_classes = 0
+    if metric not in ("rmse", "mae"):
+        wide, n_classes = coded_labels(wide, "_y", Folds(1))
+    wide = stored(impute(wide, medians(wide, list(own)), 0.0), "residual-rows")
+    return residuals(wide, list(own), "_y", max(n_classes, 2) if n_classes else 0, trees).drop("_y", *own)
+
+
 # --- attribution -------------------------------------------------------------------------------------------------------
 
 

@@ -219,6 +219,11 @@ def column_dive(L: Tables, column: str, hops: int = 4) -> DataFrame:
     return within(down, f"col_{column}", hops)
 
 
+def column_profiles(column: DataFrame, extended: DataFrame) -> DataFrame:
+    """The columns of the newest preparation beside their extended profile of the newest discovery (null before one), by name."""
+    return column.drop("run").join(F.broadcast(extended.drop("run")), "column", "left").orderBy("column")
+
+
 def correlations(edge: DataFrame) -> DataFrame:
     """src, dst, correlation of correlated features, the strongest first."""
     return edge.filter("rel = 'CORRELATED_WITH'").select("src", "dst", "correlation").orderBy(F.desc(F.abs("correlation")), "src", "dst")

@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 from ..functions.expr import finite, ratio
 from ..functions.order import percentiles
 
+#: Categories of a one-hot encoding at most.
+MOST_COLUMNS = 10_000
+
 
 @dataclass(frozen=True)
 class Transform:
@@ -100,8 +103,11 @@ def onehot(c: str, value: str) -> Transform:
 
 
 def onehot_all(train: DataFrame, c: str) -> list[Transform]:
-    """One transform for each category of the training rows, sorted."""
-    return [onehot(c, r[0]) for r in train.select(F.col(c).cast("string")).distinct().filter(F.col(c).isNotNull()).orderBy(c).collect()]
+    """One transform for each category of the training rows, sorted. Each is a column, so more than MOST_COLUMNS are an error."""
+    found = [r[0] for r in train.select(F.col(c).cast("string")).distinct().filter(F.col(c).isNotNull()).orderBy(c).limit(MOST_COLUMNS + 1).collect()]
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"{c} has more than {MOST_COLUMNS} categories: take an encoding with one column")
+    return [onehot(c, v) for v in found]
 
 
 def ordinal(c: str, order: list[str], name: str | None = None) -> Transform:

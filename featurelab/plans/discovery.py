@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from ..functions import expr
+from ..functions import expr, text
 from ..operators import discover
 from ..operators.splits import hash_sample
 from .common import read, rounded
@@ -41,6 +41,19 @@ def _tagged(s, d):
     return _log_variance(discover.derived(df, {"monetary": ["l_extendedprice", "l_tax"], "temporal": ["secs", "l_quantity"]}))
 
 
+#: What a user says of the columns.
+_BRIEF = """| `l_extendedprice` | price of all pieces |
+| `l_tax` | a fee on top |
+| `secs` | seconds since 1970 |
+| l_quantity | elapsed days, for the sake of the query |
+| `l_comment` | what else there is to say |"""
+
+
+def _by_brief(s, d):
+    df = read(s, d, "lineitem").withColumn("secs", F.unix_timestamp(F.col("l_shipdate").cast("timestamp")))
+    return _log_variance(discover.derived(df, text.tagged(s, _BRIEF, df.columns)))
+
+
 _FOUND = {"l_partkey": 0, "o_custkey": 0, "l_quantity": 1, "p_retailprice": 1, "p_size": 0, "c_acctbal": 1}  # number -> fractional
 _TEXT = ["c_name", "p_brand"]
 
@@ -54,6 +67,7 @@ QUERIES = {
     "invariant_scan_found": _found,
     "derived_variance": lambda s, d: _log_variance(discover.derived(read(s, d, "lineitem").select(*_NUMERIC))),
     "derived_tagged": _tagged,
+    "derived_by_brief": _by_brief,
     "derived_ids": _ids,
     "entity_keys": lambda s, d: discover.entity_keys(read(s, d, "lineitem")).select(F.array_join("columns", "_").alias("key"), "cardinality"),
     "invariant_scan": _scan,
@@ -124,10 +138,19 @@ def _found_sql():
       SELECT k AS "key", expr, round(median_cv, 6) AS median_cv, n_groups FROM r WHERE median_cv < 0.1"""
 
 
+# three columns in two groups: the two of least distance are one, the first such pair on ties
+_GROUPED = """WITH t AS (SELECT l_linenumber = 1 AS a, l_linenumber = 1 AS b, l_returnflag = 'N' AS c FROM lineitem),
+ d AS (SELECT (1 - coalesce(corr(a::INT, b::INT), 0)) / 2 AS ab, (1 - coalesce(corr(a::INT, c::INT), 0)) / 2 AS ac, (1 - coalesce(corr(b::INT, c::INT), 0)) / 2 AS bc FROM t),
+ w AS (SELECT CASE WHEN ab <= ac AND ab <= bc THEN [0, 0, 1] WHEN ac <= bc THEN [0, 1, 0] ELSE [0, 1, 1] END AS g FROM d)
+ SELECT unnest(['a', 'b', 'c']) AS "column", unnest(g)::INT AS missingness_group FROM w"""
+
+
 SQL = {
     "invariant_scan_found": _found_sql(),
     "derived_variance": _BASE + " SELECT expr, round(ln(variance), 6) AS log_variance FROM t",
     "derived_tagged": _variances(_TAGGED, "SELECT *, epoch(l_shipdate)::BIGINT AS secs FROM lineitem") + " SELECT expr, round(ln(variance), 6) AS log_variance FROM t",
+    "missingness_groups": _GROUPED,
+    "derived_by_brief": _variances(_TAGGED, "SELECT *, epoch(l_shipdate)::BIGINT AS secs FROM lineitem") + " SELECT expr, round(ln(variance), 6) AS log_variance FROM t",
     "derived_ids": _BASE + " SELECT expr, 'derived_' || substr(sha256(expr), 1, 8) AS id FROM t",
     "entity_keys": _CARD,
     "invariant_scan": _SCAN,

@@ -45,6 +45,13 @@ def _residual(s, d):
     return rounded(discover.residual_icc(got, F.col("residual"), [["l_partkey"], ["l_suppkey"]]), 4)
 
 
+def _residual_class(s, d):
+    """Three labels: the residual is 1 - p of the order's own status."""
+    df = read(s, d, "orders").select("o_orderstatus", "o_totalprice", F.month("o_orderdate").alias("month"), "o_orderpriority", F.weekday("o_orderdate").alias("dow"))
+    left = model.entity_residuals(df, "o_orderstatus", "f1")
+    return rounded(discover.residual_icc(left, F.col("residual"), [["o_orderpriority"], ["month", "dow"]]), 4)
+
+
 def _stream(make, name):
     def query(s, d):
         schema = read(s, d, "events").schema
@@ -59,6 +66,7 @@ QUERIES = {
     "gbt_multiclass": _multiclass,
     "shap_by_fold": _shap,
     "model_residual_icc": _residual,
+    "model_residual_icc_class": _residual_class,
     "stream_windows": lambda s, d: rounded(_stream(streams.windows, "windows")(s, d), 4),
     "stream_sessions": _stream(streams.sessions, "sessions"),
 }

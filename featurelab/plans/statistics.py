@@ -45,6 +45,14 @@ def _typed(spark, d):
     return rounded(prof.kinds(read(spark, d, "lineitem")), 6)
 
 
+_GAPS = {"p_size": "p_size", "p_retailprice": "p_retailprice", "p_brand": "p_brand", "a": "nullif(p_size, 1)", "b": "nullif(p_brand, 'Brand#11')"}
+
+
+def _extended(spark, d):
+    got = prof.extended(read(spark, d, "part").selectExpr(*[f"{e} as {c}" for c, e in _GAPS.items()]))
+    return rounded(got.withColumns({"top5_values": F.array_join("top5_values", "|"), "top5_counts": F.array_join(F.col("top5_counts").cast("array<string>"), "|")}), 4)
+
+
 def _profile(table):
     return lambda spark, d: rounded(prof.profile(read(spark, d, table)), 4)
 
@@ -63,6 +71,7 @@ QUERIES = {
     "profile_customer": _profile("customer"),
     "profile_part": _profile("part"),
     "profile_quantiles": lambda s, d: rounded(prof.quantiles(read(s, d, "part").select("p_size", "p_retailprice")), 4),
+    "profile_extended": _extended,
     "profile_top_values": lambda s, d: prof.top5(read(s, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"]),
     "conditional_distribution": lambda s, d: rounded(stats.conditional_distribution(read(s, d, "events"), "value", "event_type", 3), 6),
     "conditional_top_values": lambda s, d: stats.conditional_top_values(read(s, d, "orders"), "o_orderstatus", "o_orderpriority", 3),
@@ -89,6 +98,20 @@ def _profile_sql(table, columns):
     return _union([f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS cardinality, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 4) AS missingness_rate, round({num(c, 'avg') if n else '0.0'}, 4)::DOUBLE AS mean, round({num(c, 'stddev_samp') if n else '0.0'}, 4)::DOUBLE AS std FROM {table}" for c, n in columns])
 
 
+def _extended_sql():
+    """A column with missing values is a group of its own here, as there are no more than ten."""
+    def number(c):
+        if c in ("p_brand", "b"):
+            return ", ".join(f"NULL::DOUBLE AS {n}" for n in ("p5", "p25", "p75", "p95", "skewness"))
+        return ", ".join(f"round(quantile_cont(CAST({c} AS DOUBLE), {p}), 4) AS {n}" for p, n in ((0.05, "p5"), (0.25, "p25"), (0.75, "p75"), (0.95, "p95"))) + f", round(skewness(CAST({c} AS DOUBLE)), 4) AS skewness"
+
+    own = _union([f"SELECT {i} AS i, '{c}' AS \"column\", {number(c)}, count(*) - count({c}) AS gaps FROM t" for i, c in enumerate(_GAPS)])
+    top = _union([f"SELECT {i} AS i, string_agg(v, '|' ORDER BY n DESC, v) AS top5_values, string_agg(CAST(n AS VARCHAR), '|' ORDER BY n DESC, v) AS top5_counts FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM t WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 5)" for i, c in enumerate(_GAPS)])
+    return f"""WITH t AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _GAPS.items())} FROM part), o AS ({own}), p AS ({top}),
+        g AS (SELECT i, CAST(row_number() OVER (ORDER BY i) - 1 AS INT) AS missingness_group, count(*) OVER () AS many FROM o WHERE gaps > 0)
+        SELECT "column", p5, p25, p75, p95, skewness, top5_values, top5_counts, missingness_group FROM o JOIN p USING (i) LEFT JOIN (SELECT * FROM g WHERE many > 1) USING (i)"""
+
+
 _GROUPS = "WITH g AS (SELECT l_partkey, avg(v) AS mean, stddev_samp(v) AS std, count(v) AS n FROM (SELECT l_partkey, CASE WHEN l_quantity <> 0 THEN l_extendedprice / l_quantity END AS v FROM lineitem) WHERE l_partkey IS NOT NULL AND v IS NOT NULL GROUP BY l_partkey HAVING count(v) >= 10), c AS (SELECT *, CASE WHEN abs(mean) > 0 THEN std / abs(mean) END AS cv FROM g)"
 _LINE = {"l_orderkey": 1, "l_partkey": 1, "l_suppkey": 1, "l_linenumber": 1, "l_quantity": 1, "l_extendedprice": 1, "l_discount": 1, "l_tax": 1, "l_returnflag": 0, "l_linestatus": 0, "l_shipdate": 0}
 _ICC = """SELECT round(CASE WHEN k >= 2 AND n > k AND msb + (n / k - 1) * msw > 0 THEN (msb - msw) / (msb + (n / k - 1) * msw) ELSE 0 END, 6) AS icc FROM (
@@ -118,6 +141,7 @@ SQL = {
     "profile_customer": _profile_sql("customer", [("c_custkey", 1), ("c_name", 0), ("c_nationkey", 1), ("c_acctbal", 1), ("c_mktsegment", 0)]),
     "profile_part": _profile_sql("part", [("p_partkey", 1), ("p_name", 0), ("p_brand", 0), ("p_type", 0), ("p_size", 1), ("p_retailprice", 1)]),
     "profile_quantiles": _union([f"SELECT '{c}' AS \"column\", " + ", ".join(f"round(quantile_cont(CAST({c} AS DOUBLE), {p}), 4) AS {n}" for p, n in ((0.05, "p5"), (0.25, "p25"), (0.75, "p75"), (0.95, "p95"))) + f", round(skewness(CAST({c} AS DOUBLE)), 4) AS skewness FROM part" for c in ("p_size", "p_retailprice")]),
+    "profile_extended": _extended_sql(),
     "profile_top_values": "WITH l AS (" + _union([f"SELECT '{c}' AS \"column\", {t} AS v FROM lineitem" for c, t in (("l_returnflag", "l_returnflag"), ("l_linestatus", "l_linestatus"), ("l_linenumber", "CAST(l_linenumber AS VARCHAR)"), ("l_quantity", "CAST(l_quantity AS VARCHAR)"))]) + "), n AS (SELECT \"column\", v AS value, count(*) AS n FROM l GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value) AS place FROM n) SELECT * FROM p WHERE place <= 5",
     "conditional_distribution": """WITH b AS (SELECT event_type FROM events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3)
         SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS p75

@@ -45,7 +45,7 @@ def load(path: str) -> Config:
     key = None
     with open(path, encoding="utf-8") as f:
         for line in f:
-            line = line.split(" #")[0].rstrip()
+            line = _uncommented(line).rstrip()
             if not line or line.lstrip().startswith("#"):
                 continue
             if line.lstrip().startswith("- ") and key:
@@ -59,6 +59,33 @@ def load(path: str) -> Config:
     return from_mapping({k: v for k, v in values.items() if v is not None})
 
 
+def _uncommented(line: str) -> str:
+    """The line up to a # that begins a word outside quotes."""
+    quote = ""
+    for i, ch in enumerate(line):
+        before = line[i - 1] if i else " "
+        if quote:
+            quote = "" if ch == quote else quote
+        elif ch in "'\"" and before in " \t[,":
+            quote = ch
+        elif ch == "#" and before in " \t":
+            return line[:i]
+    return line
+
+
+def dump(values: dict) -> str:
+    """A flat mapping as load() reads it; texts that would be read as something else are quoted."""
+    def scalar(v) -> str:
+        if v is None or isinstance(v, bool):
+            return {None: "null", True: "true", False: "false"}[v]
+        text = str(v)
+        plain = not isinstance(v, str) or (_scalar(text) == text and _uncommented(text) == text and text == text.strip() and not text.startswith("[") and "," not in text)
+        return text if plain else f'"{text}"'
+
+    lines = [f"{k}: [{', '.join(map(scalar, v))}]" if isinstance(v, list | tuple) else f"{k}: {scalar(v)}" for k, v in values.items()]
+    return "\n".join(lines) + "\n"
+
+
 def _scalar(text: str):
     text = text.strip()
     if text[:1] in "'\"" and text[-1:] == text[:1] and len(text) > 1:

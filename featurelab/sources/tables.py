@@ -19,8 +19,9 @@ def _missing(c: Column) -> Column:
 
 def read_csv(spark: SparkSession, path: str, exclude: list[str] | None = None) -> DataFrame:
     """All columns as text, missing tokens as NULL, then typed by what all values of a column can be: bigint, double, boolean
-    (True / False) or text. One pass tells the types."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    (True / False) or text. One pass tells the types. Files are split among tasks unless a quoted value holds a line break."""
+    broken = spark.read.text(path).filter((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1)
+    raw = spark.read.option("header", True).option("multiLine", bool(broken.head(1))).option("escape", '"').csv(path)
     raw = raw.drop(*(exclude or [])).select(*[_missing(F.col(f"`{c}`")).alias(c) for c in raw.columns if c not in (exclude or [])])
     checks = []
     for i, c in enumerate(raw.columns):

@@ -5,7 +5,7 @@ from featurelab.plans import registry
 from .compare import connection, same
 
 SQL = registry.oracle_sql()
-SLOW = {"gbt_cv_scores", "gbt_multiclass", "shap_by_fold", "model_residual_icc"}
+SLOW = {"gbt_cv_scores", "gbt_multiclass", "shap_by_fold", "model_residual_icc", "model_residual_icc_class"}
 
 
 @pytest.fixture(scope="module")
