@@ -35,7 +35,12 @@ _IDS = "doc_id bigint, n bigint, ids binary"
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n, ids (little-endian unsigned 16-bit, with the end id)."""
+    """doc_id, n, ids (little-endian unsigned 16-bit, with the end id). A tokenizer or end id beyond VOCABULARY is an error."""
+    from tokenizers import Tokenizer
+
+    last = max(end_id, *Tokenizer.from_file(tokenizer_path).get_vocab().values())
+    if last >= VOCABULARY:
+        raise ValueError(f"ids up to {last}: only those below {VOCABULARY} can be written")
 
     def run(batches):
         from .tokens import tokenizer

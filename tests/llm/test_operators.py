@@ -214,7 +214,8 @@ def slow_quality(m, text):
     vectors, last, n = [], None, 0
     for raw in text.split():
         n += 1
-        w = m.reader.words.get(re.sub(r"^\W+|\W+$", "", raw).lower(), 0)
+        plain = re.sub(r"^\W+|\W+$", "", raw).lower()
+        w = m.reader.words.get(plain, 1 + len(m.reader.words) + zlib.crc32(plain.encode()) % quality.BUCKETS if plain else 0)
         vectors += [m.word[w]] * (w > 0) + [m.shape[m.reader.shapes.get(quality.shape_of(raw), 0)]] + [m.repeat] * (raw == last)
         last = raw
     x = np.sum(vectors, axis=0, dtype=np.float64) / n if n else np.zeros(quality.DIM)
@@ -589,3 +590,17 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], COLUMNS)
     assert media_rows(empty).count() == pack.pack_documents(empty).count() == simhash.one_of_each(empty).count() == mix.mixed_documents(empty).count() == 0
     assert edits.edited_counts(empty.select("doc_id", "text", edits.sample_edits(F.col("text")).alias("edits"))).count() == 0
+
+
+def test_ids_beyond_the_file_format_are_an_error(spark):
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="below"):
+        idfile.token_ids(spark.range(0).selectExpr("id doc_id", "'' text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_words_outside_the_sample_have_vectors():
+    m = quality.train(["some plain words here"] * 20 + ["other ,,, junk !!!"] * 20, [1] * 20 + [0] * 20)
+    ids, _, _, _ = m.reader.ids("unseen plain !!!")
+    assert ids[0] > len(m.reader.words) >= ids[1] > 0 == ids[2]
+    assert np.linalg.norm(m.word[ids[0]]) > 0 and not m.word[0].any()
