@@ -21,15 +21,24 @@ def draw(row_id: Column, seed: int = SEED) -> Column:
 def temporal_split(df: DataFrame, order: list[Column], n_folds: int = 5, test_share: float = 0.2) -> DataFrame:
     """split ("train" or "test": the last part), chunk (1 .. n_folds + 1, NULL for test and for rows that no chunk takes).
 
-    Fold k (from 0) trains on chunks 1 .. k + 1 and validates on chunk k + 2: on the past only.
+    Fold k (from 0) trains on chunks 1 .. k + 1 and validates on chunk k + 2: on the past only. The order is ascending, nulls first;
+    rows that are equal in all of it lie in one chunk. Only the order's columns are sorted and kept: rows are compared with the last
+    places of the chunks where they are.
     """
     n = df.count()
     pool = int(n * (1 - test_share))
     size = max(1, pool // (n_folds + 1))
-    r = ranked(df, order)
-    test = F.col("rn") > pool
-    chunk = F.floor((F.col("rn") - 1) / size) + 1
-    return r.withColumns({"split": F.when(test, "test").otherwise("train"), "chunk": F.when(~test & (chunk <= n_folds + 1), chunk)})
+    names = [f"_o{i}" for i in range(len(order))]
+    line = ranked(df.select(*[o.alias(x) for o, x in zip(order, names, strict=True)]), names)
+    lasts = [size * k for k in range(1, n_folds + 2)]
+    ends = line.filter(F.col("rn").isin([*lasts, pool])).agg(F.collect_list(F.struct("rn", F.struct(*names).alias("o"))).alias("_ends"))
+    own = F.struct(*[o.alias(x) for o, x in zip(order, names, strict=True)])
+    passed = F.filter("_ends", lambda e: own > e["o"])["rn"]
+    chunk = F.size(F.array_intersect(passed, F.array(*[F.lit(x).cast("bigint") for x in lasts]))).cast("bigint") + 1
+    test = F.array_contains(passed, F.lit(pool).cast("bigint")) if pool else F.lit(True)
+    r = df.crossJoin(F.broadcast(ends)).withColumns({"_test": test, "_chunk": chunk})  # one row of at most n_folds + 2 places
+    r = r.withColumns({"split": F.when(F.col("_test"), "test").otherwise("train"), "chunk": F.when(~F.col("_test") & (F.col("_chunk") <= n_folds + 1), F.col("_chunk"))})
+    return r.drop("_ends", "_test", "_chunk")
 
 
 def training_rows(df: DataFrame, fold: int) -> DataFrame:

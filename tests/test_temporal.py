@@ -59,3 +59,15 @@ def test_percentiles_are_exact(spark):
 def test_paths_of_any_length_are_found(spark):
     chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(24)], "src string, dst string").coalesce(1)
     assert [r["path"] for r in graph.simple_paths(chain, "n0", "n24").collect()] == [[f"n{i}" for i in range(25)]]
+
+
+def test_temporal_split_compares_rows_with_the_ends_of_chunks(spark):
+    rows = [(i, None if i % 10 == 0 else i % 7, f"r{i:03}") for i in range(100)]
+    df = spark.createDataFrame(rows, "id bigint, t bigint, s string").repartition(5)
+    got = {r["id"]: (r["split"], r["chunk"]) for r in splits.temporal_split(df, [F.col("t"), F.col("s")], 3).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+    assert got == {r[0]: ("train", k // 20 + 1) if k < 80 else ("test", None) for k, r in enumerate(order)}
+    ties = splits.temporal_split(df, [F.col("t")], 3).select("t", "split", "chunk").distinct()
+    assert ties.count() == 8
+    assert [r["split"] for r in splits.temporal_split(df.limit(1), [F.col("id")], 3).collect()] == ["test"]
+    assert splits.temporal_split(df.limit(0), [F.col("id")], 3).count() == 0
