@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import discover, model, splits
@@ -55,7 +53,7 @@ def _residual_class(s, d):
 def _stream(make, name):
     def query(s, d):
         schema = read(s, d, "events").schema
-        got = streams.drained(make(streams.event_stream(s, f"{d}/events.parquet*", schema)), f"{name}_{uuid.uuid4().hex[:8]}")
+        got = streams.drained(make(streams.event_stream(s, f"{d}/events.parquet*", schema)), name)
         return got.withColumn("begin", F.col("begin").cast("timestamp_ntz"))  # as the table has it
 
     return query

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir
 from ..operators.ledger import SCHEMAS
 
 LATE = "10 minutes"
@@ -81,10 +84,19 @@ def ratchet(experiments: DataFrame, higher: bool = True) -> DataFrame:
     return experiments.agg(F.count("*").alias("total"), F.count_if("kept").alias("kept"), top(F.when(F.col("kept"), F.col("cv_score"))).alias("best"))
 
 
-def drained(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """What a streaming frame gives once all that is there now has been read, as a table in memory (small results)."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drained(df: DataFrame, name: str) -> DataFrame:
+    """What a streaming aggregation gives once all that is there now has been read, as a table in the shared folder.
+
+    The rows go from the tasks to the table; the driver holds none. A batch gives the whole result and replaces the one before.
+    """
+    here = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.sparkSession.createDataFrame([], df.schema).write.parquet(f"{here}/rows")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{here}/rows")
+
+    query = df.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{here}/_progress").trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{here}/rows")
