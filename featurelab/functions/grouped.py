@@ -31,11 +31,30 @@ def group_sums(x: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return group[starts], n, mean, np.add.reduceat(off * off, starts, axis=0)
 
 
-def merged(a: tuple, b: tuple) -> tuple:
-    n = a[0] + b[0]
-    share = np.divide(b[0], n, out=np.zeros(len(n)), where=n > 0)
-    d = b[1] - a[1]
-    return n, a[1] + d * share, a[2] + b[2] + d * d * a[0] * share
+def merged(sums: list[np.ndarray], starts: np.ndarray) -> list[np.ndarray]:
+    """Counts, means and squared deviations [row, column] of runs of rows that begin at starts, from those of the rows."""
+    n, mean, square = sums
+    size = np.diff(np.r_[starts, len(n)])
+    if len(starts) == len(n):
+        return [n.copy(), mean.copy(), square.copy()]
+    base = np.repeat(mean[starts], size, axis=0)  # near the run's mean, so that little is lost in the difference
+    whole = np.add.reduceat(n, starts, axis=0)
+    shift = np.add.reduceat(n * (mean - base), starts, axis=0) / np.maximum(whole, 1)
+    off = mean - base - np.repeat(shift, size, axis=0)
+    return [whole, mean[starts] + shift, np.add.reduceat(square + n * off * off, starts, axis=0)]
+
+
+def _rows_out(a: np.ndarray):
+    """Arrow binaries of the rows of a."""
+    import pyarrow as pa
+
+    a = np.ascontiguousarray(a)
+    kind = pa.binary(a.shape[1] * a.itemsize)
+    return pa.FixedSizeBinaryArray.from_buffers(kind, len(a), [None, pa.py_buffer(a.tobytes())]).cast(pa.binary())
+
+
+def _rows_in(column, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
 
 
 def deviations(df: DataFrame, keys: list[list[str]], expressions: list[Column], skip: set[tuple[int, int]], least: int) -> DataFrame:
@@ -73,7 +92,7 @@ def deviations(df: DataFrame, keys: list[list[str]], expressions: list[Column],
                 some = slice(lo, lo + 4096)
                 g = column.dictionary.take(pa.array(code[some]))
                 own = [pa.array(np.full(len(g), k, np.int32)), g, pa.array(np.full(len(g), made, np.int64))]
-                yield pa.RecordBatch.from_arrays([*own, *[pa.array([r.tobytes() for r in a[some]], pa.binary()) for a in (n, mean, square)]], names=names)
+                yield pa.RecordBatch.from_arrays([*own, *[_rows_out(a[some]) for a in (n, mean, square)]], names=names)
 
     use = np.ones((len(keys), width), bool)
     for i, j in skip:
@@ -81,37 +100,37 @@ def deviations(df: DataFrame, keys: list[list[str]], expressions: list[Column],
 
     def whole(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        out: list[tuple] = []
-        now, total = None, None
-
-        def close():
+        def given(key: np.ndarray, total: tuple):
             n, mean, square = total
-            fine = (n >= least) & use[now[0]]
+            fine = (n >= least) & use[key]
             with np.errstate(divide="ignore", invalid="ignore"):
                 cv = np.where(np.abs(mean) > 0, np.sqrt(square / np.maximum(n - 1, 1)) / np.abs(mean), np.nan)
-            out.append((np.full(fine.sum(), now[0], np.int32), np.flatnonzero(fine).astype(np.int32), cv[fine]))
-
-        def given():
-            key, expr, cv = (np.concatenate(c) for c in zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(expr), pa.array(cv, mask=np.isnan(cv))], names=["key", "expr", "cv"])
+            row, expr = np.nonzero(fine)
+            cv = cv[row, expr]
+            return pa.RecordBatch.from_arrays([pa.array(key[row].astype(np.int32)), pa.array(expr.astype(np.int32)), pa.array(cv, mask=np.isnan(cv))], names=["key", "expr", "cv"])
 
+        last = None  # the group that the batches so far end with: key, g, sums
         for b in batches:
-            for k, g, n, mean, square in zip(*[b.column(i).to_pylist() for i in (0, 1, 3, 4, 5)], strict=True):
-                new = np.frombuffer(n, np.int64), np.frombuffer(mean), np.frombuffer(square)
-                if (k, g) == now:
-                    total = merged(total, new)
-                    continue
-                if now is not None:
-                    close()
-                now, total = (k, g), new
-            if len(out) > 2000:
-                yield given()
-                out = []
-        if now is not None:
-            close()
-        if out:
-            yield given()
+            if not b.num_rows:
+                continue
+            key, g = b.column(0).to_numpy(), b.column(1)
+            new = np.r_[True, (key[1:] != key[:-1]) | pc.not_equal(g[1:], g[:-1]).to_numpy(zero_copy_only=False)]
+            starts = np.flatnonzero(new)
+            total = merged([_rows_in(b.column(3 + i), kind, width) for i, kind in enumerate((np.int64, float, float))], starts)
+            ends = key[starts]
+            if last is not None:
+                if last[:2] == (int(key[0]), g[0].as_py()):
+                    first = merged([np.stack([x, y[0]]) for x, y in zip(last[2], total, strict=True)], np.array([0]))
+                    for x, y in zip(total, first, strict=True):
+                        x[0] = y[0]
+                else:
+                    yield given(np.array([last[0]]), [x[None] for x in last[2]])
+            yield given(ends[:-1], [x[:-1] for x in total])
+            last = int(ends[-1]), g[b.num_rows - 1].as_py(), [x[-1] for x in total]
+        if last is not None:
+            yield given(np.array([last[0]]), [x[None] for x in last[2]])
 
     each = rows.mapInArrow(partial, _PARTIAL).repartition("key", "g").sortWithinPartitions("key", "g", "made")
     return each.mapInArrow(whole, _CV)
