@@ -1,7 +1,8 @@
 """Gradient-boosted trees over binned columns: all folds and classes grow at once, one pass over the data for each level.
 
-Columns are binned once (at most BINS bins by exact quantiles, a bin for each value if there are few). Rows lie in blocks: their
-bins, target, part and margins, ordered by row id, in a table of the shared folder. For each level of a tree every task adds up
+Columns are binned once (at most BINS bins by exact quantiles, a bin for each value if there are few). Rows with the same bins and
+part (and class) always have the same margins, so they are summed up to one row with a weight first: passes grow with the different
+rows, not with all of them. Rows lie in blocks: their bins, target, weight, part and margins, in a table of the shared folder. For each level of a tree every task adds up
 gradients and Hessians of its blocks by (model, node, column, bin), where a model is a fold and a class; these histograms are
 exchanged by (model, node, column), summed in the order of the blocks and reduced to the best cut of each, and only the cuts come
 to the driver. After TREES_A_TABLE trees the margins are written anew, so later passes walk only the trees since then.
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import RDD, StorageLevel
 from pyspark.rdd import portable_hash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,7 +105,8 @@ def binned(x: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(at)]).astype(np.uint8) if at else np.zeros((0, len(x)), np.uint8)
 
 
-_BLOCK = "block bigint, n int, bins binary, y binary, part binary, margin binary"
+_BLOCK = "block bigint, n int, bins binary, y binary, w binary, part binary, margin binary"
+
 
 def _batch(ddl: str, columns: dict):
     import pyarrow as pa
@@ -117,7 +119,7 @@ def _batch(ddl: str, columns: dict):
 def _opened(row: dict, models: int):
     n = row["n"]
     bins = np.frombuffer(row["bins"], np.uint8).reshape(-1, n)
-    return bins, np.frombuffer(row["y"]), np.frombuffer(row["part"], np.int32), np.frombuffer(row["margin"]).reshape(models, n)
+    return bins, np.frombuffer(row["y"]), np.frombuffer(row["w"]), np.frombuffer(row["part"], np.int32), np.frombuffer(row["margin"]).reshape(models, n)
 
 
 @dataclass
@@ -191,13 +193,62 @@ class Boosted:
         return out
 
 
-def _starts(df: DataFrame, target: str, folds: Folds, loss: str, outputs: int) -> np.ndarray:
+def _packed(bins: np.ndarray):
+    """Arrow binaries of bins [column, row]."""
+    import pyarrow as pa
+
+    width, n = bins.shape
+    if not width:
+        return pa.array([b""] * n, pa.binary())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(np.ascontiguousarray(bins.T).tobytes())]).cast(pa.binary())
+
+
+def in_bins(df: DataFrame, columns: list[str], at: list[np.ndarray], others: dict[str, Column]) -> DataFrame:
+    """`bins` (a byte for each column) of the rows, and the other columns (int or double)."""
+    x = F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).cast("array<double>")
+    rows = df.select(x.alias("bins"), *[c.alias(n) for n, c in others.items()])
+    schema = T.StructType([T.StructField("bins", T.BinaryType()), *rows.schema.fields[1:]])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(columns))
+            yield pa.RecordBatch.from_arrays([_packed(binned(x, at) if columns else np.zeros((0, len(x)), np.uint8)), *b.columns[1:]], names=b.schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _cells(df: DataFrame, columns: list[str], target: str, folds: Folds, at: list[np.ndarray], loss: str) -> DataFrame:
+    """part, bins, y, w, y0, y1, y2: a row for all rows of the same part and bins (and class). w: how many, y: their mean, y0 + y1 + y2: their sum.
+
+    Numbers are cut into three at fixed powers of two, such that sums of either of the first two are exact: the sum does not depend
+    on the order, and no task holds all rows of a cell.
+    """
+    y = F.coalesce(F.col(f"`{target}`").cast("double"), F.lit(float("nan")))
+    if loss != "squared":
+        rows = in_bins(df, columns, at, {"part": folds.part().cast("int"), "y": y})
+        got = rows.groupBy("part", "bins", "y").agg(F.count("*").cast("double").alias("w")).withColumns({"y0": F.col("y") * F.col("w"), "y1": F.lit(0.0), "y2": F.lit(0.0)})
+    else:
+        n, top = df.agg(F.count("*"), F.max(F.abs(y))).first()
+        bits = max(1, 52 - int(n).bit_length())
+        scale = max(int(np.frexp(top)[1]) if top and np.isfinite(top) else 0, -1000 + 2 * bits)
+        one, two = 2.0 ** (scale - bits), 2.0 ** (scale - 2 * bits)
+        rows = in_bins(df, columns, at, {"part": folds.part().cast("int"), "y": y})
+        rows = rows.withColumn("y0", F.rint(F.col("y") / one) * one).withColumn("y1", F.rint((F.col("y") - F.col("y0")) / two) * two).withColumn("y2", F.col("y") - F.col("y0") - F.col("y1"))
+        got = rows.groupBy("part", "bins").agg(F.count("*").cast("double").alias("w"), *[F.sum(c).alias(c) for c in ("y0", "y1", "y2")])
+        got = got.withColumn("y", (F.col("y0") + F.col("y1") + F.col("y2")) / F.col("w"))
+    return stored(got.select("part", "bins", "y", "w", "y0", "y1", "y2"), "boost-cells")
+
+
+def _starts(cells: DataFrame, folds: Folds, loss: str, outputs: int) -> np.ndarray:
     """The margin that all rows begin with: the mean, the log odds, or 0 for softmax."""
     if loss == "softmax":
         return np.zeros((folds.n, outputs))
-    y = F.col(target).cast("double")
-    row = df.agg(*folds.sums(y), *folds.sums(F.lit(1))).first()
-    mean = np.array([(row[k] or 0.0) / max(row[folds.n + k] or 0, 1) for k in range(folds.n)])
+    names = ("y0", "y1", "y2", "w")
+    row = cells.agg(*[F.sum(F.when(folds.trains(k, F.col("part")), F.col(c))) for k in range(folds.n) for c in names]).first()
+    sums = np.array([v or 0.0 for v in row]).reshape(folds.n, len(names))
+    mean = sums[:, :3].sum(axis=1) / np.maximum(sums[:, 3], 1)
     if loss == "logistic":
         mean = np.clip(mean, 1e-6, 1 - 1e-6)
         mean = np.log(mean / (1 - mean))
@@ -208,16 +259,19 @@ def fit(df: DataFrame, features: list[list[str]], target: str, row_id: str | Non
     """Models of all folds. features: for each feature its column, or a column for each fold; numeric and without missing values.
     target: a number, or the class from 0 (n_classes > 0). Rows whose part is null belong to no fold.
 
-    row_id orders the rows into blocks, so that sums, and so the trees, are the same however the rows are dealt.
+    Rows are told apart by what they hold alone, so sums, and so the trees, are the same however the rows are dealt; row_id is not read.
     """
     loss = "squared" if not n_classes else "logistic" if n_classes == 2 else "softmax"
     outputs = n_classes if loss == "softmax" else 1
     models, columns = folds.n * outputs, list(dict.fromkeys(c for f in features for c in f))
     use = [[columns.index(f[k] if len(f) > 1 else f[0]) for f in features] for k in range(folds.n)]
     df = df.filter(folds.part().isNotNull())
-    at, start = edges(df, columns), _starts(df, target, folds, loss, outputs)
-    size = int(min(BLOCK_ROWS, max(256, BLOCK_BYTES // (len(columns) + 8 * models + 12))))
-    state, tasks = _blocks(df, columns, target, row_id, folds, at, start.reshape(-1, 1), size)
+    at = edges(df, columns)
+    cells = _cells(df, columns, target, folds, at, loss)
+    start = _starts(cells, folds, loss, outputs)
+    size = int(min(BLOCK_ROWS, max(256, BLOCK_BYTES // (len(columns) + 8 * models + 20))))
+    state, tasks = _blocks(cells, len(columns), start.reshape(-1, 1), size)
+    dropped(cells)
     grown = Trees.empty(trees, models, depth)
     fresh = _read(state)
     for t in range(trees):
@@ -241,16 +295,11 @@ def _read(table: DataFrame) -> RDD:
     return table.rdd.map(lambda row: row.asDict()).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _blocks(df: DataFrame, columns: list[str], target: str, row_id: str | None, folds: Folds, at: list[np.ndarray], start: np.ndarray, size: int) -> tuple[DataFrame, int]:
+def _blocks(cells: DataFrame, width: int, start: np.ndarray, size: int) -> tuple[DataFrame, int]:
     """The table of blocks and how many tasks read it at most."""
-    x = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
-    order = [row_id] if row_id else [*[F.col(f"`{c}`") for c in columns], F.col(f"`{target}`")]
-    rows = df.select(x.alias("x"), F.col(f"`{target}`").cast("double").alias("y"), folds.part().alias("part"), *[F.col(o).alias(f"o{i}") if isinstance(o, str) else o.alias(f"o{i}") for i, o in enumerate(order)])
-    spark = df.sparkSession
-    n = max(1, min(-(-df.count() // size), spark.sparkContext.defaultParallelism * 4, 10_000))
-    keys = [f"o{i}" for i in range(len(order))]
-    rows = rows.repartitionByRange(n, *keys) if n > 1 else rows.repartition(1)
-    rows = rows.sortWithinPartitions(*keys).select("x", "y", "part")
+    n = max(1, min(-(-cells.count() // size), cells.sparkSession.sparkContext.defaultParallelism * 4, 10_000))
+    rows = cells.select("bins", "y", "w", "part").repartition(n, "part", "bins") if n > 1 else cells.select("bins", "y", "w", "part").repartition(1)
+    rows = rows.sortWithinPartitions("part", "bins", "y")
 
     def run(batches):
         from pyspark import TaskContext
@@ -258,15 +307,15 @@ def _blocks(df: DataFrame, columns: list[str], target: str, row_id: str | None,
         block, wait, waiting = TaskContext.get().partitionId() << 32, [], 0
 
         def made(some):
-            bins, y, part = (np.concatenate(v, axis=-1) for v in zip(*some, strict=True))
-            return _batch(_BLOCK, {"block": [block], "n": [len(y)], "bins": [bins.tobytes()], "y": [y.tobytes()], "part": [part.tobytes()], "margin": [np.repeat(start, len(y), axis=1).tobytes()]})
+            bins, y, w, part = (np.concatenate(v, axis=-1) for v in zip(*some, strict=True))
+            return _batch(_BLOCK, {"block": [block], "n": [len(y)], "bins": [bins.tobytes()], "y": [y.tobytes()], "w": [w.tobytes()], "part": [part.tobytes()], "margin": [np.repeat(start, len(y), axis=1).tobytes()]})
 
         for b in batches:
             lo = 0
             while lo < b.num_rows:
                 s = b.slice(lo, size - waiting)
-                x = s.column(0).flatten().to_numpy(zero_copy_only=False).reshape(s.num_rows, len(columns))
-                wait.append((binned(x, at), s.column(1).to_numpy(zero_copy_only=False).astype(float), s.column(2).to_numpy(zero_copy_only=False).astype(np.int32)))
+                bins = np.frombuffer(b"".join(s.column(0).to_pylist()), np.uint8).reshape(s.num_rows, width).T
+                wait.append((bins, *[s.column(i).to_numpy(zero_copy_only=False).astype(kind) for i, kind in ((1, float), (2, float), (3, np.int32))]))
                 waiting, lo = waiting + s.num_rows, lo + s.num_rows
                 if waiting == size:
                     yield made(wait)
@@ -295,7 +344,7 @@ def _adder(trees: Trees, use: list[list[int]], outputs: int):
 
     def add(rows):
         for row in rows:
-            bins, _, _, margin = _opened(row, models)
+            bins, _, _, _, margin = _opened(row, models)
             own = [bins[places] for places in use]
             yield row | {"margin": np.stack([margin[m] + trees.margins(m, own[m // outputs]) for m in range(models)]).tobytes()}
 
@@ -312,14 +361,14 @@ def histograms(blocks: RDD, trees: Trees, level: int, open_nodes: np.ndarray, us
     def run(rows):
         width, total, first = 1 << level, {}, None
         for row in rows:
-            bins, y, part, margin = _opened(row, models)
+            bins, y, w, part, margin = _opened(row, models)
             first = row["block"] if first is None else first
             for k, places in enumerate(use):
                 mine = np.flatnonzero(folds.trains(k, part))
                 if not len(mine) or not open_nodes[k * outputs : (k + 1) * outputs].any():
                     continue
                 own = bins[places][:, mine]
-                g, h = gradients(loss, y[mine], margin[k * outputs : (k + 1) * outputs, mine])
+                g, h = (v * w[mine] for v in gradients(loss, y[mine], margin[k * outputs : (k + 1) * outputs, mine]))
                 for c in range(outputs):
                     m = k * outputs + c
                     if not open_nodes[m].any():

@@ -22,6 +22,8 @@ from .splits import Folds
 Fit = Callable[[DataFrame, list[str], str, str], Callable[[DataFrame], DataFrame]]
 TREES, RATE, DEPTH, SEED = 100, 0.05, 6, 42
 MAX_LABELS = 1000
+#: Different rows that a task attributes, about.
+SHAP_ROWS = 500
 CORRELATED = 0.8
 
 
@@ -130,7 +132,7 @@ def entity_residuals(df: DataFrame, target: str, metric: str, trees: int = 50) -
     if metric not in ("rmse", "mae"):
         wide, n_classes = coded_labels(wide, "_y", Folds(1))
     wide = stored(impute(wide, medians(wide, list(own)), 0.0), "residual-rows")
-    return residuals(wide, list(own), "_y", max(n_classes, 2) if n_classes else 0, trees).drop("_y", *own)
+    return residuals(wide, list(own), "_y", max(n_classes, 2) if n_classes else 0, trees=trees).drop("_y", *own)
 
 
 # --- attribution -------------------------------------------------------------------------------------------------------
@@ -173,12 +175,15 @@ def tree_shap(trees: list, x: np.ndarray) -> tuple[np.ndarray, float]:
 def mean_abs_shap(model: boost.Boosted, df: DataFrame, features: int) -> np.ndarray:
     """[fold, feature]: mean absolute contribution to the margins over the rows that the fold is judged by, and over classes.
 
-    Sums are made where the rows are; a fold without rows has zeros.
+    Rows of the same bins have the same contributions, so they are counted first; sums are made where the counts are. A fold without
+    rows has zeros.
     """
     folds, n = model.folds, model.outputs
     sent = df.sparkSession.sparkContext.broadcast((model, [[model.leaves(k, c) for c in range(n)] for k in range(folds.n)]))
-    x = F.array(*[F.col(f"`{c}`").cast("double") for c in model.columns])
-    fold = F.coalesce(*[F.when(folds.validates(k, folds.part()), k) for k in range(folds.n)])
+    fold = F.coalesce(*[F.when(folds.validates(k, folds.part()), F.lit(k)) for k in range(folds.n)])
+    rows = boost.in_bins(df.filter(fold.isNotNull()), model.columns, model.at, {"fold": fold.cast("int")})
+    rows = stored(rows.groupBy("fold", "bins").agg(F.count("*").alias("w")), "shap-cells")
+    tasks = max(1, min(rows.count() // SHAP_ROWS, 10_000))
 
     def run(batches):
         import pandas as pd
@@ -186,15 +191,16 @@ def mean_abs_shap(model: boost.Boosted, df: DataFrame, features: int) -> np.ndar
         boosted, leaves = sent.value
         total, count = np.zeros((folds.n, features)), np.zeros(folds.n, np.int64)
         for pdf in batches:
-            bins, at = boost.binned(np.stack(pdf["x"].to_list()) if len(pdf) else np.zeros((0, len(boosted.columns))), boosted.at), pdf["fold"].to_numpy()
+            bins, at, w = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), len(boosted.columns)).T, pdf["fold"].to_numpy(), pdf["w"].to_numpy()
             for k in np.unique(at):
                 own = bins[boosted.use[k]][:, at == k].T.astype(float)
-                count[k] += len(own)
+                count[k] += w[at == k].sum()
                 for trees in leaves[k]:
-                    total[k] += np.abs(tree_shap(trees, own)[0]).sum(axis=0) / len(leaves[k])
+                    total[k] += w[at == k] @ np.abs(tree_shap(trees, own)[0]) / len(leaves[k])
         yield pd.DataFrame({"fold": np.repeat(range(folds.n), features), "i": np.tile(range(features), folds.n), "s": total.ravel(), "n": np.repeat(count, features)})
 
-    got = df.select(x.alias("x"), fold.alias("fold")).filter("fold is not null").mapInPandas(run, "fold int, i int, s double, n bigint").groupBy("fold", "i").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("v")).collect()
+    got = rows.repartition(tasks, "fold", "bins").sortWithinPartitions("fold", "bins").mapInPandas(run, "fold int, i int, s double, n bigint").groupBy("fold", "i").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("v")).collect()
+    dropped(rows)
     out = np.zeros((folds.n, features))
     for r in got:
         out[r["fold"], r["i"]] = r["v"] or 0.0
