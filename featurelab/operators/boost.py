@@ -31,6 +31,8 @@ BINS, L2, MIN_HESSIAN = 256, 1.0, 1.0
 TREES_A_TABLE = 10
 #: Rows and bytes of a block at most.
 BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 1 << 24
+#: Rows whose margins a task keeps while it predicts.
+KNOWN = 1 << 17
 
 
 @dataclass
@@ -149,17 +151,32 @@ class Boosted:
         def run(batches):
             import pyarrow as pa
 
-            model = sent.value
+            model, known = sent.value, {}
             for b in batches:
                 x = b.column(b.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(model.columns))
-                got, fold = model.outputs_of(x, b.column(b.num_columns - 2).to_numpy())
+                got, fold = model.outputs_of(x, b.column(b.num_columns - 2).to_numpy(), known)
                 out = pa.array(got[0]) if model.loss == "squared" else pa.array(list(got.T), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], names=[*b.schema.names[:-1], name])
 
         return rows.select(*[F.col(f"`{f.name}`") for f in schema.fields[:-1]], x.alias("_x")).mapInArrow(run, schema).withColumnRenamed("_fold", "judged_by")
 
-    def margins_of(self, x: np.ndarray, fold: np.ndarray) -> np.ndarray:
-        bins, out = binned(x, self.at), np.zeros((self.outputs, len(x)))
+    def margins_of(self, x: np.ndarray, fold: np.ndarray, known: dict[bytes, np.ndarray] | None = None) -> np.ndarray:
+        """[output, row]. known: margins by fold and bins that a task has had so far."""
+        bins = binned(x, self.at) if self.columns else np.zeros((0, len(x)), np.uint8)
+        if known is None or not len(x):
+            return self._walked(bins, fold)
+        row = np.concatenate([np.ascontiguousarray(fold, np.int32)[:, None].view(np.uint8), bins.T], axis=1)
+        _, first, back = np.unique(np.ascontiguousarray(row).view(f"V{row.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        names = [r.tobytes() for r in row[first]]
+        if len(known) + len(names) > KNOWN:
+            known.clear()
+        new = [i for i, name in enumerate(names) if name not in known]
+        for i, margin in zip(new, self._walked(bins[:, first[new]], fold[first[new]]).T, strict=True):
+            known[names[i]] = margin
+        return np.stack([known[name] for name in names], axis=1)[:, back]
+
+    def _walked(self, bins: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.outputs, bins.shape[1]))
         for k in np.unique(fold):
             rows = fold == k
             own = bins[self.use[k]][:, rows]
@@ -167,8 +184,8 @@ class Boosted:
                 out[c, rows] = self.start[k, c] + self.trees.margins(k * self.outputs + c, own)
         return out
 
-    def outputs_of(self, x: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        margin = self.margins_of(x, fold)
+    def outputs_of(self, x: np.ndarray, fold: np.ndarray, known: dict[bytes, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        margin = self.margins_of(x, fold, known)
         if self.loss == "squared":
             return margin, fold
         p = shares(self.loss, margin)

@@ -1,5 +1,6 @@
 """Boosting sums up rows that are alike first."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,3 +17,18 @@ def test_boosting_passes_over_different_rows_only(spark, monkeypatch, classes):
     other = boost.fit(rows.repartition(7, "b").orderBy(F.desc("id")), [["a"], ["b"]], "y", "id", Folds(1), classes, 2, 0.3, 2)
     assert seen == [12, 12]
     assert (one.trees.column == other.trees.column).all() and (one.trees.value == other.trees.value).all() and (one.start == other.start).all()
+
+
+def test_margins_are_walked_once_for_rows_that_are_alike(monkeypatch):
+    trees = boost.Trees.empty(1, 2, 1)
+    trees.column[0, :, 0], trees.value[0, 0, 1:], trees.value[0, 1, 1:] = 0, (1.0, 2.0), (3.0, 4.0)
+    made = boost.Boosted("squared", Folds(2, "fold"), 1, ["a"], [[0], [0]], [np.array([0.0])], np.zeros((2, 1)), trees, 1)
+    walked, real = [], boost.Trees.margins
+    monkeypatch.setattr(boost.Trees, "margins", lambda self, m, bins: walked.append(bins.shape[1]) or real(self, m, bins))
+    x, fold, known = np.array([[0.0], [1.0]] * 50), np.repeat([0, 1], 50), {}
+    for most in (boost.KNOWN, 3):  # with the second all are forgotten each time
+        monkeypatch.setattr(boost, "KNOWN", most)
+        for _ in range(2):
+            assert (made.margins_of(x, fold, known)[0] == np.array([1.0, 2.0] * 25 + [3.0, 4.0] * 25)).all()
+    assert sum(walked) == 4 * 3 and (made.margins_of(x, fold) == made.margins_of(x, fold, known)).all()
+    assert made.margins_of(x[:0], fold[:0], known).shape == (1, 0)
