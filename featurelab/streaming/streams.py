@@ -69,6 +69,16 @@ def ledger_versions(spark: SparkSession, versions: str) -> DataFrame:
     return spark.read.schema("part string, rows bigint, digest bigint, version bigint").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(versions).select("version", "part", "rows", "digest")
 
 
+def with_appends(versions: DataFrame, appended: list[tuple]) -> DataFrame:
+    """versions with a row too for each append (version, part) that brought no rows, which the stream doesn't report: what the table holds as
+    of that version; before its first row 0, without a digest."""
+    log = versions.sparkSession.createDataFrame(appended, "version bigint, part string").alias("l")
+    then = log.join(versions.alias("v"), (F.col("v.part") == F.col("l.part")) & (F.col("v.version") <= F.col("l.version")), "left")
+    rows, digest = (F.max_by(f"v.{c}", "v.version").alias(c) for c in ("rows", "digest"))
+    then = then.groupBy("l.version", "l.part").agg(rows, digest).withColumn("rows", F.coalesce("rows", F.lit(0).cast("bigint")))
+    return versions.unionByName(then.join(versions, ["version", "part"], "left_anti"))
+
+
 def current(versions: DataFrame) -> DataFrame:
     """part, rows, digest as of the newest version of each table."""
     return versions.groupBy("part").agg(F.max_by("rows", "version").alias("rows"), F.max_by("digest", "version").alias("digest"))

@@ -3,8 +3,11 @@
 import datetime
 import time
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from featurelab.operators.ledger import VERSION, Ledger
 from featurelab.streaming import streams
 
@@ -65,3 +68,18 @@ def test_older_ledgers_are_brought_up_to_date(spark, tmp_path):
     assert [r["rel_type"] for r in L.table("relationship_type").collect()] == ["MINE"] and L.migrate(NOW) == []
     new = Ledger(spark, str(tmp_path / "n"))
     assert new.migrate(NOW) == [] and new.version() == VERSION
+
+
+@pytest.mark.parametrize("orders, lines", [("true", "false"), ("o_orderdate = (SELECT min(o_orderdate) FROM orders)", "true"), ("false", "false")])
+def test_appends_without_rows_have_versions(spark, sf, tmp_path, orders, lines):
+    """No used features; one week, whose experiment is kept; no orders at all."""
+    con = duckdb.connect()
+    for name, keep in (("orders", orders), ("lineitem", lines), ("part", "true")):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+        con.execute(f"COPY (SELECT * FROM {name} WHERE {keep}) TO '{tmp_path}/{name}.parquet'")
+    con = duckdb.connect()
+    for name in ("orders", "lineitem", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()["ledger_versions"]).fetchall()
+    got = [tuple(r) for r in __spark_entry__.queries()["ledger_versions"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(want) == 3
