@@ -5,7 +5,8 @@ and tokens below. An edit (position, deleted code points, inserted text) descend
 touches. The region is widened to the left until it has CONTEXT pre-tokens before the edit, which is as far back as
 splitting looks ahead, and to the right until its end is a place where the new text is split as the old one was; splitting
 is without memory, so everything after that place keeps its counts. The region alone is split and counted again, its leaves
-are refilled, and the sums above them are updated.
+are refilled, and the sums above them are updated. The regions of many documents are split by one pass: a tree asks for the split of a
+text, and what the trees of a batch ask for is answered together.
 
 The trees are kept in a table beside their texts (count_trees): the sizes and counts of all pre-tokens and the sums of all
 nodes. Counts after edits (edited_tree_counts) and the trees after them (edited_trees) come from that table; the text outside
@@ -129,6 +130,10 @@ class SegmentTree:
         return i - self.size, begin
 
     def edit(self, position: int, deleted: int, inserted: str) -> None:
+        answered(self.tok, [self.steps(position, deleted, inserted)])
+
+    def steps(self, position: int, deleted: int, inserted: str):
+        """An edit that asks for the splits it needs: yields a text and is sent the ends and counts of its pre-tokens."""
         position = min(max(position, 0), self.length)
         deleted = min(max(deleted, 0), self.length - position)
         lo, begin = self.find(max(position - 1, 0))
@@ -146,14 +151,14 @@ class SegmentTree:
             while k < self.size and len(rest) < LOOK:
                 rest += self._leaf(k)[0]
                 k += 1
-            starts, ends, entry = self.tok.pieces(new + rest, np.zeros(1, np.int64)) if new + rest else (np.zeros(0, np.int64),) * 3
+            ends, counts = yield new + rest
             done = int(np.searchsorted(ends, len(new), side="right"))
             # the region ends where a pre-token ends, and all of the edit lies before the last of them
             settled = (done and ends[done - 1] == len(new)) or not new
             if not rest or (settled and len(old) - (position - begin + deleted) > 0):
                 break
             hi += 1
-        ends, counts = ends[:done], self.tok.table.len[entry[:done]]
+        ends, counts = ends[:done], counts[:done]
         self.recounted += done
         many, at = hi - lo + 1, 0
         cuts = [done * (i + 1) // many for i in range(many)]
@@ -166,6 +171,29 @@ class SegmentTree:
             self._up(leaf)
 
 
+def splits(tok, texts: list[str]):
+    """Ends and counts of the pre-tokens of every text, by passes over many."""
+    for _, k, joined, bounds, spans in tok.blocks(texts):
+        _, ends, entry = tok.pieces(joined, bounds, spans)
+        lens = tok.table.len[entry]
+        cut = np.searchsorted(ends, np.append(bounds, len(joined)), side="right").tolist()
+        for i in range(k):
+            yield ends[cut[i] : cut[i + 1]] - bounds[i], lens[cut[i] : cut[i + 1]]
+
+
+def answered(tok, steps: list) -> None:
+    """Runs generators that ask for splits (SegmentTree.steps); of each, one text at a time."""
+    asked = [(s, t) for s in steps if (t := next(s, None)) is not None]
+    while asked:
+        more = []
+        for (s, _), got in zip(asked, splits(tok, [t for _, t in asked]), strict=True):
+            try:
+                more.append((s, s.send(got)))
+            except StopIteration:
+                pass
+        asked = more
+
+
 _TREE = "doc_id bigint, text string, n_chars bigint, n_tokens bigint, n_pretokens bigint, sizes binary, counts binary, char_sums binary, token_sums binary"
 _COUNTS = "doc_id bigint, n_chars bigint, n_tokens bigint, n_pretokens bigint, edited_chars bigint, edited_tokens bigint, recounted bigint"
 _NAMES = [f.split(" ")[0] for f in _TREE.split(", ")]
@@ -211,16 +239,19 @@ def _edited(trees: DataFrame, tokenizer_path: str | None, ddl: str, result) -> D
     path = _path(tokenizer_path)
     names = [f.split(" ")[0] for f in ddl.split(", ")]
 
+    def in_order(tree, edits):
+        for e in sorted((x for x in edits or [] if x), key=lambda x: (x["seq"] or 0, x["position"] or 0)):
+            yield from tree.steps(e["position"] or 0, e["deleted"] or 0, e["inserted"] or "")
+
     def run(batches):
         from .tokens import tokenizer
 
         tok = tokenizer(path, "byte")
         for b in small(batches):
-            out = {n: [] for n in names}
-            for row in b.to_pylist():
-                tree = SegmentTree.of_row(tok, row)
-                for e in sorted((x for x in row["edits"] or [] if x), key=lambda x: (x["seq"] or 0, x["position"] or 0)):
-                    tree.edit(e["position"] or 0, e["deleted"] or 0, e["inserted"] or "")
+            out, kept = {n: [] for n in names}, b.to_pylist()
+            trees = [SegmentTree.of_row(tok, row) for row in kept]
+            answered(tok, [in_order(tree, row["edits"]) for tree, row in zip(trees, kept, strict=True)])
+            for row, tree in zip(kept, trees, strict=True):
                 got = result(row, tree)
                 for n in names:
                     out[n].append(got[n])

@@ -413,6 +413,32 @@ def test_counts_follow_edits():
             assert (tree.whole(), tree.length, tree.total) == (text, len(text), len(tok.lib.encode(text, add_special_tokens=False).ids))
 
 
+def test_edits_of_many_texts_are_split_together(monkeypatch):
+    """Far fewer passes than edits, and the trees that the edits give one by one; special tokens' strings end at their text."""
+    tok, rnd = tokens.FastTokenizer(BYTE, "byte"), random.Random(6)
+    letters, trees, alone, logs, passes = [*"ab's \n1漢", "<|endoftext|>", "<|endof", "text|>"], [], [], [], []
+    for _ in range(200):
+        text = "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 50, 400])))
+        ends, counts = next(edits.splits(tok, [text]))
+        for out in (trees, alone):
+            out.append(edits.SegmentTree(tok, text, ends, counts))
+        logs.append([(rnd.randint(0, len(text)), rnd.choice([0, 3, 40]), rnd.choice(["", " new", "text|>"])) for _ in range(rnd.randint(0, 4))])
+        for e in logs[-1]:
+            alone[-1].edit(*e)
+    pieces = tok.pieces
+    monkeypatch.setattr(tok, "pieces", lambda *a: passes.append(1) or pieces(*a))
+
+    def steps(tree, log):
+        for e in log:
+            yield from tree.steps(*e)
+
+    edits.answered(tok, [steps(t, log) for t, log in zip(trees, logs, strict=True)])
+    assert len(passes) < sum(map(len, logs)) / 10
+    for tree, one in zip(trees, alone, strict=True):
+        assert (tree.whole(), tree.recounted) == (one.whole(), one.recounted) and tree.evened().row() == one.evened().row()
+        assert tree.total == len(tok.lib.encode(tree.whole(), add_special_tokens=False).ids)
+
+
 def slow_edit(x):
     k = len(x) // 3
     y = x[:k] + " it's 12,345 new words" + x[k:]
