@@ -1,6 +1,10 @@
 """Near copies in the pipeline: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-All such pairs are found, by prefix filtering: in any one order of all shingles, two sets that are that similar share one of
+They are found by SimHash: the fingerprints of the sets go through op 4's index of positional bytes (count filtering, at most 4 differing
+bits), and what it links is verified with the whole sets. SimHash can't give all pairs of that similarity, as their fingerprints differ
+in about 10 bits on average. An exact check of the sets that SimHash has left apart follows.
+
+It finds all of their pairs, by prefix filtering: in any one order of all shingles, two sets that are that similar share one of
 their first n - ceil(0.8 n) + 1 shingles. The order puts rare shingles first, so that lists of common ones stay out of most
 prefixes; frequencies come from a sample, which changes the length of lists only, never what is found. Pairs in a list that
 sizes and places in the order allow are candidates. Parities of hashed shingles (as many bits as a set has shingles) bound the
@@ -28,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, partitions, row_key, small, tidy, with_hot_keys, work_dir, written
+from .common import HOT, batch_of, partitions, row_key, small, tidy, with_hot_keys, work_dir, written
 from .components import components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, fingerprints_of_sets, shingle_hashes
+from .simhash import links as simhash_links
 
 WORDS = 5
 #: Similar: OVER * |both| >= UNDER * (|a| + |b|), which is a Jaccard similarity of 0.8.
@@ -38,6 +43,8 @@ OVER, UNDER = 9, 4
 PAIRWISE = 64
 #: Sets in a block of a long list (about), and candidates of two components in a block that are tried first.
 BLOCK, FEW = 2048, 4
+#: Candidates of one set from which on the set goes to them instead (the HOT most frequent ones only).
+MANY = 1000
 #: Documents of the sample for frequencies (about), and common shingles that are known at most.
 SAMPLE, COMMON, OFTEN = 6_000, 200_000, 4
 
@@ -71,7 +78,7 @@ def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.nda
 
 
 def distinct_sets(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """sid, n (size of the set), bits (its parities), text, no_id, doc_id, key, row (all columns, as c0, c1, ...) of the least row of
+    """sid, n (size of the set), bits (its parities), fp (its SimHash fingerprint), text, no_id, doc_id, key, row (all columns, as c0, c1, ...) of the least row of
     each set: a table bucketed by sid.
 
     Sets are told apart by a hash of 64 + bits bits. sid is its first part; where different sets have the same one, which is rare, the
@@ -83,31 +90,31 @@ def distinct_sets(docs: DataFrame, bits: int = 64) -> DataFrame:
     text = docs.columns.index("text")
     plain = docs.withColumn("_key", row_key(docs)).toDF(*names, "key")
     whole = [T.StructField("sid", T.LongType()), T.StructField("other", T.LongType())]
-    schema = T.StructType([*plain.schema.fields, *whole, T.StructField("n", T.IntegerType()), T.StructField("bits", T.BinaryType())])
+    schema = T.StructType([*plain.schema.fields, *whole, T.StructField("n", T.IntegerType()), T.StructField("bits", T.BinaryType()), T.StructField("fp", T.LongType())])
 
     def run(batches):
         import pyarrow as pa
 
         for b in small(batches, 200):
             sid, other, n, parity = [], [], [], []
-            for t in b.column(text).to_pylist():
-                s = shingle_set(t)
+            sets = [shingle_set(t) for t in b.column(text).to_pylist()]
+            for s in sets:
                 h = xxhash.xxh3_128_intdigest(s.tobytes(), SEED)
                 sid.append(((h >> 64) >> (64 - bits)) - (1 << 63) if len(s) else 0)
                 other.append((h & ((1 << 64) - 1)) - (1 << 63) if len(s) else 0)
                 n.append(len(s))
                 parity.append(parities(s).tobytes())
-            more = [pa.array(sid, pa.int64()), pa.array(other, pa.int64()), pa.array(n, pa.int32()), pa.array(parity, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "sid", "other", "n", "bits"])
+            more = [pa.array(sid, pa.int64()), pa.array(other, pa.int64()), pa.array(n, pa.int32()), pa.array(parity, pa.binary()), pa.array(fingerprints_of_sets(sets).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "sid", "other", "n", "bits", "fp"])
 
     doc_id = F.col(f"c{docs.columns.index('doc_id')}").cast("bigint")
     order = F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), F.col("key"))
     own, name = F.col(f"r.c{docs.columns.index('doc_id')}").cast("bigint"), f"copies_{uuid.uuid4().hex}"
-    hashed, value = plain.mapInArrow(tidy(run), schema), F.struct("n", "bits", "key", *names)
+    hashed, value = plain.mapInArrow(tidy(run), schema), F.struct("n", "bits", "fp", "key", *names)
     row = F.struct(*[F.col(f"r.{c}") for c in names if c != f"c{text}"]).alias("row")
 
     def append(one: DataFrame) -> None:
-        one = one.select("sid", "other", "shared", "r.n", "r.bits", "r.key", F.col(f"r.c{text}").alias("text"), own.isNull().alias("no_id"), own.alias("doc_id"), row)
+        one = one.select("sid", "other", "shared", "r.n", "r.bits", "r.fp", "r.key", F.col(f"r.c{text}").alias("text"), own.isNull().alias("no_id"), own.alias("doc_id"), row)
         path = f"{work_dir(spark).rstrip('/')}/{name}"
         one.write.mode("append").format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), "sid").saveAsTable(name)
 
@@ -131,6 +138,26 @@ def drop_sets(rows: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """a, b: candidates by SimHash. The index of op 4 links fingerprints, each stands for its least set; other sets of a fingerprint are
+    paired with that one."""
+    fps = written(sets.groupBy("fp").agg(F.min("sid").alias("least"), F.count("*").alias("n")), "copies-fingerprints")
+    same = with_hot_keys(sets.select("fp", "sid"), fps, ["fp"], "n").filter("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
+    found = written(simhash_links(fps.select("fp")).filter("u <> v").distinct(), "copies-fingerprint-links")
+    out = found
+    for fp, side in (("u", "a"), ("v", "b")):
+        least = found.groupBy(fp).agg(F.count("*").alias("n")).join(fps.select(F.col("fp").alias(fp), F.col("least").alias(side)), fp)
+        out = with_hot_keys(out, written(least, "copies-least"), [fp], "n")
+    return out.select("a", "b").unionByName(same)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles of a sample, sorted, and the places of their frequencies."""
     step = max(1, sets.count() // SAMPLE)
@@ -347,20 +374,27 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def beside(rows: DataFrame, *columns: str) -> DataFrame:
+        each = rows.select(F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("sid")) for side in ("a", "b")])).alias("x"))
+        often = each.groupBy("x").count().filter(F.col("count") > MANY).orderBy(F.desc("count"), "x").limit(HOT).select("x.side", "x.sid").collect()
         for side in ("a", "b"):
-            rows = rows.join(sets.select(F.col("sid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+            own, many = sets.select(F.col("sid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), [r["sid"] for r in often if r["side"] == side]
+            hot = F.col(side).isin(many)
+            rows = rows.filter(~hot).join(own, side).unionByName(rows.filter(hot).join(F.broadcast(own.filter(hot)), side)) if many else rows.join(own, side)
         return rows.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
 
-    some = written(beside(pairs.distinct(), "n", "bits").mapInArrow(tidy(alike), "a bigint, b bigint"), "copies-candidates")
+    some = written(beside(written(pairs.distinct(), "copies-pairs"), "n", "bits").mapInArrow(tidy(alike), "a bigint, b bigint"), "copies-candidates")
     return written(beside(some, "text").mapInArrow(tidy(verify), "a bigint, b bigint").toDF("u", "v"), "copies-links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without all but one of each group: the least row by doc_id (null last), then by all columns."""
     sets = distinct_sets(docs)
+    links = _similar(fingerprint_pairs(sets), sets)
+    roots = written(components(links), "copies-roots")
+    # what SimHash has left apart
     lists = postings(sets).repartition(partitions(docs.sparkSession), "h").sortWithinPartitions("h", "pos", "sid")
-    found = written(lists.mapInArrow(tidy(partial(_scan, pairwise=PAIRWISE)), _FOUND), "copies-pairs")
-    links = _similar(found.filter("b is not null").select("a", "b"), sets)
+    found = written(lists.mapInArrow(tidy(partial(_scan, pairwise=PAIRWISE)), _FOUND), "copies-found")
+    links = links.unionByName(_similar(_apart(found.filter("b is not null").select("a", "b"), roots), sets))
     roots = written(components(links), "copies-roots")
     members = found.filter("h is not null").select(F.col("a").alias("sid"), "h", "pos")
     if members.head(1):

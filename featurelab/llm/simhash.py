@@ -77,9 +77,10 @@ def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints_of(texts, words: int = WORDS) -> np.ndarray:
-    """Fingerprints (uint64) of texts: a bit is 1 if it is set in over half of a text's shingle hashes."""
-    ones, total = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+def fingerprints_of_blocks(blocks, many: int) -> np.ndarray:
+    """Fingerprints (uint64) of `many` texts from (index of the text, a block of its shingles' hashes): a bit is 1 if it is set in over
+    half of a text's hashes."""
+    ones, total = np.zeros((many, 64), np.int64), np.zeros(many, np.int64)
     held, who, size = [], [], 0
 
     def count():
@@ -87,19 +88,28 @@ def fingerprints_of(texts, words: int = WORDS) -> np.ndarray:
         np.add.at(ones, who, bit_counts(np.concatenate(held), np.cumsum(n) - n))
         np.add.at(total, who, n)
 
-    for i, t in enumerate(texts):
-        for block in shingle_blocks(t or "", words):
-            held.append(block)
-            who.append(i)
-            size += len(block)
-            if size >= BLOCK:
-                count()
-                held, who, size = [], [], 0
+    for i, block in blocks:
+        held.append(block)
+        who.append(i)
+        size += len(block)
+        if size >= BLOCK:
+            count()
+            held, who, size = [], [], 0
     if held:
         count()
     return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def fingerprints_of(texts, words: int = WORDS) -> np.ndarray:
+    """Fingerprints (uint64) of texts by their shingles, repeats included."""
+    return fingerprints_of_blocks(((i, block) for i, t in enumerate(texts) for block in shingle_blocks(t or "", words)), len(texts))
+
+
+def fingerprints_of_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """Fingerprints (uint64) of sets of shingle hashes."""
+    return fingerprints_of_blocks(((i, s[k : k + BLOCK].view(np.uint64)) for i, s in enumerate(sets) for k in range(0, len(s), BLOCK)), len(sets))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp (bigint, the bits of the fingerprint) of every row."""
     schema = "doc_id bigint, fp bigint"

@@ -169,3 +169,38 @@ def test_sets_with_the_same_short_hash_are_told_apart(spark, monkeypatch, bits):
     assert sorted(tuple(r) for r in left.collect()) == sorted(slow_kept(docs))
     copies.drop_sets(left)
     assert not [t for t in spark.catalog.listTables() if t.name == left._sets_table]
+
+
+def near_copies(n, group):
+    """Long texts, some with copies that differ in a few words, and a group of such copies."""
+    rnd, out = random.Random(8), []
+    words = [f"w{i}" for i in range(3000)]
+    for i in range(n):
+        x = rnd.choices(words, k=400)
+        out.append(" ".join(x))
+        for _ in range(group if i == 0 else i % 2):
+            y = x.copy()
+            y[rnd.randrange(400)] = rnd.choice(words)
+            out.append(" ".join(y))
+    rnd.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("many", [1000, 2])
+def test_simhash_brings_near_copies_together(spark, monkeypatch, sf, many):
+    """Without the exact check, what SimHash links and whole sets confirm is one group; frequent sets (many = 2) lose nothing."""
+    docs = near_copies(20, 30)
+    sets = [copies.shingle_set(t) for _, t in docs]
+    fps = [int(x) for x in copies.fingerprints_of_sets(sets)]
+    alike = lambda x, y: 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
+    close = [(i, j) for i in range(len(docs)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4 and alike(sets[i], sets[j])]
+    root = list(range(len(docs)))
+    for i, j in close * 4:
+        root[i] = root[j] = min(root[i], root[j])
+    whole = copies.postings
+    monkeypatch.setattr(copies, "MANY", many)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    assert sorted(tuple(r) for r in corpus_pipeline._near_dedup(spark, df, sf).collect()) == sorted(slow_kept(docs))
+    monkeypatch.setattr(copies, "postings", lambda s: whole(s).limit(0))
+    got = {r["doc_id"] for r in corpus_pipeline._near_dedup(spark, df, sf).collect()}
+    assert len(close) > 30 and got == {i for i in range(len(docs)) if root[i] == i}
