@@ -22,8 +22,10 @@ from .splits import Folds
 Fit = Callable[[DataFrame, list[str], str, str], Callable[[DataFrame], DataFrame]]
 TREES, RATE, DEPTH, SEED = 100, 0.05, 6, 42
 MAX_LABELS = 1000
-#: Different rows that a task attributes, about.
-SHAP_ROWS = 500
+#: Different rows that a task attributes, about, and how many of them at a time.
+SHAP_ROWS, SHAP_BLOCK = 10_000, 256
+#: Deeper trees are attributed leaf by leaf, without tables.
+SHAP_DEPTH = 8
 CORRELATED = 0.8
 
 
@@ -172,34 +174,91 @@ def tree_shap(trees: list, x: np.ndarray) -> tuple[np.ndarray, float]:
     return out, base
 
 
+def _leaf_tables(tree: list, features: int) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]:
+    """For a tree over bins: by feature the bits [bin, leaf] that its conditions set, contributions [place, leaf and bits], and the
+    feature [place, leaf, feature] (0 or 1) of each place. Leaves with more features come first.
+
+    A leaf numbers the features on its path; bit i says whether the i-th agrees. Its contributions depend on the bits alone, so they are
+    computed once for all bits, by the products of tree_shap. Places that a leaf has no feature for always agree, with share 1: they change nothing.
+    """
+    from math import factorial
+
+    leaves = []
+    for value, path in tree:
+        by: dict[int, tuple[float, float, float]] = {}
+        for f, lo, hi, share in path:
+            a = by.get(f, (-np.inf, np.inf, 1.0))
+            by[f] = (max(a[0], lo), min(a[1], hi), a[2] * share)
+        leaves.append((value, by))
+    leaves.sort(key=lambda v: -len(v[1]))
+    m, n, bin_ = max(1, len(leaves[0][1])), len(tree), np.arange(boost.BINS)
+    z, free, of, bits = np.ones((m, n, 1)), np.ones((m, n, 1), bool), np.zeros((m, n, features)), {}
+    for leaf, (_, by) in enumerate(leaves):
+        for i, (f, (lo, hi, share)) in enumerate(by.items()):
+            z[i, leaf], free[i, leaf], of[i, leaf, f] = share, False, 1
+            bits.setdefault(f, np.zeros((boost.BINS, n), np.uint8))[:, leaf] = ((bin_ > lo) & (bin_ <= hi)).astype(np.uint8) << i
+    ok = np.where(free, 1.0, np.arange(1 << m) >> np.arange(m)[:, None, None] & 1)  # [place, leaf, bits]
+    poly = np.zeros((m, m, n, 1 << m))  # [power, place that is left out, leaf, bits]
+    poly[0] = 1
+    for j in range(m):
+        rest = np.arange(m) != j
+        more = poly[:, rest] * z[j]
+        more[1:] += poly[:-1, rest] * ok[j]
+        poly[:, rest] = more
+    weight = np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
+    pays = np.array([value for value, _ in leaves])[:, None] * (ok - z) * np.tensordot(weight, poly, 1)
+    return bits, pays.reshape(m, -1), of
+
+
+def binned_shap(trees: list, bins: np.ndarray, features: int) -> np.ndarray:
+    """The Shapley values of tree_shap [row, feature] for rows of bins [row, feature], trees of at most SHAP_DEPTH levels: by a table for each tree."""
+    out = np.zeros((len(bins), features))
+    for tree in trees:
+        bits, pays, of = _leaf_tables(tree, features)
+        have = of.any(axis=2).sum(axis=1)  # the first leaves have the most places
+        start = np.arange(len(tree)) * (pays.shape[1] // len(tree))
+        for lo in range(0, len(bins) if bits else 0, SHAP_BLOCK):
+            some = bins[lo : lo + SHAP_BLOCK]
+            at = np.zeros((len(some), len(tree)), np.uint8)
+            for f, set_ in bits.items():
+                at |= set_.take(some[:, f], axis=0)
+            at = start + at
+            for own, to, k in zip(pays, of, have, strict=True):
+                out[lo : lo + SHAP_BLOCK] += own.take(at[:, :k], mode="clip") @ to[:k]
+    return out
+
+
 def mean_abs_shap(model: boost.Boosted, df: DataFrame, features: int) -> np.ndarray:
     """[fold, feature]: mean absolute contribution to the margins over the rows that the fold is judged by, and over classes.
 
-    Rows of the same bins have the same contributions, so they are counted first; sums are made where the counts are. A fold without
-    rows has zeros.
+    Rows of the same bins have the same contributions, so they are counted first; sums are made where the counts are. Tasks have ranges
+    of the order by fold and bins, so that a task makes the tables of few folds only. A fold without rows has zeros.
     """
     folds, n = model.folds, model.outputs
-    sent = df.sparkSession.sparkContext.broadcast((model, [[model.leaves(k, c) for c in range(n)] for k in range(folds.n)]))
+    sent = df.sparkSession.sparkContext.broadcast(model)
     fold = F.coalesce(*[F.when(folds.validates(k, folds.part()), F.lit(k)) for k in range(folds.n)])
     rows = boost.in_bins(df.filter(fold.isNotNull()), model.columns, model.at, {"fold": fold.cast("int")})
     rows = stored(rows.groupBy("fold", "bins").agg(F.count("*").alias("w")), "shap-cells")
-    tasks = max(1, min(rows.count() // SHAP_ROWS, 10_000))
+    tasks = max(1, min(-(-rows.count() // SHAP_ROWS), 10_000))
 
     def run(batches):
         import pandas as pd
 
-        boosted, leaves = sent.value
-        total, count = np.zeros((folds.n, features)), np.zeros(folds.n, np.int64)
-        for pdf in batches:
-            bins, at, w = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), len(boosted.columns)).T, pdf["fold"].to_numpy(), pdf["w"].to_numpy()
-            for k in np.unique(at):
-                own = bins[boosted.use[k]][:, at == k].T.astype(float)
-                count[k] += w[at == k].sum()
-                for trees in leaves[k]:
-                    total[k] += w[at == k] @ np.abs(tree_shap(trees, own)[0]) / len(leaves[k])
+        boosted = sent.value
+        total, count, width = np.zeros((folds.n, features)), np.zeros(folds.n, np.int64), len(boosted.columns)
+        got = [(np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), width), pdf["fold"].to_numpy(), pdf["w"].to_numpy()) for pdf in batches]
+        bins, at, w = (np.concatenate(v) for v in zip(*got, strict=True)) if got else (np.zeros((0, width), np.uint8), *np.zeros((2, 0), np.int64))
+        for k in np.unique(at):
+            own, n_rows = np.ascontiguousarray(bins[at == k][:, boosted.use[k]]), w[at == k]
+            count[k] += n_rows.sum()
+            for c in range(n):
+                trees = boosted.leaves(k, c)
+                each = binned_shap(trees, own, features) if boosted.depth <= SHAP_DEPTH else tree_shap(trees, own.astype(float))[0]
+                total[k] += n_rows @ np.abs(each) / n
         yield pd.DataFrame({"fold": np.repeat(range(folds.n), features), "i": np.tile(range(features), folds.n), "s": total.ravel(), "n": np.repeat(count, features)})
 
-    got = rows.repartition(tasks, "fold", "bins").sortWithinPartitions("fold", "bins").mapInPandas(run, "fold int, i int, s double, n bigint").groupBy("fold", "i").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("v")).collect()
+    line = rows.repartitionByRange(tasks, "fold", "bins") if tasks > 1 else rows.repartition(1)
+    got = line.sortWithinPartitions("fold", "bins").mapInPandas(run, "fold int, i int, s double, n bigint").groupBy("fold", "i").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("v")).collect()
     dropped(rows)
     out = np.zeros((folds.n, features))
     for r in got:
