@@ -5,7 +5,7 @@ part (and class) always have the same margins, so they are summed up to one row
 rows, not with all of them. Rows lie in blocks: their bins, target, weight, part and margins, in a table of the shared folder. For each level of a tree every task adds up
 gradients and Hessians of its blocks by (model, node, column, bin), where a model is a fold and a class; these histograms are
 exchanged by (model, node, column), summed in the order of the blocks and reduced to the best cut of each, and only the cuts come
-to the driver. After TREES_A_TABLE trees the margins are written anew, so later passes walk only the trees since then.
+to the driver; histograms of at most SMALL bytes in all come to it themselves, which spares a stage. After TREES_A_TABLE trees the margins are written anew, so later passes walk only the trees since then.
 
 Second-order boosting as usual: squared loss, logistic loss for two classes, softmax over all classes for more; a leaf is worth
 -G / (H + L2), a cut gains G_l^2/(H_l + L2) + G_r^2/(H_r + L2) - G^2/(H + L2), both sides keep at least MIN_HESSIAN. Ties go to the
@@ -31,6 +31,8 @@ BINS, L2, MIN_HESSIAN = 256, 1.0, 1.0
 TREES_A_TABLE = 10
 #: Rows and bytes of a block at most.
 BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 1 << 24
+#: Bytes of all tasks' histograms of a level up to which the driver sums them; more are exchanged.
+SMALL = 1 << 25
 #: Rows whose margins a task keeps while it predicts.
 KNOWN = 1 << 17
 
@@ -54,13 +56,14 @@ class Trees:
 
     def node(self, t: int, m: int, bins: np.ndarray, depth: int) -> np.ndarray:
         """The node that each row of bins [column, row] reaches in at most `depth` steps."""
-        at, rows = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
-        column, cut = self.column[t, m], self.cut[t, m]
+        at, rows, nodes = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1]), np.arange(self.column.shape[2])
+        leaf = self.column[t, m] < 0
+        if leaf[0]:
+            return at
+        flat, place = bins.ravel(), np.where(leaf, 0, self.column[t, m]).astype(np.int64) * len(rows)
+        cut, left = np.where(leaf, BINS, self.cut[t, m]), np.where(leaf, nodes, 2 * nodes + 1)  # no bin is above BINS: rows stay in a leaf
         for _ in range(depth):
-            c = column[at]
-            if not (c >= 0).any():
-                break
-            at = np.where(c >= 0, 2 * at + 1 + (bins[c, rows] > cut[at]), at)  # column -1 reads the last row of bins, in vain
+            at = left.take(at) + (flat.take(place.take(at) + rows) > cut.take(at))
         return at
 
     def margins(self, m: int, bins: np.ndarray) -> np.ndarray:
@@ -284,6 +287,7 @@ def fit(df: DataFrame, features: list[list[str]], target: str, row_id: str | Non
     use = [[columns.index(f[k] if len(f) > 1 else f[0]) for f in features] for k in range(folds.n)]
     df = df.filter(folds.part().isNotNull())
     at = edges(df, columns)
+    counts = [max(2, *(len(at[places[f]]) + 1 for places in use)) for f in range(len(features))]  # bins of each feature
     cells = _cells(df, columns, target, folds, at, loss)
     start = _starts(cells, folds, loss, outputs)
     size = int(min(BLOCK_ROWS, max(256, BLOCK_BYTES // (len(columns) + 8 * models + 20))))
@@ -299,7 +303,7 @@ def fit(df: DataFrame, features: list[list[str]], target: str, row_id: str | Non
             state, fresh = nxt, _read(nxt)
         elif t:
             fresh = old.mapPartitions(_adder(grown.some(t - 1, t), use, outputs)).persist(StorageLevel.MEMORY_AND_DISK)
-        _grow(fresh, grown, t, use, folds, loss, outputs, len(features), rate, depth, tasks)
+        _grow(fresh, grown, t, use, folds, loss, outputs, counts, rate, depth, tasks)
         if t:
             old.unpersist()
     fresh.unpersist()
@@ -314,7 +318,8 @@ def _read(table: DataFrame) -> RDD:
 
 def _blocks(cells: DataFrame, width: int, start: np.ndarray, size: int) -> tuple[DataFrame, int]:
     """The table of blocks and how many tasks read it at most."""
-    n = max(1, min(-(-cells.count() // size), cells.sparkSession.sparkContext.defaultParallelism * 4, 10_000))
+    n, cores = -(-cells.count() // size), cells.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(n if n <= cores else -(-n // cores) * cores, cores * 4, 10_000))  # all cores have as much to do
     rows = cells.select("bins", "y", "w", "part").repartition(n, "part", "bins") if n > 1 else cells.select("bins", "y", "w", "part").repartition(1)
     rows = rows.sortWithinPartitions("part", "bins", "y")
 
@@ -368,10 +373,10 @@ def _adder(trees: Trees, use: list[list[int]], outputs: int):
     return add
 
 
-def histograms(blocks: RDD, trees: Trees, level: int, open_nodes: np.ndarray, use: list[list[int]], folds: Folds, loss: str, outputs: int, features: int) -> RDD:
+def histograms(blocks: RDD, trees: Trees, level: int, open_nodes: np.ndarray, use: list[list[int]], folds: Folds, loss: str, outputs: int, counts: list[int]) -> RDD:
     """((model, feature, first block), (g, h)): sums of gradients and Hessians [node of the level, bin], a row for each task.
 
-    trees: the one that is growing. open_nodes [model, node]: which are to be cut.
+    trees: the one that is growing. open_nodes [model, node]: which are to be cut. counts: how many bins each feature has.
     """
     models = len(use) * outputs
 
@@ -393,14 +398,14 @@ def histograms(blocks: RDD, trees: Trees, level: int, open_nodes: np.ndarray, us
                     at = trees.node(0, m, own, level) - (width - 1)
                     here = at >= 0
                     here[here] = open_nodes[m][at[here]]
-                    node, gg, hh = at[here], g[c][here], h[c][here]
-                    for f in range(features):
-                        i = node * BINS + own[f][here]
+                    node, gg, hh, seen = (at, g[c], h[c], own) if here.all() else (at[here], g[c][here], h[c][here], own[:, here])
+                    for f, count in enumerate(counts):
+                        i = node * count + seen[f]
                         for kind, v in ((0, gg), (1, hh)):
-                            s = np.bincount(i, v, width * BINS)
+                            s = np.bincount(i, v, width * count)
                             total[m, f, kind] = total[m, f, kind] + s if (m, f, kind) in total else s
         for m, f in sorted({(m, f) for m, f, _ in total}):
-            yield (m, f, first), tuple(total[m, f, kind].reshape(width, BINS) for kind in (0, 1))
+            yield (m, f, first), tuple(total[m, f, kind].reshape(width, counts[f]) for kind in (0, 1))
 
     return blocks.mapPartitions(run)
 
@@ -408,20 +413,21 @@ def histograms(blocks: RDD, trees: Trees, level: int, open_nodes: np.ndarray, us
 def best_cuts(hist: RDD, parts: int) -> RDD:
     """((model, feature), best cut of each node), from histograms summed in the order of the blocks. parts: 0 if one task has them all."""
     line = hist.repartitionAndSortWithinPartitions(parts, lambda k: portable_hash(k[:2])) if parts else hist
+    return line.mapPartitions(_merged)
 
-    def run(rows):
-        key, g, h = None, None, None
-        for k, (more_g, more_h) in rows:
-            if k[:2] != key:
-                if key is not None:
-                    yield key, best(g, h)
-                key, g, h = k[:2], more_g, more_h
-            else:
-                g, h = g + more_g, h + more_h
-        if key is not None:
-            yield key, best(g, h)
 
-    return line.mapPartitions(run)
+def _merged(rows):
+    """((model, feature), best cut of each node) of histograms in the order of (model, feature, block)."""
+    key, g, h = None, None, None
+    for k, (more_g, more_h) in rows:
+        if k[:2] != key:
+            if key is not None:
+                yield key, best(g, h)
+            key, g, h = k[:2], more_g, more_h
+        else:
+            g, h = g + more_g, h + more_h
+    if key is not None:
+        yield key, best(g, h)
 
 
 def best(g: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -437,15 +443,19 @@ def best(g: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.concatenate([np.maximum(at(gain), 0), i, at(gl), at(hl), total, weight], axis=1)
 
 
-def _grow(blocks: RDD, grown: Trees, t: int, use: list[list[int]], folds: Folds, loss: str, outputs: int, features: int, rate: float, depth: int, tasks: int) -> None:
+def _grow(blocks: RDD, grown: Trees, t: int, use: list[list[int]], folds: Folds, loss: str, outputs: int, counts: list[int], rate: float, depth: int, tasks: int) -> None:
     models = len(use) * outputs
     open_nodes = np.ones((models, 1), bool)
     for level in range(depth):
         base = (1 << level) - 1
-        size = models * (1 << level) * features * BINS * 16 * tasks  # bytes of histograms at most
-        hist = histograms(blocks, grown.some(t, t + 1), level, open_nodes, use, folds, loss, outputs, features)
+        size = models * (1 << level) * sum(counts) * 16 * tasks  # bytes of histograms at most
+        hist = histograms(blocks, grown.some(t, t + 1), level, open_nodes, use, folds, loss, outputs, counts)
+        if tasks > 1 and size <= SMALL:
+            cuts_of = list(_merged(sorted(hist.collect(), key=lambda x: x[0])))
+        else:
+            cuts_of = sorted(best_cuts(hist, 0 if tasks == 1 else max(1, min(1000, size >> 24))).collect(), key=lambda x: x[0])  # one for each model and feature
         top: dict[tuple[int, int], tuple] = {}
-        for (m, f), cuts in sorted(best_cuts(hist, 0 if tasks == 1 else max(1, min(1000, size >> 24))).collect(), key=lambda x: x[0]):  # one for each model and feature
+        for (m, f), cuts in cuts_of:
             for node, (gain, cut, *sums) in enumerate(cuts.tolist()):
                 if open_nodes[m, node] and ((m, node) not in top or gain > top[m, node][0]):
                     top[m, node] = (gain, f, int(cut), *sums)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..operators import discover, model, splits
 from ..streaming import streams
 from .common import read, rounded
@@ -14,7 +15,8 @@ FOLDS = 5
 def _part(s, d):
     p = read(s, d, "part").select("p_partkey", "p_size", "p_brand", "p_type", "p_retailprice")
     li = read(s, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_extendedprice").alias("mean_price"), F.count("*").alias("n_sold"))
-    return splits.stratified_split(splits.strata(p.join(li, "p_partkey", "left"), "p_retailprice"), "p_partkey", "stratum", FOLDS)
+    both = cut(p.join(li, "p_partkey", "left"))  # later passes read no line items
+    return splits.stratified_split(splits.strata(both, "p_retailprice"), "p_partkey", "stratum", FOLDS)
 
 
 _FEATURES = ["p_size", "p_brand", "p_type", "mean_price", "n_sold"]
